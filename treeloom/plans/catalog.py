@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
-from treeloom.operators import inventory, matching, search
+from treeloom.operators import graph, imports, inventory, matching, reach, search
 from treeloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,3 +277,131 @@ def highlight(spark, sf_dir):
 @query
 def escape_html(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+# Import graph ------------------------------------------------------------------------------------
+
+
+def _resolved(spark, sf_dir):
+    files = fx.src_files(spark, sf_dir)
+    return imports.resolve(imports.imports(files), fx.inventory_files(spark, sf_dir).select(*inventory.KEY))
+
+
+def _all_edges(spark, sf_dir):
+    return graph.edges(_resolved(spark, sf_dir), fx.inventory_files(spark, sf_dir))
+
+
+def _all_nodes(spark, sf_dir):
+    return graph.nodes(fx.inventory_files(spark, sf_dir), _all_edges(spark, sf_dir))
+
+
+@query
+def file_imports(spark, sf_dir):
+    return imports.imports(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def file_exports(spark, sf_dir):
+    return imports.exports(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def import_edges(spark, sf_dir):
+    return _all_edges(spark, sf_dir).drop("repo")
+
+
+@query
+def selected_edges(spark, sf_dir):
+    return graph.edges(_resolved(spark, sf_dir), fx.selection(spark, sf_dir)).drop("repo")
+
+
+@query
+def missing_deps(spark, sf_dir):
+    return graph.missing(_resolved(spark, sf_dir), fx.selection(spark, sf_dir)).drop("repo")
+
+
+@query
+def graph_degrees(spark, sf_dir):
+    return _all_nodes(spark, sf_dir).drop("repo")
+
+
+@query
+def graph_metrics(spark, sf_dir):
+    return graph.metrics(_all_nodes(spark, sf_dir)).drop("repo")
+
+
+@query
+def completeness(spark, sf_dir):
+    chosen = fx.selection(spark, sf_dir)
+    return graph.completeness(chosen, graph.missing(_resolved(spark, sf_dir), chosen)).drop("repo")
+
+
+@query
+def graph_roles(spark, sf_dir):
+    return graph.role_filter(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir), "leaf")[0].select("relative_path")
+
+
+@query
+def graph_role_edges(spark, sf_dir):
+    """Edges among files that others need; the entry filter itself never leaves an edge."""
+    edge_rows = _all_edges(spark, sf_dir)
+    needed = _all_nodes(spark, sf_dir).withColumn("is_leaf", ~F.col("is_entry_point"))
+    return graph.role_filter(needed, edge_rows, "leaf")[1].drop("repo")
+
+
+@query
+def graph_search(spark, sf_dir):
+    return graph.search_nodes(_all_nodes(spark, sf_dir), "FR/mod_1").select("relative_path", "label")
+
+
+@query
+def graph_neighbourhood(spark, sf_dir):
+    focus = fx.selection(spark, sf_dir).select("repo", F.col("relative_path").alias("node"))
+    return graph.neighbourhood(_all_edges(spark, sf_dir), focus).drop("repo")
+
+
+@query
+def neighbour_labels(spark, sf_dir):
+    out = graph.neighbour_labels(_all_edges(spark, sf_dir), _all_nodes(spark, sf_dir))
+    return out.select("node", "side", F.array_join("labels", ",").alias("labels"), "n_more")
+
+
+@query
+def graph_export(spark, sf_dir):
+    return graph.graph_export(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir))[1].drop("repo")
+
+
+@query
+def reachability(spark, sf_dir):
+    seed = fx.inventory_files(spark, sf_dir).filter("doc_id = 0").select("repo", F.col("relative_path").alias("node"))
+    edge_rows = _all_edges(spark, sf_dir)
+    ahead = reach.reach(edge_rows, seed).select("node", F.lit("forward").alias("direction"))
+    behind = reach.reach(edge_rows, seed, backward=True).select("node", F.lit("backward").alias("direction"))
+    return ahead.union(behind)
+
+
+@query
+def dependency_closure(spark, sf_dir):
+    return reach.dependency_closure(_all_edges(spark, sf_dir), fx.selection(spark, sf_dir)).drop("repo")
+
+
+@query
+def import_cycles(spark, sf_dir):
+    found, _ = reach.cycles(_all_edges(spark, sf_dir))
+    return found.select(F.array_join("cycle", " ").alias("cycle"))
+
+
+@query
+def cycle_paths(spark, sf_dir):
+    edge_rows = _all_edges(spark, sf_dir)
+    found, _ = reach.cycles(edge_rows)
+    return reach.cycle_positions(found, _all_nodes(spark, sf_dir)).select("first", "position", "member", "label")
+
+
+@query
+def hierarchy(spark, sf_dir):
+    """Paths among the selected files."""
+    chosen = fx.selection(spark, sf_dir)
+    edge_rows = graph.edges(_resolved(spark, sf_dir), chosen)
+    rows = reach.hierarchy(graph.nodes(chosen, edge_rows), edge_rows)
+    return rows.select(F.array_join("path", " ").alias("path"), "node", "depth", "repeated")

