@@ -38,7 +38,7 @@ def with_rates(stats: DataFrame) -> DataFrame:
     return stats.withColumns(
         {
             "avg_response_time": F.when(
-                F.col("success_count") > 0, F.col("total_response_time") / F.col("success_count")
+                F.col("success_count") > 0, F.col("total_response_time").cast("double") / F.col("success_count")
             ).otherwise(0.0),
             "failure_rate": F.when(attempts > 0, F.col("failure_count") / attempts).otherwise(0.0),
         }
@@ -93,7 +93,7 @@ def running_mean(calls: DataFrame, slice_seconds: int = 3600) -> DataFrame:
         [F.col("ts"), F.col("event_id")],
         {"success_count": F.lit(1).cast("long"), "total_response_time": F.col("response_time")},
     )
-    return out.withColumn("avg_response_time", F.col("total_response_time") / F.col("success_count"))
+    return out.withColumn("avg_response_time", F.col("total_response_time").cast("double") / F.col("success_count"))
 
 
 def best_models(routing: DataFrame, stats: DataFrame) -> DataFrame:

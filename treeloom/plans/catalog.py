@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
-from treeloom.operators import graph, imports, inventory, matching, reach, search, structure
+from treeloom.operators import (
+    archive,
+    bundle,
+    callstats,
+    diagrams,
+    graph,
+    imports,
+    inventory,
+    matching,
+    quality,
+    reach,
+    replies,
+    search,
+    structure,
+)
 from treeloom.plans import fixtures as fx
+from treeloom.plans import report
+from treeloom.sources import encoding
+from treeloom.streaming import callstream, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -119,6 +136,11 @@ def extension_filter(spark, sf_dir):
     )
 
 
+@query
+def tree_keys(spark, sf_dir):
+    return fx.raw_paths(spark, sf_dir).select("relative_path", paths.sort_key(F.col("relative_path")).alias("sort_key"))
+
+
 @query
 def preview(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(
@@ -371,6 +393,21 @@ def graph_export(spark, sf_dir):
     return graph.graph_export(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir))[1].drop("repo")
 
 
+@query
+def graph_export_nodes(spark, sf_dir):
+    return graph.graph_export(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir))[0].drop("repo")
+
+
+@query
+def dependency_report(spark, sf_dir):
+    """Nodes of the full report on the selection, with what each lacks."""
+    parts = report.dependency_report(fx.src_files(spark, sf_dir), fx.selection(spark, sf_dir))
+    lacking = parts["missing"].groupBy("repo", F.col("required_by").alias("relative_path")).agg(F.count("*").alias("n_missing"))
+    return parts["nodes"].join(lacking, inventory.KEY, "left").select(
+        "relative_path", "n_dependencies", "n_dependents", F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing")
+    )
+
+
 @query
 def reachability(spark, sf_dir):
     seed = fx.inventory_files(spark, sf_dir).filter("doc_id = 0").select("repo", F.col("relative_path").alias("node"))
@@ -499,3 +536,320 @@ def structure_summaries(spark, sf_dir):
         "relative_path", "language", "n_chars",
         *[F.get_json_object("summary", f"$.{k}").cast(t).alias(k) for k, t in field.items()],
     )
+
+
+# Bundles and archives ----------------------------------------------------------------------------
+
+
+@query
+def bundle_sections(spark, sf_dir):
+    return bundle.sections(fx.bundle_requests(spark, sf_dir), fx.sized_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def bundle_contents(spark, sf_dir):
+    return bundle.contents(fx.bundle_requests(spark, sf_dir), fx.inventory_files(spark, sf_dir))
+
+
+@query
+def bundle_manifest(spark, sf_dir):
+    asked = fx.bundle_requests(spark, sf_dir)
+    rows = bundle.parts(asked, fx.sized_files(spark, sf_dir), "2024-01-01 00:00:00")
+    return bundle.manifest(rows, asked, "20240101_000000")
+
+
+@query
+def semantic_metadata(spark, sf_dir):
+    """Bundles of TypeScript files, whose summary is short enough to restate."""
+    asked = fx.bundle_requests(spark, sf_dir).filter(F.col("relative_path").endswith(".ts"))
+    files = fx.sized_files(spark, sf_dir)
+    rows = bundle.parts(asked, files, "2024-01-01 00:00:00", "semantic")
+    return bundle.semantic_metadata(asked, files.filter("extension = '.ts'"), rows)
+
+
+@query
+def bundle_parse(spark, sf_dir):
+    return bundle.parse(fx.markdown_bundles(spark, sf_dir))
+
+
+@query
+def bundle_one_file(spark, sf_dir):
+    parsed = bundle.parse(fx.markdown_bundles(spark, sf_dir))
+    wanted = F.concat(F.lit("b "), F.col("doc_id").cast("string"), F.lit(".md"))
+    return bundle.one_file(parsed, wanted).select("doc_id", "code")
+
+
+@query
+def bundle_invalid(spark, sf_dir):
+    headed = F.concat(F.lit("\n## a\n"), "text")
+    docs = fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, headed).otherwise(F.col("text")).alias("text")
+    )
+    return bundle.invalid(docs)
+
+
+@query
+def content_hash_dedup(spark, sf_dir):
+    return archive.originals(fx.table(spark, sf_dir, "documents")).select("hash", "filename", "prefix", "content")
+
+
+@query
+def content_store_add(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    store = archive.originals(docs.filter("lang = 'en'"))
+    return archive.originals(docs, store=store).select("hash", F.length("content").alias("n_chars"))
+
+
+@query
+def archive_roundtrip(spark, sf_dir):
+    records = archive.lossless(fx.table(spark, sf_dir, "documents"), ["doc_id"])
+    restored = archive.restore_lossless(records, ["doc_id"])
+    return restored.select("doc_id", "content", F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
+
+
+def _hybrid_records(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").withColumn("structure", F.concat(F.lit('{"lang":"'), "lang", F.lit('"}')))
+    return archive.hybrid(docs, ["doc_id", "lang"])
+
+
+@query
+def hybrid_records(spark, sf_dir):
+    return _hybrid_records(spark, sf_dir).select(
+        "doc_id", "hash", "filename", "original_size", "compressed_size", "compression_ratio", "compression_type"
+    )
+
+
+@query
+def archive_restore(spark, sf_dir):
+    """Lossless, hybrid (stored, inline or lost) and summary records."""
+    docs = fx.table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    columns = ["doc_id", "sha256", "compression_type", "data", "original_content"]
+    packed = archive.lossless(docs.filter(d % 4 == 0), ["doc_id"]).withColumn("original_content", F.lit(None).cast("string"))
+    mixed = (
+        _hybrid_records(spark, sf_dir).filter(d % 4 > 0)
+        .withColumn("data", F.lit(None).cast("string"))
+        .withColumn("original_content", F.when(d % 8 < 4, F.col("original_content")))
+        .withColumn("compression_type", F.when(d % 4 == 3, "semantic_lossy").otherwise(F.col("compression_type")))
+    )
+    store = archive.originals(docs.filter("lang = 'en'"))
+    return archive.restore(packed.select(columns).unionByName(mixed.select(columns)), store, ["doc_id"])
+
+
+@query
+def size_reduction(spark, sf_dir):
+    return archive.reduction(_hybrid_records(spark, sf_dir), ["lang"])
+
+
+@query
+def retention(spark, sf_dir):
+    files = fx.inventory_files(spark, sf_dir)
+    return archive.retention(files, F.lit("2024-01-01 08:00:00").cast("timestamp")).select("relative_path", "expired")
+
+
+@query
+def encoding_audit(spark, sf_dir):
+    return encoding.audit(fx.encoded_files(spark, sf_dir)).select("encoding", "n_files")
+
+
+@query
+def decoded_content(spark, sf_dir):
+    return fx.encoded_files(spark, sf_dir).select("doc_id", encoding.decode(F.col("content")).alias("content"))
+
+
+# Checks ------------------------------------------------------------------------------------------
+
+
+@query
+def bracket_balance(spark, sf_dir):
+    return quality.bracket_balance(fx.table(spark, sf_dir, "pages"), "html").select("page_id", "valid", "message")
+
+
+@query
+def style_balance(spark, sf_dir):
+    """Style sheets and prose with a comment and every third time an open brace added."""
+    files = fx.src_files(spark, sf_dir)
+    odd = F.when(F.col("doc_id") % 3 == 0, "{").otherwise("")
+    css = files.withColumn("content", F.concat("content", F.lit("/* { \n } { */"), odd))
+    return quality.style_balance(css, "content").select("relative_path", "valid", "message")
+
+
+@query
+def python_syntax(spark, sf_dir):
+    return quality.python_syntax(fx.src_files(spark, sf_dir)).select("relative_path", "valid")
+
+
+@query
+def required_paths(spark, sf_dir):
+    files = fx.inventory_files(spark, sf_dir)
+    required = fx.bundle_requests(spark, sf_dir).select("repo", "relative_path", F.lit("asked for").alias("description"))
+    return quality.required_paths(required, files).select("relative_path", "found")
+
+
+def _rules(spark, sf_dir):
+    asked = fx.bundle_requests(spark, sf_dir).select("repo", "relative_path", "position")
+    mark = F.concat(F.lit("/api/"), (F.col("position") % 5).cast("string"))
+    return asked.select("repo", "relative_path", F.explode(F.array(F.lit("import"), F.lit("la"), mark)).alias("element"))
+
+
+@query
+def absent_elements(spark, sf_dir):
+    return quality.absent_elements(_rules(spark, sf_dir), fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def element_status(spark, sf_dir):
+    return quality.element_status(_rules(spark, sf_dir), fx.src_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def diagram_blocks(spark, sf_dir):
+    """Two diagrams with prose between them in every document."""
+    fence = "```"
+    md = F.concat(
+        F.lit(f"{fence}mermaid\ngraph TD\n  a"), F.col("doc_id").cast("string"), F.lit(f" --> b\n{fence}\n"), "text",
+        F.lit(f"\n{fence}mermaid\n\npie {fence}"),
+    )
+    docs = fx.table(spark, sf_dir, "documents").withColumn("md", md)
+    return diagrams.blocks(docs, ["doc_id"], "md")
+
+
+@query
+def diagram_to_lines(spark, sf_dir):
+    return diagrams.to_lines(fx.table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+@query
+def diagram_strict_lint(spark, sf_dir):
+    return diagrams.strict_lint(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_detailed_lint(spark, sf_dir):
+    return diagrams.detailed_lint(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_duplicate_nodes(spark, sf_dir):
+    return diagrams.duplicate_nodes(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_unmatched_ends(spark, sf_dir):
+    return diagrams.unmatched_ends(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_unclosed_blocks(spark, sf_dir):
+    return diagrams.unclosed_blocks(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_undefined_ends(spark, sf_dir):
+    return diagrams.undefined_ends(fx.diagram_lines(spark, sf_dir))
+
+
+@query
+def diagram_statistics(spark, sf_dir):
+    """Every document read as a diagram."""
+    return diagrams.statistics(fx.table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+# Call statistics ---------------------------------------------------------------------------------
+
+
+@query
+def model_stats(spark, sf_dir):
+    out = callstats.model_statistics(fx.model_calls(spark, sf_dir))
+    return out.withColumns(
+        {
+            "last_success": F.unix_micros("last_success"),
+        }
+    )
+
+
+@query
+def degraded_models(spark, sf_dir):
+    stats = callstats.model_statistics(fx.model_calls(spark, sf_dir))
+    return callstats.degraded(stats, max_failure_rate=0.2, slow_seconds=20.2).select("model_name", "degraded")
+
+
+@query
+def recent_scores(spark, sf_dir):
+    out = callstats.recent_scores(fx.model_calls(spark, sf_dir))
+    return out.select("model_name", F.array_join(F.col("scores").cast("array<string>"), ",").alias("scores"))
+
+
+@query
+def running_mean(spark, sf_dir):
+    return callstats.running_mean(fx.model_calls(spark, sf_dir)).select(
+        "event_id", "model_name", "success_count", "avg_response_time"
+    )
+
+
+@query
+def best_models(spark, sf_dir):
+    return callstats.best_models(fx.routing(spark), callstats.model_statistics(fx.model_calls(spark, sf_dir)))
+
+
+@query
+def model_routing(spark, sf_dir):
+    """Every event asks for a model."""
+    e = F.col("event_id")
+    requests = fx.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.element_at(F.array(F.lit("documentation"), F.lit("analysis"), F.lit("other")), (e % 3 + 1).cast("int")).alias("task"),
+        F.element_at(
+            F.array(F.lit("architecture"), F.lit("readme"), F.lit("dependency"), F.lit("strange")), (e % 4 + 1).cast("int")
+        ).alias("subtask"),
+    )
+    stats = callstats.model_statistics(fx.model_calls(spark, sf_dir))
+    return callstats.route(requests, fx.routing(spark), stats, "model_default").select("event_id", "model")
+
+
+@query
+def stream_model_stats(spark, sf_dir):
+    out = run.run_available(callstream.windowed_statistics(fx.call_stream(spark, sf_dir)), "append")
+    return out.select(
+        F.unix_micros("window_start").alias("window_start"), "model_name", "success_count", "failure_count",
+        "avg_response_time",
+    )
+
+
+@query
+def stream_recent_scores(spark, sf_dir):
+    emitted = run.run_available(callstream.recent_scores(fx.call_stream(spark, sf_dir)), "update")
+    latest = run.latest_per_key(emitted, "model_name", "scores")
+    return latest.select("model_name", F.array_join(F.col("scores").cast("array<string>"), ",").alias("scores"))
+
+
+# Replies and prompts -----------------------------------------------------------------------------
+
+
+@query
+def reply_parse(spark, sf_dir):
+    return replies.parse_replies(fx.replies(spark, sf_dir)).select(
+        "reply_id", F.size("files").alias("n_files"), "reasoning", "confidence"
+    )
+
+
+@query
+def reply_validate(spark, sf_dir):
+    """Files named by replies that the inventory knows."""
+    named = replies.reply_files(replies.parse_replies(fx.replies(spark, sf_dir)), ["reply_id"])
+    asked = named.select(F.lit("corpus").alias("repo"), F.col("reply_id").alias("request_id"), "position", "file_id")
+    return inventory.validate_ids(asked, fx.inventory_files(spark, sf_dir)).drop("repo")
+
+
+@query
+def reply_confidence_bands(spark, sf_dir):
+    named = replies.reply_files(replies.parse_replies(fx.replies(spark, sf_dir)), ["reply_id"])
+    return named.select("reply_id", "position", replies.confidence_band(F.col("confidence")).alias("band"))
+
+
+@query
+def prompt_chunks(spark, sf_dir):
+    """File facts read back from the prompt chunks: every file once."""
+    chunks = replies.file_fact_chunks(fx.inventory_files(spark, sf_dir), per_chunk=5)
+    facts = F.from_json("files_json", "array<struct<id string, relative_path string, extension string, size long>>")
+    return chunks.select("folder", F.explode(facts).alias("f")).select("folder", "f.*")

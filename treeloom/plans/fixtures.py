@@ -151,7 +151,115 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.concat(F.lit("model_"), (F.col("user_id") % 5).cast("string")).alias("model_name"),
         (F.col("event_type") != "error").alias("success"),
-        F.col("value").alias("response_time"),
+        # Exact sums do not depend on the order of addition.
+        F.col("value").cast("decimal(18,4)").alias("response_time"),
         F.get_json_object("props", "$.k").cast("int").alias("complexity"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
+
+
+def call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call log as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.select(
+        "event_id",
+        F.concat(F.lit("model_"), (F.col("user_id") % 5).cast("string")).alias("model_name"),
+        (F.col("event_type") != "error").alias("success"),
+        # Exact sums do not depend on the order of addition.
+        F.col("value").cast("decimal(18,4)").alias("response_time"),
+        F.get_json_object("props", "$.k").cast("int").alias("complexity"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+def diagram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diagram per source with one line per document, right and wrong ones."""
+    d = F.col("doc_id")
+    num = d.cast("string")
+    small = (d % 40).cast("string")
+    kind = (d * 7 + F.floor(d / 20)) % 12
+    shapes = [
+        F.concat(F.lit("subgraph S_"), num),
+        F.concat(F.lit("  n"), small, F.lit("["), "lang", F.lit("]")),
+        F.concat(F.lit("n"), num, F.lit("(r) --> n"), (d + 1).cast("string")),
+        F.lit("end"),
+        F.concat(F.lit("n"), small, F.lit(" --> x."), num, F.lit(" label")),
+        F.concat(F.lit("classDef c"), num, F.lit(" fill:#f9f,stroke:#12,bare,stroke-width:x2,")),
+        F.lit("classDef a fill:red classDef b"),
+        F.concat(F.lit("n"), num, F.lit("-->n1")),
+        F.concat(F.lit("%% note "), num),
+        F.concat(F.lit("n"), small, F.lit("_"), (d % 3).cast("string"), F.lit("{open[}")),
+        F.concat(F.lit("subgraph bad name"), num),
+        F.concat(F.lit("pie --> graph "), num),
+    ]
+    line = F.element_at(F.array(*shapes), (kind + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("diagram_id"), d.alias("line_no"), line.alias("line")
+    )
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to selection prompts: plain JSON, fenced JSON, text, JSON followed by text."""
+    c = F.col("conv_id")
+    num = c.cast("string")
+    fence = "```"
+    shapes = [
+        F.concat(F.lit('{"files":[{"file_id":"src0_en_mod_'), num, F.lit('_js","reason":"r","confidence":0.'), (c % 10).cast("string"),
+                 F.lit('},{"file_id":"nope"}],"reasoning":"x'), num, F.lit('","confidence":0.8}')),
+        F.concat(F.lit(f"{fence}json\n"), F.lit('{"files":[],"reasoning":"y","confidence":0.5}'), F.lit(f"\n{fence}\n")),
+        F.lit("not json"),
+        F.lit('{"files":[],"reasoning":"z","confidence":0.4} and more'),
+        F.lit('{"confidence":0.25}'),
+    ]
+    return table(spark, sf_dir, "conversations").select(
+        (c * 100 + F.col("turn")).alias("reply_id"), F.element_at(F.array(*shapes), (c % 5 + 1).cast("int")).alias("reply")
+    )
+
+
+def bundle_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bundle per source; every tenth file asked for does not exist."""
+    gone = F.concat(F.lit("gone/"), F.col("doc_id").cast("string"))
+    files = inventory_files(spark, sf_dir)
+    return files.select(
+        F.substring_index("relative_path", "/", 1).alias("bundle_id"),
+        (F.col("doc_id") + 1).alias("position"),
+        "repo",
+        F.when(F.col("doc_id") % 10 == 9, gone).otherwise(F.col("relative_path")).alias("relative_path"),
+    )
+
+
+def markdown_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles as received from outside: two fenced files and a section without a fence."""
+    num = F.col("doc_id").cast("string")
+    fence = "```"
+    body = F.concat(
+        F.lit("# Title\n## a/"), num, F.lit(f".js\n\n{fence}JavaScript\nlet x = "), num, F.lit(f"\n{fence}\n---\n## notes\nno code\n## b "),
+        num, F.lit(f".md \n**Size:** 1\n{fence}md\n"), "text", F.lit(f"\n{fence}\n"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+
+
+def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document bytes in several encodings."""
+    k = F.col("doc_id") % 4
+    utf8 = F.encode("text", "UTF-8")
+    mark = F.lit(bytearray(b"\xef\xbb\xbf"))
+    content = (
+        F.when(k == 0, utf8).when(k == 1, F.concat(mark, utf8))
+        .when(k == 2, F.encode("text", "UTF-16")).otherwise(F.concat(utf8, F.lit(bytearray(b"\xe9 "))))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+
+
+def routing(spark: SparkSession) -> DataFrame:
+    """Routing table: candidates per task in order; an empty subtask is the general rule."""
+    rows = [
+        ("documentation", "architecture", ["model_3", "model_0", "model_1"]),
+        ("documentation", "readme", ["model_4", "", "model_2"]),
+        ("documentation", "", ["model_0", "model_1"]),
+        ("analysis", "dependency", ["model_9", "model_8"]),
+        ("analysis", "", ["model_2"]),
+    ]
+    flat = [(t, s, i, m) for t, s, models in rows for i, m in enumerate(models)]
+    return spark.createDataFrame(flat, "task string, subtask string, rank int, model string")

@@ -55,7 +55,7 @@ raw AS (SELECT doc_id, n_chars * 1000 AS size, concat(
 
 CALLS = """
 calls AS (SELECT event_id, concat('model_', cast(user_id % 5 AS varchar)) AS model_name, event_type <> 'error' AS success,
-  value AS response_time, cast(json_extract_string(props, '$.k') AS int) AS complexity, ts FROM events)"""
+  cast(value AS decimal(18,4)) AS response_time, cast(json_extract_string(props, '$.k') AS int) AS complexity, ts FROM events)"""
 
 # Every folder of every file, the top as '.'.
 FOLDERS = """
@@ -116,10 +116,9 @@ SELECT directory, CASE WHEN bool_and(sel) THEN 'selected' WHEN bool_or(sel) THEN
   SELECT unnest(['.', top, top||'/'||sub]) AS directory, doc_id IN (SELECT doc_id FROM selection) AS sel FROM inventory) GROUP BY 1"""
 SQL["extension_filter"] = _with(INVENTORY) + """
 SELECT relative_path, size FROM inventory WHERE extension IN ('.css','.html')"""
-SQL["tree_order"] = _with(RAW) + """
-SELECT relative_path, row_number() OVER (ORDER BY
-  list_transform(string_split(relative_path,'/'), lambda p, i: CASE WHEN i = len(string_split(relative_path,'/')) THEN '1' ELSE '0' END || lower(p) || chr(2) || p)) AS position
-FROM raw"""
+SQL["tree_keys"] = _with(RAW) + """
+SELECT relative_path, array_to_string(list_transform(string_split(relative_path,'/'), lambda p, i:
+  CASE WHEN i = len(string_split(relative_path,'/')) THEN '1' ELSE '0' END || lower(p) || chr(2) || p), chr(1)) AS sort_key FROM raw"""
 SQL["preview"] = """
 SELECT doc_id, CASE WHEN length(text) >= 5000 THEN substr(text,1,5000)||chr(10)||chr(10)||'... (truncated)' ELSE text END AS preview
 FROM documents WHERE strlen(text) <= 1048576"""
@@ -246,6 +245,13 @@ SELECT node, side, array_to_string(list_slice(list(label ORDER BY label, other),
     SELECT src AS node, 'dependencies' AS side, dst AS other FROM edges UNION ALL SELECT dst, 'dependents', src FROM edges)) GROUP BY node, side"""
 SQL["graph_export"] = _with(*GRAPH) + """
 SELECT translate(src,'/.-','___') AS source, translate(dst,'/.-','___') AS target FROM edges"""
+SQL["graph_export_nodes"] = _with(*GRAPH, NODES) + """
+SELECT translate(relative_path,'/.-','___') AS id, label, relative_path AS path, file_type AS type, is_entry_point, is_leaf,
+  n_dependencies AS dependency_count, n_dependents AS dependent_count FROM nodes"""
+SQL["dependency_report"] = _with(*CHOSEN, *GRAPH) + """
+SELECT relative_path, (SELECT count(*) FROM edges WHERE src = s.relative_path AND dst IN (SELECT relative_path FROM selection)) AS n_dependencies,
+  (SELECT count(*) FROM edges WHERE dst = s.relative_path AND src IN (SELECT relative_path FROM selection)) AS n_dependents,
+  (SELECT count(*) FROM resolved r WHERE r.relative_path = s.relative_path AND target NOT IN (SELECT relative_path FROM selection)) AS n_missing FROM selection s"""
 _SEED = "(SELECT relative_path FROM src WHERE doc_id = 0)"
 SQL["reachability"] = "WITH RECURSIVE " + ",".join(GRAPH) + f""",
 ahead AS (SELECT {_SEED} AS node UNION SELECT dst FROM ahead JOIN edges ON src = node),
@@ -327,3 +333,200 @@ SELECT relative_path, CASE extension WHEN '.js' THEN 'javascript' WHEN '.jsx' TH
   length(content) AS n_chars, CASE extension WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.css' THEN 'css' ELSE 'html' END AS type,
   len(string_split(content, chr(10))) AS total_lines, CASE WHEN extension = '.py' THEN 2 WHEN extension IN ('.js','.jsx') THEN 4 END AS complexity_score,
   CASE WHEN extension = '.ts' THEN length(content) END AS size FROM src"""
+
+# Bundles and archives ----------------------------------------------------------------------------
+REQUESTS = r"""
+requests AS (SELECT top AS bundle_id, doc_id + 1 AS position, CASE WHEN doc_id % 10 = 9 THEN 'gone/'||doc_id ELSE relative_path END AS relative_path FROM inventory)"""
+SECTIONS = r"""
+sections AS (SELECT r.bundle_id, r.position, s.relative_path, s.extension, s.content, concat(
+    chr(10), '## ', s.relative_path, chr(10), chr(10), '**File Size:** ', CASE WHEN strlen(s.content) < 1024 THEN format('{:.2f} B', cast(strlen(s.content) AS double)) ELSE format('{:.2f} KB', strlen(s.content)/1024) END, '  ', chr(10),
+    '**Last Modified:** ', strftime(timestamp '2024-01-01 00:00:00' + to_minutes(s.doc_id), '%Y-%m-%d %H:%M:%S'), '  ', chr(10), chr(10),
+    repeat(chr(96),3), CASE s.extension WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'jsx' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.css' THEN 'css' ELSE 'html' END, chr(10),
+    s.content, chr(10), repeat(chr(96),3), chr(10), chr(10), '---') AS text FROM requests r JOIN src s ON s.relative_path = r.relative_path),
+toc AS (SELECT bundle_id, position, position||'. ['||r.relative_path||'](#'||translate(r.relative_path,'/.-','___')||')' AS text
+  FROM requests r WHERE r.relative_path IN (SELECT relative_path FROM inventory))"""
+SQL["bundle_sections"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS) + "SELECT bundle_id, position, relative_path, text FROM sections"
+SQL["bundle_contents"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS) + "SELECT bundle_id, position, text FROM toc"
+
+
+def _whole(mode: str, keep: str) -> str:
+    """Whole documents of the bundles, joined in order."""
+    head = (
+        "'# Aggregated Source Code'||chr(10)||chr(10)||'**Generated at:** 2024-01-01 00:00:00'||chr(10)||'**Root Directory:** `corpus`'||chr(10)"
+        f"||'**Total Files:** '||n||chr(10)||'**Compression Type:** {mode}'||chr(10)||chr(10)||'## Table of Contents'||chr(10)"
+    )
+    return f"""
+asked AS (SELECT * FROM requests WHERE {keep}),
+whole AS (SELECT bundle_id, file_count, concat({head}, chr(10)||t, chr(10)||chr(10)||'---'||chr(10), chr(10)||s) AS md FROM
+  (SELECT bundle_id, count(*) AS file_count, count(*) AS n FROM asked GROUP BY 1)
+  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS t FROM toc JOIN asked USING (bundle_id, position) GROUP BY 1) USING (bundle_id)
+  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS s FROM sections JOIN asked USING (bundle_id, position) GROUP BY 1) USING (bundle_id))"""
+
+
+SQL["bundle_manifest"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS, _whole("none", "true")) + """
+SELECT bundle_id, 'source_code_none_20240101_000000.md' AS filename, length(md) AS size, file_count, 'none' AS compression_type FROM whole"""
+SQL["semantic_metadata"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS, _whole("semantic", "relative_path LIKE '%.ts'")) + """
+SELECT bundle_id, length(md) AS original_size, c AS compressed_size, k AS files_count, round(c / length(md) * 100, 2) AS compression_ratio, 'semantic_lossy' AS compression_type
+FROM whole JOIN (SELECT bundle_id, count(*) AS k, 2 + length(string_agg('{"file":"'||relative_path||'","type":"typescript","total_lines":'||len(string_split(content,chr(10)))
+    ||',"size":'||length(content)||',"summary":"Generic text file"}', ',')) AS c FROM sections WHERE extension = '.ts' GROUP BY 1) USING (bundle_id)"""
+SQL["bundle_parse"] = """
+SELECT doc_id, 0 AS position, 'a/'||doc_id||'.js' AS file, 'javascript' AS language, 'let x = '||doc_id AS code FROM documents
+UNION ALL SELECT doc_id, 2, 'b '||doc_id||'.md', 'md', text FROM documents"""
+SQL["bundle_one_file"] = "SELECT doc_id, text AS code FROM documents"
+SQL["bundle_invalid"] = """
+SELECT doc_id, 'Invalid markdown format' AS error, length(text) AS original_size FROM documents WHERE doc_id % 2 = 1"""
+SQL["content_hash_dedup"] = """
+SELECT DISTINCT substr(sha256(text),1,16) AS hash, 'original_'||substr(sha256(text),1,16)||'.md' AS filename, substr(sha256(text),1,2) AS prefix, text AS content FROM documents"""
+SQL["content_store_add"] = """
+SELECT DISTINCT substr(sha256(text),1,16) AS hash, length(text) AS n_chars FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')"""
+SQL["archive_roundtrip"] = "SELECT doc_id, text AS content, substr(sha256(text),1,16) AS hash FROM documents"
+HYBRID = """
+h AS (SELECT doc_id, lang, length(text) AS original_size, length('{"lang":"'||lang||'"}') AS compressed_size, text FROM documents)"""
+SQL["hybrid_records"] = _with(HYBRID) + """
+SELECT doc_id, substr(sha256(text),1,16) AS hash, 'original_'||substr(sha256(text),1,16)||'.md' AS filename, original_size, compressed_size,
+  CASE WHEN original_size > 0 THEN round(compressed_size / original_size * 100, 2) ELSE 0.0 END AS compression_ratio, 'hybrid' AS compression_type FROM h"""
+SQL["archive_restore"] = """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 3 THEN NULL WHEN kept OR doc_id % 8 < 4 THEN text END AS content,
+  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 3 THEN 'Cannot decompress semantic compression' WHEN (kept OR doc_id % 8 < 4) AND text <> '' THEN NULL ELSE 'Original file not found' END AS error
+FROM (SELECT doc_id, text, text IN (SELECT text FROM documents WHERE lang = 'en') AS kept FROM documents)"""
+SQL["size_reduction"] = _with(HYBRID) + """
+SELECT lang, o AS original_size, c AS compressed_size, round(c / o * 100, 2) AS compression_ratio, o - c AS saved,
+  CASE WHEN o - c < 1024 THEN format('{:.2f} B', cast(o - c AS double)) WHEN o - c < 1048576 THEN format('{:.2f} KB', (o - c)/1024) ELSE format('{:.2f} MB', (o - c)/1048576) END AS saved_shown
+FROM (SELECT lang, cast(sum(original_size) AS bigint) AS o, cast(sum(compressed_size) AS bigint) AS c FROM h GROUP BY lang)"""
+SQL["retention"] = _with(INVENTORY) + """
+SELECT relative_path, last_modified < timestamp '2024-01-01 06:00:00' AS expired FROM inventory"""
+SQL["encoding_audit"] = """
+SELECT CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'unknown' END AS encoding, count(*) AS n_files FROM documents GROUP BY 1"""
+SQL["decoded_content"] = """
+SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN text||chr(65533)||' ' ELSE text END AS content FROM documents"""
+
+# Checks ------------------------------------------------------------------------------------------
+
+
+def _count(column: str, char: str) -> str:
+    return f"(length({column}) - length(replace({column},'{char}','')))"
+
+
+def _mismatch(column: str, kinds) -> str:
+    whens = " ".join(
+        f"WHEN {_count(column, o)} <> {_count(column, c)} THEN 'Mismatched {n}: '||{_count(column, o)}||' vs '||{_count(column, c)}"
+        for n, o, c in kinds
+    )
+    return f"CASE {whens} ELSE 'Syntax appears valid' END"
+
+
+_KINDS = [("braces", "{", "}"), ("parentheses", "(", ")"), ("brackets", "[", "]")]
+SQL["bracket_balance"] = f"""
+SELECT page_id, message = 'Syntax appears valid' AS valid, message FROM (SELECT page_id, {_mismatch('html', _KINDS)} AS message FROM pages)"""
+SQL["style_balance"] = _with(SRC) + f"""
+SELECT relative_path, message = 'Syntax appears valid' AS valid, message FROM (
+  SELECT relative_path, {_mismatch('c', _KINDS[:1])} AS message FROM (SELECT relative_path, regexp_replace(content,'(?s)/\\*.*?\\*/','','g')||CASE WHEN doc_id % 3 = 0 THEN '{{' ELSE '' END AS c FROM src))"""
+SQL["python_syntax"] = _with(SRC) + "SELECT relative_path, doc_id % 4 <> 3 AS valid FROM src WHERE extension = '.py'"
+SQL["required_paths"] = _with(INVENTORY, REQUESTS) + """
+SELECT relative_path, relative_path IN (SELECT relative_path FROM inventory) AS found FROM requests"""
+RULES = """
+rules AS (SELECT relative_path, unnest(['import','la','/api/'||(position%5)]) AS element FROM requests),
+absent AS (SELECT r.relative_path, CASE WHEN s.content IS NULL THEN 'File not found' ELSE element END AS missing
+  FROM rules r LEFT JOIN src s USING (relative_path) WHERE s.content IS NULL OR NOT contains(s.content, element))"""
+SQL["absent_elements"] = _with(INVENTORY, SRC, REQUESTS, RULES) + "SELECT relative_path, missing FROM absent"
+SQL["element_status"] = _with(INVENTORY, SRC, REQUESTS, RULES) + """
+SELECT relative_path, count(DISTINCT missing) AS n_missing, count(DISTINCT missing) = 0 AS valid
+FROM (SELECT DISTINCT relative_path FROM requests) LEFT JOIN absent USING (relative_path) GROUP BY 1"""
+SQL["diagram_blocks"] = """
+SELECT doc_id, 0 AS block, 'graph TD'||chr(10)||'  a'||doc_id||' --> b' AS diagram FROM documents UNION ALL SELECT doc_id, 1, 'pie' FROM documents"""
+SQL["diagram_to_lines"] = """
+SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+DIAGRAMS = r"""
+dl AS (SELECT source AS diagram_id, doc_id AS line_no, trim(CASE (doc_id * 7 + doc_id // 20) % 12
+    WHEN 0 THEN 'subgraph S_'||doc_id WHEN 1 THEN '  n'||(doc_id%40)||'['||lang||']' WHEN 2 THEN 'n'||doc_id||'(r) --> n'||(doc_id+1)
+    WHEN 3 THEN 'end' WHEN 4 THEN 'n'||(doc_id%40)||' --> x.'||doc_id||' label' WHEN 5 THEN 'classDef c'||doc_id||' fill:#f9f,stroke:#12,bare,stroke-width:x2,'
+    WHEN 6 THEN 'classDef a fill:red classDef b' WHEN 7 THEN 'n'||doc_id||'-->n1' WHEN 8 THEN '%% note '||doc_id
+    WHEN 9 THEN 'n'||(doc_id%40)||'_'||(doc_id%3)||'{open[}' WHEN 10 THEN 'subgraph bad name'||doc_id ELSE 'pie --> graph '||doc_id END) AS line,
+  (doc_id * 7 + doc_id // 20) % 12 AS k FROM documents),
+defs AS (SELECT diagram_id, line_no, regexp_extract(line,'^([a-zA-Z_][a-zA-Z0-9_]*)[\[({]',1) AS node FROM dl WHERE k IN (1,2,9)),
+firsts AS (SELECT diagram_id, node, min(line_no) AS first_line FROM defs GROUP BY ALL),
+dup AS (SELECT d.diagram_id, d.line_no, d.node FROM defs d JOIN firsts f ON f.diagram_id = d.diagram_id AND f.node = d.node AND d.line_no > f.first_line),
+blocks AS (SELECT diagram_id, line_no, CASE WHEN k = 3 THEN -1 ELSE 1 END AS delta FROM dl WHERE k IN (0,3,10)),
+fwd AS (SELECT *, sum(delta) OVER (PARTITION BY diagram_id ORDER BY line_no) AS s FROM blocks),
+fwd2 AS (SELECT *, coalesce(min(s) OVER (PARTITION BY diagram_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM fwd),
+ends AS (SELECT diagram_id, line_no FROM fwd2 WHERE delta = -1 AND s < least(low, 0)),
+bwd AS (SELECT *, sum(-delta) OVER (PARTITION BY diagram_id ORDER BY line_no DESC) AS s FROM blocks),
+bwd2 AS (SELECT *, coalesce(min(s) OVER (PARTITION BY diagram_id ORDER BY line_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM bwd),
+opens AS (SELECT diagram_id, line_no FROM bwd2 WHERE delta = 1 AND s < least(low, 0)),
+arrow AS (SELECT diagram_id, line_no, 'source' AS side, CASE k WHEN 2 THEN 'n'||line_no||'(r)' WHEN 4 THEN 'n'||(line_no%40) ELSE 'n'||line_no END AS name FROM dl WHERE k IN (2,4,7)
+  UNION ALL SELECT diagram_id, line_no, 'target', 'x.'||line_no FROM dl WHERE k = 4),
+undef AS (SELECT a.diagram_id, a.line_no, side, name,
+    coalesce((SELECT array_to_string(list_slice(list(node ORDER BY first_line), 1, 5), ', ')||CASE WHEN count(*) > 5 THEN '...' ELSE '' END
+      FROM firsts f WHERE f.diagram_id = a.diagram_id AND f.first_line <= a.line_no), '') AS available
+  FROM arrow a WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.diagram_id = a.diagram_id AND f.first_line <= a.line_no
+    AND (f.node = a.name OR (starts_with(f.node, a.name||'_') AND regexp_full_match(substr(f.node, length(a.name) + 2), '\d+')))))"""
+SQL["diagram_strict_lint"] = _with(DIAGRAMS) + """
+SELECT diagram_id, line_no, problem FROM (SELECT diagram_id, line_no, unnest(CASE k
+  WHEN 5 THEN ['classDef statement ends with trailing comma','classDef properties end with trailing comma']
+  WHEN 6 THEN ['Multiple classDef statements on same line - need line breaks'] WHEN 7 THEN ['Arrow syntax needs spaces around operators']
+  WHEN 9 THEN ['Unclosed square brackets'] ELSE [] END) AS problem FROM dl)"""
+SQL["diagram_duplicate_nodes"] = _with(DIAGRAMS) + "SELECT diagram_id, line_no, node FROM dup"
+SQL["diagram_unmatched_ends"] = _with(DIAGRAMS) + "SELECT diagram_id, line_no FROM ends"
+SQL["diagram_unclosed_blocks"] = _with(DIAGRAMS) + "SELECT diagram_id, line_no FROM opens"
+SQL["diagram_undefined_ends"] = _with(DIAGRAMS) + "SELECT diagram_id, line_no, side, name, available FROM undef"
+SQL["diagram_detailed_lint"] = _with(DIAGRAMS) + """
+SELECT diagram_id, line_no, 'Duplicate node ID '''||node||'''' AS problem FROM dup
+UNION ALL SELECT diagram_id, line_no, '''end'' without matching ''subgraph''' FROM ends
+UNION ALL SELECT diagram_id, line_no, 'Unclosed subgraph' FROM opens
+UNION ALL SELECT diagram_id, line_no, 'Undefined '||side||' node '''||name||'''. Available nodes: '||available FROM undef
+UNION ALL SELECT diagram_id, line_no, 'Subgraph name contains invalid characters' FROM dl WHERE k = 10
+UNION ALL SELECT diagram_id, line_no, 'Graph direction might be unclear' FROM dl WHERE k = 11
+UNION ALL SELECT diagram_id, line_no, 'Unmatched brackets' FROM dl WHERE k = 9
+UNION ALL SELECT diagram_id, line_no, unnest(['classDef statement has trailing comma - remove the comma at the end', '  Current:  '||line,
+  '  Fix:      '||line[:-2], 'Suggested complete fix:', '  Fixed:    '||line[:-2], 'Invalid color format in ''stroke:#12'' - use hex (#ff0000) or named colors (red)',
+  'Incomplete property ''bare'' in classDef - missing value after colon', 'Invalid stroke-width format - should be ''stroke-width:2px'' or ''stroke-width:2''']) FROM dl WHERE k = 5"""
+SQL["diagram_statistics"] = r"""
+SELECT doc_id, n AS n_nodes, c AS n_connections, CASE WHEN n > 20 THEN 'High' WHEN n > 10 THEN 'Medium' ELSE 'Low' END AS complexity FROM (
+  SELECT doc_id, len(regexp_extract_all(text,'(\w+)\[|[^\]]+\]|\w+')) AS n, len(regexp_extract_all(text,'-->|--|<-|\.\.')) AS c FROM documents)"""
+
+# Call statistics ---------------------------------------------------------------------------------
+STATS = """
+stats AS (SELECT model_name, count(*) FILTER (success) AS success_count, cast(sum(response_time) FILTER (success) AS double) AS total_response_time,
+    max(ts) FILTER (success) AS last_success, count(*) FILTER (NOT success) AS failure_count, cast(sum(response_time) FILTER (success) AS double) / count(*) FILTER (success) AS avg_response_time,
+    count(*) FILTER (NOT success) / count(*) AS failure_rate FROM calls GROUP BY 1)"""
+SQL["model_stats"] = _with(CALLS, STATS) + """
+SELECT model_name, success_count, total_response_time, epoch_us(last_success) AS last_success, failure_count, avg_response_time, failure_rate FROM stats"""
+SQL["degraded_models"] = _with(CALLS, STATS) + """
+SELECT model_name, (success_count + failure_count > 5 AND failure_rate > 0.2) OR (success_count >= 3 AND avg_response_time > 20.2) AS degraded FROM stats"""
+SQL["recent_scores"] = _with(CALLS) + """
+SELECT model_name, string_agg(cast(complexity AS varchar), ',' ORDER BY ts, event_id) AS scores FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY ts DESC, event_id DESC) AS r FROM calls WHERE success) WHERE r <= 20 GROUP BY 1"""
+SQL["running_mean"] = _with(CALLS) + """
+SELECT event_id, model_name, count(*) OVER w AS success_count, cast(sum(response_time) OVER w AS double) / count(*) OVER w AS avg_response_time
+FROM calls WHERE success WINDOW w AS (PARTITION BY model_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+ROUTING = """
+routing(task, subtask, rank, model) AS (VALUES ('documentation','architecture',0,'model_3'),('documentation','architecture',1,'model_0'),('documentation','architecture',2,'model_1'),
+  ('documentation','readme',0,'model_4'),('documentation','readme',2,'model_2'),('documentation','',0,'model_0'),('documentation','',1,'model_1'),
+  ('analysis','dependency',0,'model_9'),('analysis','dependency',1,'model_8'),('analysis','',0,'model_2')),
+best AS (SELECT task, subtask, model FROM (SELECT r.*, row_number() OVER (PARTITION BY task, subtask
+    ORDER BY CASE WHEN success_count >= 2 THEN 0 ELSE 1 END, CASE WHEN success_count >= 2 THEN avg_response_time END, CASE WHEN success_count >= 2 THEN failure_rate END, rank) AS n
+  FROM routing r LEFT JOIN stats s ON s.model_name = r.model) WHERE n = 1)"""
+SQL["best_models"] = _with(CALLS, STATS, ROUTING) + "SELECT task, subtask, model FROM best"
+SQL["model_routing"] = _with(CALLS, STATS, ROUTING) + """
+SELECT event_id, coalesce(x.model, g.model, 'model_default') AS model FROM (
+  SELECT event_id, ['documentation','analysis','other'][event_id % 3 + 1] AS task, ['architecture','readme','dependency','strange'][event_id % 4 + 1] AS subtask FROM events) e
+LEFT JOIN best x ON x.task = e.task AND x.subtask = e.subtask LEFT JOIN best g ON g.task = e.task AND g.subtask = ''"""
+SQL["stream_model_stats"] = _with(CALLS) + """
+SELECT epoch_us(date_trunc('day', ts)) AS window_start, model_name, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count,
+  coalesce(cast(sum(response_time) FILTER (success) AS double) / count(*) FILTER (success), 0) AS avg_response_time FROM calls
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) - INTERVAL 1 HOUR GROUP BY date_trunc('day', ts), model_name"""
+SQL["stream_recent_scores"] = SQL["recent_scores"]
+
+# Replies and prompts -----------------------------------------------------------------------------
+SQL["reply_parse"] = """
+SELECT conv_id*100+turn AS reply_id, CASE conv_id % 5 WHEN 0 THEN 2 ELSE 0 END AS n_files,
+  CASE conv_id % 5 WHEN 0 THEN 'x'||conv_id WHEN 1 THEN 'y' WHEN 4 THEN '' ELSE 'Failed to parse AI response' END AS reasoning,
+  cast(CASE conv_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 WHEN 4 THEN 0.25 ELSE 0.0 END AS double) AS confidence FROM conversations"""
+SQL["reply_validate"] = _with(INVENTORY) + """
+SELECT conv_id*100+turn AS request_id, 0 AS position, 'src0_en_mod_'||conv_id||'_js' AS file_id FROM conversations
+WHERE conv_id % 5 = 0 AND 'src0_en_mod_'||conv_id||'_js' IN (SELECT translate(relative_path,'/.-','___') FROM inventory)"""
+SQL["reply_confidence_bands"] = """
+SELECT conv_id*100+turn AS reply_id, 0 AS position, CASE WHEN conv_id % 10 > 8 THEN 'high' WHEN conv_id % 10 > 5 THEN 'medium' ELSE 'low' END AS band FROM conversations WHERE conv_id % 5 = 0
+UNION ALL SELECT conv_id*100+turn, 1, 'low' FROM conversations WHERE conv_id % 5 = 0"""
+SQL["prompt_chunks"] = _with(INVENTORY) + """
+SELECT top||'/'||sub AS folder, translate(relative_path,'/.-','___') AS id, relative_path, extension, size FROM inventory"""
