@@ -144,23 +144,22 @@ def parse(bundles: DataFrame, column: str = "text") -> DataFrame:
     A section runs to the next heading; its first fence is the file. Sections without a fence
     are left out.
     """
-    pattern = r"(?d)\n## ([^\n]+)\n((?s:.*?))(?=\n## [^\n]+\n|\z)"
-    found = F.zip_with(
-        F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)),
-        F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(2)),
-        lambda f, b: F.struct(f.alias("file"), b.alias("body")),
-    )
-    fence = r"(?U)```(\w+)\n((?s:.*?))\n```"
+    # Possessive line-by-line loops: each line end is looked at once and nothing is tried again.
+    pattern = r"\n## ([^\n]+)\n([^\n]*+(?:\n(?!## [^\n]+\n)[^\n]*+)*+)"
+    found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
+    fence = r"(?U)```(\w+)\n([^\n]*+(?:\n(?!```)[^\n]*+)*+)\n```"
+    body = F.regexp_extract("section", pattern, 2)
     others = [c for c in bundles.columns if c != column]
     return (
-        bundles.select(*others, F.posexplode(found).alias("position", "s"))
-        .filter(F.col("s.body").rlike(fence))
+        bundles.select(*others, F.posexplode(found).alias("position", "section"))
+        .select(*others, "position", F.regexp_extract("section", pattern, 1).alias("file"), body.alias("body"))
+        .filter(F.col("body").rlike(fence))
         .select(
             *others,
             "position",
-            text.strip(F.col("s.file")).alias("file"),
-            F.lower(F.regexp_extract("s.body", fence, 1)).alias("language"),
-            F.regexp_extract("s.body", fence, 2).alias("code"),
+            text.strip(F.col("file")).alias("file"),
+            F.lower(F.regexp_extract("body", fence, 1)).alias("language"),
+            F.regexp_extract("body", fence, 2).alias("code"),
         )
     )
 

@@ -12,24 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.operators.inventory import KEY
-from treeloom.session import stage
+from treeloom.session import Stages, stage, stage_counted
 
 COMPACT_EVERY = 16
+# With so few branching nodes left, paths that run from one component into another cost less than
+# finding the components.
+FEW_BRANCHES = 8
 
 
 def reach(edge_rows: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
     """Nodes ``(repo, node)`` reachable from the seeds, these included."""
     ends = ("dst", "src") if backward else ("src", "dst")
     step = stage(edge_rows.select("repo", F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct())
-    frontier = stage(seeds.select("repo", "node").distinct())
-    seen = [frontier]
-    while not frontier.isEmpty():
+    seen = Stages(edge_rows.sparkSession)
+    size = seen.write(seeds.select("repo", "node").distinct())
+    while size:
+        frontier = seen.last()
+        if len(seen.paths) >= COMPACT_EVERY:
+            seen.compact()
         found = frontier.join(step, ["repo", "node"]).select("repo", F.col("next").alias("node")).distinct()
-        frontier = stage(found.join(reduce(DataFrame.union, seen), ["repo", "node"], "left_anti"))
-        seen.append(frontier)
-        if len(seen) >= COMPACT_EVERY:
-            seen = [stage(reduce(DataFrame.union, seen))]
-    return reduce(DataFrame.union, seen)
+        size = seen.write(found.join(seen.all(), ["repo", "node"], "left_anti"))
+    return seen.all()
 
 
 def connected(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -43,64 +46,116 @@ def dependency_closure(edge_rows: DataFrame, selection: DataFrame) -> DataFrame:
     return grown.select("repo", F.col("node").alias("relative_path"))
 
 
-def _trim(edge_rows: DataFrame) -> DataFrame:
+def _trim(edge_rows: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle, round by round, until none can be dropped."""
-    current = stage(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
-    size = current.count()
+    current, size = stage_counted(edge_rows)
     while size:
         heads = current.select("repo", F.col("dst").alias("src")).distinct()
         inner = current.join(heads, ["repo", "src"], "left_semi")
         tails = inner.select("repo", F.col("src").alias("dst")).distinct()
-        trimmed = stage(inner.join(tails, ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
-        left = trimmed.count()
-        current = trimmed
+        current, left = stage_counted(inner.join(tails, ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
         if left == size:
             break
         size = left
-    return current
+    return current, size
+
+
+def _strongest(current: DataFrame) -> DataFrame:
+    """Largest node that reaches each node, ``(repo, node, color)``, by passing labels along edges.
+
+    Only labels that grew in a round are passed on in the next one.
+    """
+    ends = current.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colors, size = stage_counted(ends.select("repo", "node", F.col("node").alias("color"), F.lit(True).alias("grew")))
+    while size:
+        offers = (
+            colors.filter("grew").select("repo", F.col("node").alias("src"), "color")
+            .join(current, ["repo", "src"])
+            .groupBy("repo", F.col("dst").alias("node"))
+            .agg(F.max("color").alias("offer"))
+        )
+        colors, size = stage_counted(
+            colors.join(offers, ["repo", "node"], "left").select(
+                "repo",
+                "node",
+                F.greatest("color", "offer").alias("color"),
+                F.coalesce(F.col("offer") > F.col("color"), F.lit(False)).alias("grew"),
+            ),
+            F.count_if("grew"),
+        )
+    return colors.select("repo", "node", "color")
+
+
+def cyclic_core(edge_rows: DataFrame) -> DataFrame:
+    """Edges inside strongly connected components: those that lie on some cycle.
+
+    Each pass trims, labels every node with the largest node that reaches it, and splits off the
+    component of each label's own node, which is what reaches it back inside its label. Edges
+    between labels lie on no cycle and are dropped; the rest goes to the next pass.
+    """
+    rest, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
+    core = []
+    while size:
+        colors = _strongest(rest)
+        of_src = colors.select("repo", F.col("node").alias("src"), F.col("color").alias("src_color"))
+        of_dst = colors.select("repo", F.col("node").alias("dst"), F.col("color").alias("dst_color"))
+        same = stage(
+            rest.join(of_src, ["repo", "src"]).join(of_dst, ["repo", "dst"]).filter("src_color = dst_color")
+            .select("repo", "src", "dst")
+        )
+        member = stage(reach(same, colors.filter("node = color"), backward=True))
+        inside = same.join(member.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi").join(
+            member.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"
+        )
+        core.append(stage(inside.select("repo", "src", "dst")))
+        outside = same.join(member.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti").join(
+            member.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti"
+        )
+        rest, size = _trim(outside.select("repo", "src", "dst"))
+    return reduce(DataFrame.union, core) if core else rest
 
 
 def cycles(edge_rows: DataFrame, max_len: int | None = None) -> tuple[DataFrame, bool]:
     """Every elementary cycle once, as ``(repo, cycle)`` starting at its smallest node.
 
-    After trimming, paths grow from each node through larger nodes only and close when they
-    return to it. Without ``max_len`` the search is exhaustive, which can take exponentially many
-    paths on dense graphs; with it the second result tells whether longer paths were left.
+    Inside each strongly connected component, paths grow from each node through larger nodes only
+    and close when they return to it. Without ``max_len`` the search is exhaustive, which can
+    take exponentially many paths on dense graphs; with it the second result tells whether
+    longer paths were left.
     """
-    core = _trim(edge_rows)
-    paths = stage(
+    core, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
+    branches = core.groupBy("repo", "src").agg(F.count("*").alias("n")).filter("n > 1")
+    if size and branches.limit(FEW_BRANCHES + 1).count() > FEW_BRANCHES:
+        core = stage(cyclic_core(core))
+    hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
+    root = F.get("path", F.lit(0))
+    paths = Stages(edge_rows.sparkSession)
+    size = paths.write(
         core.filter("dst > src").select("repo", F.array("src", "dst").alias("path"), F.lit(False).alias("closed"))
     )
-    hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
-    found = []
     length = 2
-    while True:
-        open_paths = paths.filter("NOT closed")
-        if open_paths.isEmpty():
-            truncated = False
-            break
-        root = F.get("path", F.lit(0))
+    truncated = False
+    while size:
         grown = (
-            open_paths.withColumn("last", F.element_at("path", -1))
+            paths.last().filter("NOT closed")
+            .withColumn("last", F.element_at("path", -1))
             .join(hop, ["repo", "last"])
             .withColumn("closed", F.col("next") == root)
         )
+        longer = (F.col("next") > root) & ~F.array_contains("path", F.col("next"))
+        kept = F.col("closed") | longer
         if max_len is not None and length >= max_len:
-            grown = stage(grown.filter("closed").select("repo", "path", "closed"))
-            found.append(grown)
-            truncated = True
-            break
-        paths = stage(
-            grown.filter(F.col("closed") | ((F.col("next") > root) & ~F.array_contains("path", F.col("next")))).select(
+            truncated = truncated or not grown.filter(longer).isEmpty()
+            kept = F.col("closed")
+        size = paths.write(
+            grown.filter(kept).select(
                 "repo",
                 F.when(F.col("closed"), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
                 "closed",
             )
         )
-        found.append(paths)
         length += 1
-    rows = reduce(DataFrame.union, found) if found else paths
-    return rows.filter("closed").select("repo", F.col("path").alias("cycle")), truncated
+    return paths.all().filter("closed").select("repo", F.col("path").alias("cycle")), truncated
 
 
 def cycle_positions(cycle_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
@@ -131,13 +186,13 @@ def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None
         )
 
     step = stage(edge_rows.select("repo", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
-    level = stage(roots(entries, False).union(roots(flat, True)))
-    levels = [level]
+    levels = Stages(edge_rows.sparkSession)
+    size = levels.write(roots(entries, False).union(roots(flat, True)))
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while size and (max_depth is None or depth < max_depth):
         depth += 1
-        level = stage(
-            level.filter("NOT repeated AND NOT ends")
+        size = levels.write(
+            levels.last().filter("NOT repeated AND NOT ends")
             .join(step, ["repo", "node"])
             .select(
                 "repo",
@@ -148,7 +203,4 @@ def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None
                 F.lit(False).alias("ends"),
             )
         )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.union, levels).drop("ends")
+    return levels.all().drop("ends")

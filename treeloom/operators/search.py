@@ -10,13 +10,12 @@ from treeloom.operators.inventory import KEY
 from treeloom.operators.matching import contains_pairs
 
 
-def match_score(path: Column, query: Column) -> Column:
-    """Score of a path for a lower-cased query.
+def _spaced(path: Column) -> Column:
+    """Lower-cased words of a path, each between spaces, so that a word is found by ``contains``."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(path), r"(?U)\W+", " "), F.lit(" "))
 
-    100 for the whole file name, 50 for a part of it, 25 for a part of the path; up to 20 for
-    the share of query words among the path words; 10 when the path starts with the query.
-    """
-    folded = F.lower(path)
+
+def _score(folded: Column, spaced: Column, query: Column, asked_words: Column) -> Column:
     base = paths.name(folded)
     place = (
         F.when(base == query, 100.0)
@@ -24,12 +23,20 @@ def match_score(path: Column, query: Column) -> Column:
         .when(F.contains(folded, query), 25.0)
         .otherwise(0.0)
     )
-    asked = F.array_distinct(text.words(query))
-    shared = F.size(F.array_intersect(asked, text.words(folded)))
-    overlap = F.when(F.size(asked) > 0, shared / F.size(asked) * 20.0).otherwise(0.0)
+    shared = F.size(F.filter(asked_words, lambda w: F.contains(spaced, F.concat(F.lit(" "), w, F.lit(" ")))))
+    overlap = F.when(F.size(asked_words) > 0, shared / F.size(asked_words) * 20.0).otherwise(0.0)
     return place + overlap + F.when(folded.startswith(query), 10.0).otherwise(0.0)
 
 
+def match_score(path: Column, query: Column) -> Column:
+    """Score of a path for a lower-cased query.
+
+    100 for the whole file name, 50 for a part of it, 25 for a part of the path; up to 20 for
+    the share of query words among the path words; 10 when the path starts with the query.
+    """
+    return _score(F.lower(path), _spaced(path), query, F.array_distinct(text.words(query)))
+
+
 def _tokens(query: Column) -> Column:
     """What a path may contain to match: any word of the query or all of it."""
     return F.array_union(text.words(query), F.array(query))
@@ -56,14 +63,33 @@ def search_many(files: DataFrame, queries: DataFrame, limit: int = lookups.SEARC
     The rank filter is applied on each map side first, so a query that matches everything does
     not send its whole result to one task.
     """
-    asked = queries.filter("query <> ''").select("query_id", F.lower("query").alias("asked"))
-    tokens = asked.select("query_id", "asked", F.explode(_tokens(F.col("asked"))).alias("token"))
-    folded = files.select(*KEY, F.lower("relative_path").alias("_path"))
+    asked = (
+        queries.filter("query <> ''")
+        .select("query_id", F.lower("query").alias("asked"))
+        .withColumns(
+            {
+                "asked_words": F.array_distinct(text.words(F.col("asked"))),
+                "tokens": F.array_distinct(_tokens(F.col("asked"))),
+            }
+        )
+    )
+    tokens = asked.select("*", F.posexplode("tokens").alias("at", "token"))
+    # Each path may pair with very many queries, so the short path rows are spread over the full
+    # shuffle width first; a fixed number keeps adaptive execution from merging them again.
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = files.select(
+        *KEY, F.lower("relative_path").alias("_path"), _spaced(F.col("relative_path")).alias("_spaced")
+    ).repartition(width, *KEY)
+    # A pair counts at the first of the query's tokens that matches, so no duplicates arise.
+    earlier = F.exists(F.slice("tokens", F.lit(1), F.col("at")), lambda t: F.contains(F.col("_path"), t))
     scored = (
         contains_pairs(folded, "_path", tokens, "token")
-        .select("query_id", "asked", *KEY)
-        .distinct()
-        .withColumn("match_score", match_score(F.col("relative_path"), F.col("asked")))
+        .filter(~earlier)
+        .select(
+            "query_id",
+            *KEY,
+            _score(F.col("_path"), F.col("_spaced"), F.col("asked"), F.col("asked_words")).alias("match_score"),
+        )
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "relative_path", "repo")
     return (

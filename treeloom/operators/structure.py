@@ -35,7 +35,7 @@ CSS_REM = r"(?U)(\d+(?:\.\d+)?rem)"
 
 # Patterns of the Python summary. The first group is the indented block that starts
 # at the match, up to the next line that begins with a visible character.
-_BLOCK = r"(?=((?s:.*?)(?=\n\S|\z)))"
+_BLOCK = r"(?=([^\n]*+(?:\n(?!\S)[^\n]*+)*+))"
 PY_CLASS = r"(?U)(?=class\s)" + _BLOCK + r"class\s+(\w+)(?:\([^)]*\))?:"
 PY_METHOD = r"(?U)(?=def\s)" + _BLOCK + r"def\s+(\w+)\s*\([^)]*\):"
 PY_ROUTE = r"(?U)(?=@app)" + _BLOCK + r"""@app\.route\(['"]([^'"]+)['"]"""

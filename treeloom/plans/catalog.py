@@ -25,6 +25,7 @@ from treeloom.operators import (
 )
 from treeloom.plans import fixtures as fx
 from treeloom.plans import report
+from treeloom.session import stage
 from treeloom.sources import encoding
 from treeloom.streaming import callstream, run
 
@@ -305,16 +306,19 @@ def escape_html(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir):
+    """Resolved imports, staged: content is read once however often they are used."""
     files = fx.src_files(spark, sf_dir)
-    return imports.resolve(imports.imports(files), fx.inventory_files(spark, sf_dir).select(*inventory.KEY))
+    return stage(imports.resolve(imports.imports(files), fx.inventory_files(spark, sf_dir).select(*inventory.KEY)))
 
 
 def _all_edges(spark, sf_dir):
     return graph.edges(_resolved(spark, sf_dir), fx.inventory_files(spark, sf_dir))
 
 
-def _all_nodes(spark, sf_dir):
-    return graph.nodes(fx.inventory_files(spark, sf_dir), _all_edges(spark, sf_dir))
+def _graph(spark, sf_dir):
+    """Nodes and edges over all files."""
+    edge_rows = _all_edges(spark, sf_dir)
+    return graph.nodes(fx.inventory_files(spark, sf_dir), edge_rows), edge_rows
 
 
 @query
@@ -344,12 +348,12 @@ def missing_deps(spark, sf_dir):
 
 @query
 def graph_degrees(spark, sf_dir):
-    return _all_nodes(spark, sf_dir).drop("repo")
+    return _graph(spark, sf_dir)[0].drop("repo")
 
 
 @query
 def graph_metrics(spark, sf_dir):
-    return graph.metrics(_all_nodes(spark, sf_dir)).drop("repo")
+    return graph.metrics(_graph(spark, sf_dir)[0]).drop("repo")
 
 
 @query
@@ -360,20 +364,20 @@ def completeness(spark, sf_dir):
 
 @query
 def graph_roles(spark, sf_dir):
-    return graph.role_filter(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir), "leaf")[0].select("relative_path")
+    return graph.role_filter(*_graph(spark, sf_dir), "leaf")[0].select("relative_path")
 
 
 @query
 def graph_role_edges(spark, sf_dir):
     """Edges among files that others need; the entry filter itself never leaves an edge."""
-    edge_rows = _all_edges(spark, sf_dir)
-    needed = _all_nodes(spark, sf_dir).withColumn("is_leaf", ~F.col("is_entry_point"))
+    node_rows, edge_rows = _graph(spark, sf_dir)
+    needed = node_rows.withColumn("is_leaf", ~F.col("is_entry_point"))
     return graph.role_filter(needed, edge_rows, "leaf")[1].drop("repo")
 
 
 @query
 def graph_search(spark, sf_dir):
-    return graph.search_nodes(_all_nodes(spark, sf_dir), "FR/mod_1").select("relative_path", "label")
+    return graph.search_nodes(_graph(spark, sf_dir)[0], "FR/mod_1").select("relative_path", "label")
 
 
 @query
@@ -384,18 +388,19 @@ def graph_neighbourhood(spark, sf_dir):
 
 @query
 def neighbour_labels(spark, sf_dir):
-    out = graph.neighbour_labels(_all_edges(spark, sf_dir), _all_nodes(spark, sf_dir))
+    node_rows, edge_rows = _graph(spark, sf_dir)
+    out = graph.neighbour_labels(edge_rows, node_rows)
     return out.select("node", "side", F.array_join("labels", ",").alias("labels"), "n_more")
 
 
 @query
 def graph_export(spark, sf_dir):
-    return graph.graph_export(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir))[1].drop("repo")
+    return graph.graph_export(*_graph(spark, sf_dir))[1].drop("repo")
 
 
 @query
 def graph_export_nodes(spark, sf_dir):
-    return graph.graph_export(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir))[0].drop("repo")
+    return graph.graph_export(*_graph(spark, sf_dir))[0].drop("repo")
 
 
 @query
@@ -430,9 +435,9 @@ def import_cycles(spark, sf_dir):
 
 @query
 def cycle_paths(spark, sf_dir):
-    edge_rows = _all_edges(spark, sf_dir)
+    node_rows, edge_rows = _graph(spark, sf_dir)
     found, _ = reach.cycles(edge_rows)
-    return reach.cycle_positions(found, _all_nodes(spark, sf_dir)).select("first", "position", "member", "label")
+    return reach.cycle_positions(found, node_rows).select("first", "position", "member", "label")
 
 
 @query

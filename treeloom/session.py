@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the jobs rely on. Shuffle width is left to the caller and to adaptive coalescing.
 SETTINGS = {
@@ -48,13 +49,53 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app_id]
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
+class Stages:
+    """Tables of one schema written round by round and read back together with a single scan."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.schema = None
+
+    def write(self, df: DataFrame, measure: Column | None = None) -> int:
+        """Write a round as Parquet under the shared folder.
+
+        Returns its row count, or another aggregate, taken while writing.
+        """
+        path = f"{stage_root(self.spark)}/treeloom/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        rows = Observation()
+        count = F.count(F.lit(1)) if measure is None else measure
+        df.observe(rows, count.alias("n")).write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return rows.get["n"]
+
+    def last(self) -> DataFrame:
+        """The latest round."""
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        """All rounds."""
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def compact(self) -> None:
+        """Rewrite all rounds as one, so that a long loop does not read ever more folders."""
+        whole = Stages(self.spark)
+        whole.write(self.all())
+        self.paths = whole.paths
+
+
+def stage_counted(df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` under the shared folder; return it read back, and its row count.
 
     The result has no lineage, survives executor loss and carries true file sizes, which lets
     the planner choose broadcast or sort-merge from facts.
     """
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/treeloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stages = Stages(df.sparkSession)
+    size = stages.write(df, measure)
+    return stages.last(), size
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``stage_counted`` without the count."""
+    return stage_counted(df)[0]
