@@ -166,6 +166,10 @@ def test_tree_source_reports_errors(spark, real_tree):
     spark.dataSource.register(tree.TreeSource)
     rows = spark.read.format("source_tree").option("path", str(real_tree)).load()
     assert tree.files(rows).count() == 6
+    assert tree.scan_errors(rows).count() == 0  # a link in a circle is neither file nor folder
+    reader = tree.TreeReader({"path": str(real_tree)})
+    gone = list(reader._folder(str(real_tree), str(real_tree / "gone"), None))
+    assert [(r[0], r[3]) for r in gone] == [("dir", "gone"), ("error", "gone")] and "gone" in gone[1][7]
     with pytest.raises(Exception, match="does not exist"):
         spark.read.format("source_tree").option("path", str(real_tree / "nope")).load().count()
 

@@ -38,6 +38,21 @@ def _skips_file(name: str) -> bool:
     return name.startswith(".") or ("lock" in name.lower() and name.endswith(lookups.LOCK_SUFFIXES))
 
 
+def _is_dir(entry: os.DirEntry) -> bool:
+    """Whether an entry is a folder; a link that cannot be followed is none."""
+    try:
+        return entry.is_dir()
+    except OSError:
+        return False
+
+
+def _is_file(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_file()
+    except OSError:
+        return False
+
+
 class Subtree(InputPartition):
     """Folders one task reads: ``(root, folder, whether to descend)``."""
 
@@ -87,7 +102,7 @@ class TreeReader(DataSourceReader):
                 shallow.append((root, folder, False))
                 try:
                     with os.scandir(folder) as entries:
-                        deeper += [(root, e.path) for e in entries if e.is_dir() and not _skips_dir(e.name)]
+                        deeper += [(root, e.path) for e in entries if _is_dir(e) and not _skips_dir(e.name)]
                 except OSError:
                     continue  # the task that reads this folder reports it
             frontier = sorted(deeper)
@@ -116,13 +131,13 @@ class TreeReader(DataSourceReader):
             yield self._row("error", root, folder, error=f"Permission denied: {error}")
             return
         for entry in entries:
+            if _is_dir(entry):
+                if pending is not None and not _skips_dir(entry.name):
+                    pending.append(entry.path)
+                continue
+            if not _is_file(entry) or _skips_file(entry.name):
+                continue
             try:
-                if entry.is_dir():
-                    if pending is not None and not _skips_dir(entry.name):
-                        pending.append(entry.path)
-                    continue
-                if not entry.is_file() or _skips_file(entry.name):
-                    continue
                 facts = entry.stat()
                 if not st.S_ISREG(facts.st_mode) or facts.st_size > self.max_size:
                     continue
