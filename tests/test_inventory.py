@@ -97,23 +97,23 @@ def test_selection_modes(spark):
 
 
 def test_search_scores_and_empty_query(spark):
-    files = files_of(spark, [("app.py", 1), ("x/app.py", 1), ("my_app.py", 1), ("none.txt", 1)])
-    got = {r["relative_path"]: r["match_score"] for r in search.search(files, "app.py").collect()}
-    assert got == {"app.py": 130.0, "x/app.py": 120.0, "my_app.py": 60.0}
+    files = files_of(spark, [("main.py", 1), ("x/main.py", 1), ("my_main.py", 1), ("none.txt", 1)])
+    got = {r["relative_path"]: r["match_score"] for r in search.search(files, "main.py").collect()}
+    assert got == {"main.py": 130.0, "x/main.py": 120.0, "my_main.py": 60.0}
     assert search.search(files, "").count() == 0
     dots = {r["relative_path"]: r["match_score"] for r in search.search(files, "/").collect()}
-    assert dots == {"x/app.py": 25.0}
+    assert dots == {"x/main.py": 25.0}
 
 
 def test_name_parsing_and_priority(spark):
-    names = matching.parse_names(spark, " app.py ,\n, nope\nX/APP")
-    assert [r["name"] for r in names.orderBy("position").collect()] == ["app.py", "nope", "X/APP"]
-    files = files_of(spark, [("app.py", 1), ("x/app.py", 1)])
+    names = matching.parse_names(spark, " main.py ,\n, nope\nX/MAIN")
+    assert [r["name"] for r in names.orderBy("position").collect()] == ["main.py", "nope", "X/MAIN"]
+    files = files_of(spark, [("main.py", 1), ("x/main.py", 1)])
     hits = matching.bulk_select(files, names)
-    assert {(r["relative_path"], r["name"]) for r in hits.collect()} == {("app.py", "app.py"), ("x/app.py", "app.py"), ("x/app.py", "X/APP")}
+    assert {(r["relative_path"], r["name"]) for r in hits.collect()} == {("main.py", "main.py"), ("x/main.py", "main.py"), ("x/main.py", "X/MAIN")}
     assert [r["name"] for r in matching.not_found(names, hits).collect()] == ["nope"]
     # Folders come before files in tree order; the match is case-sensitive.
-    assert [(r["name"], r["relative_path"]) for r in matching.priority_select(files, names).collect()] == [("app.py", "x/app.py")]
+    assert [(r["name"], r["relative_path"]) for r in matching.priority_select(files, names).collect()] == [("main.py", "x/main.py")]
 
 
 def test_nested_listing(spark):
@@ -265,7 +265,7 @@ def test_degraded_and_best(spark):
 
 def test_running_mean_across_slices(spark):
     rows = [("m", True, float(i), i) for i in range(1, 8)]
-    got = callstats.running_mean(calls_of(spark, rows), slice_seconds=2).orderBy("event_id").collect()
+    got = callstats.running_mean(calls_of(spark, rows), rows_per_slice=2).orderBy("event_id").collect()
     assert [r["avg_response_time"] for r in got] == [(i + 1) / 2 for i in range(1, 8)]
 
 

@@ -565,11 +565,13 @@ def bundle_manifest(spark, sf_dir):
 
 @query
 def semantic_metadata(spark, sf_dir):
-    """Bundles of TypeScript files, whose summary is short enough to restate."""
-    asked = fx.bundle_requests(spark, sf_dir).filter(F.col("relative_path").endswith(".ts"))
-    files = fx.sized_files(spark, sf_dir)
+    """Every document as a text file, in one bundle per source."""
+    files = fx.text_files(spark, sf_dir)
+    asked = files.select(
+        F.substring_index("relative_path", "/", 1).alias("bundle_id"), F.col("doc_id").alias("position"), "repo", "relative_path"
+    )
     rows = bundle.parts(asked, files, "2024-01-01 00:00:00", "semantic")
-    return bundle.semantic_metadata(asked, files.filter("extension = '.ts'"), rows)
+    return bundle.semantic_metadata(asked, files, rows)
 
 
 @query

@@ -110,6 +110,20 @@ def sized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file with its whole text."""
+    return table(spark, sf_dir, "documents").select(
+        F.lit("corpus").alias("repo"),
+        "doc_id",
+        F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative_path"),
+        F.col("text").alias("content"),
+        F.octet_length("text").cast("long").alias("size"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias(
+            "last_modified"
+        ),
+    )
+
+
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of good quality: leaves some import targets out."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")

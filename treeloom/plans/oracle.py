@@ -349,26 +349,28 @@ SQL["bundle_sections"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS) + "SELECT bun
 SQL["bundle_contents"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS) + "SELECT bundle_id, position, text FROM toc"
 
 
-def _whole(mode: str, keep: str) -> str:
-    """Whole documents of the bundles, joined in order."""
-    head = (
-        "'# Aggregated Source Code'||chr(10)||chr(10)||'**Generated at:** 2024-01-01 00:00:00'||chr(10)||'**Root Directory:** `corpus`'||chr(10)"
-        f"||'**Total Files:** '||n||chr(10)||'**Compression Type:** {mode}'||chr(10)||chr(10)||'## Table of Contents'||chr(10)"
-    )
-    return f"""
-asked AS (SELECT * FROM requests WHERE {keep}),
-whole AS (SELECT bundle_id, file_count, concat({head}, chr(10)||t, chr(10)||chr(10)||'---'||chr(10), chr(10)||s) AS md FROM
-  (SELECT bundle_id, count(*) AS file_count, count(*) AS n FROM asked GROUP BY 1)
-  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS t FROM toc JOIN asked USING (bundle_id, position) GROUP BY 1) USING (bundle_id)
-  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS s FROM sections JOIN asked USING (bundle_id, position) GROUP BY 1) USING (bundle_id))"""
-
-
-SQL["bundle_manifest"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS, _whole("none", "true")) + """
+_HEAD = (
+    "'# Aggregated Source Code'||chr(10)||chr(10)||'**Generated at:** 2024-01-01 00:00:00'||chr(10)||'**Root Directory:** `corpus`'||chr(10)"
+    "||'**Total Files:** '||n||chr(10)||'**Compression Type:** {mode}'||chr(10)||chr(10)||'## Table of Contents'||chr(10)"
+)
+# Whole documents of the bundles, joined in order.
+WHOLE = f"""
+whole AS (SELECT bundle_id, n AS file_count, concat({_HEAD.format(mode='none')}, chr(10)||t, chr(10)||chr(10)||'---'||chr(10), chr(10)||s) AS md FROM
+  (SELECT bundle_id, count(*) AS n FROM requests GROUP BY 1)
+  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS t FROM toc GROUP BY 1) USING (bundle_id)
+  LEFT JOIN (SELECT bundle_id, string_agg(text, chr(10) ORDER BY position) AS s FROM sections GROUP BY 1) USING (bundle_id))"""
+SQL["bundle_manifest"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS, WHOLE) + """
 SELECT bundle_id, 'source_code_none_20240101_000000.md' AS filename, length(md) AS size, file_count, 'none' AS compression_type FROM whole"""
-SQL["semantic_metadata"] = _with(INVENTORY, SRC, REQUESTS, SECTIONS, _whole("semantic", "relative_path LIKE '%.ts'")) + """
-SELECT bundle_id, length(md) AS original_size, c AS compressed_size, k AS files_count, round(c / length(md) * 100, 2) AS compression_ratio, 'semantic_lossy' AS compression_type
-FROM whole JOIN (SELECT bundle_id, count(*) AS k, 2 + length(string_agg('{"file":"'||relative_path||'","type":"typescript","total_lines":'||len(string_split(content,chr(10)))
-    ||',"size":'||length(content)||',"summary":"Generic text file"}', ',')) AS c FROM sections WHERE extension = '.ts' GROUP BY 1) USING (bundle_id)"""
+SQL["semantic_metadata"] = f"""
+WITH f AS (SELECT source AS bundle_id, doc_id, concat(source,'/doc_',cast(doc_id AS varchar),'.txt') AS path, text FROM documents),
+docs AS (SELECT bundle_id, doc_id||'. ['||path||'](#'||translate(path,'/.-','___')||')' AS toc, concat(chr(10), '## ', path, chr(10), chr(10), '**File Size:** ',
+    CASE WHEN strlen(text) < 1024 THEN format('{{:.2f}} B', cast(strlen(text) AS double)) ELSE format('{{:.2f}} KB', strlen(text)/1024) END, '  ', chr(10),
+    '**Last Modified:** ', strftime(timestamp '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S'), '  ', chr(10), chr(10),
+    repeat(chr(96),3), 'text', chr(10), text, chr(10), repeat(chr(96),3), chr(10), chr(10), '---') AS section,
+    '{{"file":"'||path||'","type":"text","total_lines":'||len(string_split(text,chr(10)))||',"size":'||length(text)||',"summary":"Generic text file"}}' AS summary FROM f),
+g AS (SELECT bundle_id, count(*) AS n, string_agg(toc, chr(10)) AS t, string_agg(section, chr(10)) AS s, 2 + length(string_agg(summary, ',')) AS c FROM docs GROUP BY 1)
+SELECT bundle_id, o AS original_size, c AS compressed_size, n AS files_count, round(c / o * 100, 2) AS compression_ratio, 'semantic_lossy' AS compression_type
+FROM (SELECT *, length(concat({_HEAD.format(mode='semantic')}, chr(10), t, chr(10)||chr(10)||'---'||chr(10), chr(10), s)) AS o FROM g)"""
 SQL["bundle_parse"] = """
 SELECT doc_id, 0 AS position, 'a/'||doc_id||'.js' AS file, 'javascript' AS language, 'let x = '||doc_id AS code FROM documents
 UNION ALL SELECT doc_id, 2, 'b '||doc_id||'.md', 'md', text FROM documents"""
