@@ -109,8 +109,9 @@ def brute_cycles(pairs):
     return found
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_cycles_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,few_paths", [(1, 1), (2, 10_000_000)])
+def test_cycles_match_brute_force(spark, monkeypatch, seed, few_paths):
+    monkeypatch.setattr(reach, "FEW_PATHS", few_paths)
     rng = random.Random(seed)
     nodes = [f"n{i}" for i in range(7)]
     pairs = sorted({(a, b) for a in nodes for b in nodes if a != b and rng.random() < 0.3})

@@ -6,6 +6,7 @@ round. No round touches more than the current frontier and the edges.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,29 +16,48 @@ from treeloom.operators.inventory import KEY
 from treeloom.session import Stages, stage, stage_counted
 
 COMPACT_EVERY = 16
-# With so few branching nodes left, paths that run from one component into another cost less than
-# finding the components.
-FEW_BRANCHES = 8
+# Below this many possible paths, following the ones that run from one component into another
+# costs less than finding the components.
+FEW_PATHS = 10_000_000
 
 
-def reach(edge_rows: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """Nodes ``(repo, node)`` reachable from the seeds, these included."""
-    ends = ("dst", "src") if backward else ("src", "dst")
-    step = stage(edge_rows.select("repo", F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct())
-    seen = Stages(edge_rows.sparkSession)
-    size = seen.write(seeds.select("repo", "node").distinct())
+def _spread(step: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """Follow ``step(keys, node, next)`` from ``seeds(keys, node)`` until nothing new is found."""
+    here = [*keys, "node"]
+    seen = Stages(step.sparkSession)
+    size = seen.write(seeds.select(*here).distinct())
     while size:
         frontier = seen.last()
         if len(seen.paths) >= COMPACT_EVERY:
             seen.compact()
-        found = frontier.join(step, ["repo", "node"]).select("repo", F.col("next").alias("node")).distinct()
-        size = seen.write(found.join(seen.all(), ["repo", "node"], "left_anti"))
+        found = frontier.join(step, here).select(*keys, F.col("next").alias("node")).distinct()
+        size = seen.write(found.join(seen.all(), here, "left_anti"))
     return seen.all()
 
 
+def reach(edge_rows: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """Nodes ``(repo, node)`` reachable from the seeds, these included."""
+    ends = ("dst", "src") if backward else ("src", "dst")
+    step = stage(edge_rows.select("repo", F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct())
+    return _spread(step, seeds, ["repo"])
+
+
+def reach_both(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes ``(repo, direction, node)`` reachable ``forward`` or ``backward``, in one loop."""
+    hop = F.explode(
+        F.array(
+            F.struct(F.lit("forward").alias("direction"), F.col("src").alias("node"), F.col("dst").alias("next")),
+            F.struct(F.lit("backward").alias("direction"), F.col("dst").alias("node"), F.col("src").alias("next")),
+        )
+    )
+    step = stage(edge_rows.select("repo", "src", "dst").distinct().select("repo", hop.alias("h")).select("repo", "h.*"))
+    both = F.explode(F.array(F.lit("forward"), F.lit("backward"))).alias("direction")
+    return _spread(step, seeds.select("repo", both, "node"), ["repo", "direction"])
+
+
 def connected(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything a node needs and everything that needs it."""
-    return reach(edge_rows, seeds).union(reach(edge_rows, seeds, backward=True)).distinct()
+    return reach_both(edge_rows, seeds).select("repo", "node").distinct()
 
 
 def dependency_closure(edge_rows: DataFrame, selection: DataFrame) -> DataFrame:
@@ -124,8 +144,9 @@ def cycles(edge_rows: DataFrame, max_len: int | None = None) -> tuple[DataFrame,
     longer paths were left.
     """
     core, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
-    branches = core.groupBy("repo", "src").agg(F.count("*").alias("n")).filter("n > 1")
-    if size and branches.limit(FEW_BRANCHES + 1).count() > FEW_BRANCHES:
+    # From any edge there are at most as many simple paths as the product of the out-degrees.
+    doublings = core.groupBy("repo", "src").agg(F.log2(F.count("*")).alias("bits")).agg(F.sum("bits")).first()[0]
+    if size and math.log2(size) + doublings > math.log2(FEW_PATHS):
         core = stage(cyclic_core(core))
     hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
     root = F.get("path", F.lit(0))

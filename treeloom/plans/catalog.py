@@ -416,10 +416,7 @@ def dependency_report(spark, sf_dir):
 @query
 def reachability(spark, sf_dir):
     seed = fx.inventory_files(spark, sf_dir).filter("doc_id = 0").select("repo", F.col("relative_path").alias("node"))
-    edge_rows = _all_edges(spark, sf_dir)
-    ahead = reach.reach(edge_rows, seed).select("node", F.lit("forward").alias("direction"))
-    behind = reach.reach(edge_rows, seed, backward=True).select("node", F.lit("backward").alias("direction"))
-    return ahead.union(behind)
+    return reach.reach_both(_all_edges(spark, sf_dir), seed).drop("repo")
 
 
 @query
