@@ -10,63 +10,78 @@ from treeloom.operators.inventory import KEY
 from treeloom.session import stage
 
 
-def _grams(value: Column, n: int) -> Column:
+# Substring lengths used as join keys; longer ones tell names apart better.
+GRAM_SIZES = (1, 2, 3, 6)
+
+
+def _grams(value: Column, n: int | Column) -> Column:
     """Distinct substrings of length ``n``; none when the value is shorter."""
-    starts = F.sequence(F.lit(1), F.length(value) - (n - 1))
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.sequence(F.lit(1), F.length(value) - n + 1)
     return F.when(
-        F.length(value) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, F.lit(n))))
+        F.length(value) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, n)))
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _all_grams(value: Column, sizes: list[int]) -> Column:
+    return F.concat(*[_grams(value, n) for n in sizes])
+
+
 def contains_pairs(
     texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, scope: list[str] | None = None
 ) -> DataFrame:
     """All ``(text row, needle row)`` pairs where the text contains the needle.
 
-    Every text that contains a needle also contains each trigram of it, so an equi-join on one
-    trigram per needle finds all pairs; ``contains`` then removes the false ones. The rarest
-    trigram is used. Needles of up to three characters are their own key. ``scope`` names
-    columns of both tables that must be equal as well; all other column names must differ. The
-    key table is staged, so the join is a broadcast only where its real size allows that;
-    otherwise rows are shuffled by gram and adaptive execution splits frequent grams.
+    A text that contains a needle also contains each substring of it, so an equi-join on one
+    substring per needle finds all pairs; ``contains`` then removes the false ones. The key has
+    the largest length in ``GRAM_SIZES`` that fits and is the rarest such substring. ``scope``
+    names columns of both tables that must be equal as well; all other column names must
+    differ. Needles and keys are staged, so the joins are broadcasts only where their real size
+    allows that; otherwise rows are shuffled by key and adaptive execution splits frequent ones.
     """
     scope = scope or []
-    distinct_needles = (
-        needles.select(*scope, F.col(needle_col).alias("_needle")).filter("_needle <> ''").distinct()
-    )
-    short = distinct_needles.filter(F.length("_needle") <= 3).withColumn("_gram", F.col("_needle"))
-    long_needles = distinct_needles.filter(F.length("_needle") > 3)
-    long_grams = (
-        long_needles.select("_needle").distinct()
-        .withColumn("_gram", F.explode(_grams(F.col("_needle"), 3)))
-    )
-    wanted = long_grams.select("_gram").distinct()
-    frequency = (
-        texts.select(F.explode(_grams(F.col(text_col), 3)).alias("_gram"))
-        .join(wanted, "_gram", "left_semi")
-        .groupBy("_gram")
-        .agg(F.count("*").alias("_n"))
-    )
-    rarest = (
-        long_grams.join(frequency, "_gram", "left")
-        .groupBy("_needle")
-        .agg(
-            F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"),
-            F.count_if(F.col("_n").isNull()).alias("_absent"),
+    length = F.length("_needle")
+    size = F.lit(GRAM_SIZES[0])
+    for n in GRAM_SIZES[1:]:
+        size = F.when(length >= n, n).otherwise(size)
+    needles = stage(needles.withColumn("_needle", F.col(needle_col)).filter("_needle <> ''"))
+    wanted = needles.select(*scope, "_needle").distinct().withColumn("_size", size)
+    # At most one row per size and flag.
+    used = wanted.select("_size", (length > F.col("_size")).alias("longer")).distinct().collect()
+    exact = wanted.filter(length == F.col("_size")).select(*scope, "_needle", F.col("_needle").alias("_gram"))
+    keys = exact
+    longer_sizes = sorted(r["_size"] for r in used if r["longer"])
+    if longer_sizes:
+        longer = wanted.filter(length > F.col("_size"))
+        candidates = (
+            longer.select("_needle", "_size").distinct()
+            .select("_needle", F.explode(_grams(F.col("_needle"), F.col("_size"))).alias("_gram"))
         )
-        # A needle with a trigram that no text has cannot match.
-        .filter("_absent = 0")
-        .select("_needle", "_gram")
-    )
-    keys = stage(short.unionByName(long_needles.join(rarest, "_needle")))
-    lengths = sorted(r[0] for r in keys.select(F.length("_gram")).distinct().collect())  # at most 1, 2, 3
-    grams = F.concat(*[_grams(F.col(text_col), n) for n in lengths or [3]])
+        frequency = (
+            texts.select(F.explode(_all_grams(F.col(text_col), longer_sizes)).alias("_gram"))
+            .join(candidates.select("_gram").distinct(), "_gram", "left_semi")
+            .groupBy("_gram")
+            .agg(F.count("*").alias("_n"))
+        )
+        rarest = (
+            candidates.join(frequency, "_gram", "left")
+            .groupBy("_needle")
+            .agg(
+                F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"),
+                F.count_if(F.col("_n").isNull()).alias("_absent"),
+            )
+            # A needle with a substring that no text has cannot match.
+            .filter("_absent = 0")
+            .select("_needle", "_gram")
+        )
+        keys = stage(exact.unionByName(longer.drop("_size").join(rarest, "_needle")))
+    sizes = sorted({r["_size"] for r in used}) or [1]
     return (
-        texts.withColumn("_gram", F.explode(grams))
+        texts.withColumn("_gram", F.explode(_all_grams(F.col(text_col), sizes)))
         .join(keys, [*scope, "_gram"])
         .filter(F.contains(F.col(text_col), F.col("_needle")))
         .drop("_gram")
-        .join(needles.withColumn("_needle", F.col(needle_col)), [*scope, "_needle"])
+        .join(needles, [*scope, "_needle"])
         .drop("_needle")
     )
 
