@@ -156,7 +156,9 @@ def test_hierarchy_ends_at_repeats_and_lists_flat_without_entries(spark):
     assert {tuple(r["path"]) for r in flat} == {("a",), ("b",), ("c",)}
 
 
-def test_contains_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("many", [0, 1000])
+def test_contains_pairs_match_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(matching, "MANY_NEEDLES", many)
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab/") for _ in range(rng.randint(0, 14))) for _ in range(80)]
     needles = sorted({"".join(rng.choice("ab/") for _ in range(rng.randint(1, 8))) for _ in range(60)})

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
 from treeloom.operators.inventory import KEY
-from treeloom.session import stage
+from treeloom.session import stage, stage_counted
 
 
-# Substring lengths used as join keys; longer ones tell names apart better.
-GRAM_SIZES = (1, 2, 3, 6)
+# Substring lengths used as join keys. Longer ones tell very many needles apart better, at the
+# price of more keys per text.
+GRAM_SIZES = (1, 2, 3)
+MANY_GRAM_SIZES = (1, 2, 3, 6)
+MANY_NEEDLES = 20_000
 
 
 def _grams(value: Column, n: int | Column) -> Column:
@@ -34,23 +37,28 @@ def contains_pairs(
 
     A text that contains a needle also contains each substring of it, so an equi-join on one
     substring per needle finds all pairs; ``contains`` then removes the false ones. The key has
-    the largest length in ``GRAM_SIZES`` that fits and is the rarest such substring. ``scope``
+    the largest length that fits and is the rarest such substring. ``scope``
     names columns of both tables that must be equal as well; all other column names must
     differ. Needles and keys are staged, so the joins are broadcasts only where their real size
     allows that; otherwise rows are shuffled by key and adaptive execution splits frequent ones.
     """
     scope = scope or []
     length = F.length("_needle")
-    size = F.lit(GRAM_SIZES[0])
-    for n in GRAM_SIZES[1:]:
+    # Needles per length are counted while they are staged; the last count is for all longer ones.
+    lengths = range(1, max(MANY_GRAM_SIZES) + 2)
+    per_length = F.array(*[F.count_if(F.least(length, F.lit(lengths[-1])) == n) for n in lengths])
+    needles, counts = stage_counted(
+        needles.withColumn("_needle", F.col(needle_col)).filter("_needle <> ''"), per_length
+    )
+    gram_sizes = MANY_GRAM_SIZES if sum(counts) > MANY_NEEDLES else GRAM_SIZES
+    size_of = {n: max(g for g in gram_sizes if g <= n) for n, count in zip(lengths, counts) if count}
+    size = F.lit(gram_sizes[0])
+    for n in gram_sizes[1:]:
         size = F.when(length >= n, n).otherwise(size)
-    needles = stage(needles.withColumn("_needle", F.col(needle_col)).filter("_needle <> ''"))
     wanted = needles.select(*scope, "_needle").distinct().withColumn("_size", size)
-    # At most one row per size and flag.
-    used = wanted.select("_size", (length > F.col("_size")).alias("longer")).distinct().collect()
     exact = wanted.filter(length == F.col("_size")).select(*scope, "_needle", F.col("_needle").alias("_gram"))
     keys = exact
-    longer_sizes = sorted(r["_size"] for r in used if r["longer"])
+    longer_sizes = sorted({g for n, g in size_of.items() if n > g})
     if longer_sizes:
         longer = wanted.filter(length > F.col("_size"))
         candidates = (
@@ -75,7 +83,7 @@ def contains_pairs(
             .select("_needle", "_gram")
         )
         keys = stage(exact.unionByName(longer.drop("_size").join(rarest, "_needle")))
-    sizes = sorted({r["_size"] for r in used}) or [1]
+    sizes = sorted(set(size_of.values())) or [1]
     return (
         texts.withColumn("_gram", F.explode(_all_grams(F.col(text_col), sizes)))
         .join(keys, [*scope, "_gram"])
