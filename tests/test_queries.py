@@ -26,3 +26,9 @@ def test_query(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["directory", "file_count", "total_size"]
+
+
+def test_functions_are_shipped_with_the_job():
+    from pyspark import cloudpickle
+
+    assert "treeloom" in cloudpickle.list_registry_pickle_by_value()
