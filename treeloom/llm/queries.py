@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import bpe, extract, fingerprints, mixing, tokens, warc
+from treeloom.llm import bpe, extract, fingerprints, jaccard, mixing, suffixes, tokens, warc
 from treeloom.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), tokens.new_cache(spark))
 
@@ -46,8 +50,13 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.dedup(read(spark, sf_dir, "documents"), ["doc_id"])
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_fingerprints, op4_warc, op5_bpe, op7_token_counts, op8_html_text)
+    f.__name__: f for f in (op1_mix_sources, op3_fingerprints, op4_warc, op5_bpe, op6_jaccard_join, op7_token_counts, op8_html_text, op10_suffix_dedup)
 }
 
 SQL: dict[str, str] = {}
