@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import bpe, extract, fingerprints, jaccard, mixing, suffixes, tokens, warc
+from treeloom.llm import bpe, extract, fingerprints, jaccard, mixing, neighbours, quality, suffixes, tokens, warc
 from treeloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(read(spark, sf_dir, "documents"))
 
@@ -50,13 +54,21 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.dedup(read(spark, sf_dir, "documents"), ["doc_id"])
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_fingerprints, op4_warc, op5_bpe, op6_jaccard_join, op7_token_counts, op8_html_text, op10_suffix_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_quality, op3_fingerprints, op4_warc, op5_bpe, op6_jaccard_join, op7_token_counts, op8_html_text, op9_nearest,
+        op10_suffix_dedup,
+    )
 }
 
 SQL: dict[str, str] = {}
