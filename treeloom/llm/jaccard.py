@@ -58,11 +58,11 @@ def sketch(found: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-SETS = "did long, sid long, n long, first array<long>, parity array<long>"
+SETS = "did long, tid long, sid long, n long, first array<long>, parity array<long>"
 
 
 def summarise(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """did (doc_id, null as the largest), sid (a hash of the set), size, first elements and sketch."""
+    """did (doc_id, null as the largest), tid (a hash of the text), sid (a hash of the set), size, first elements, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
@@ -80,11 +80,11 @@ def summarise(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     firsts.append(found[: p + p // 2 + 8])
                     parities.append(sketch(found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, longs), pa.array(parities, longs)],
-                    names=["did", "sid", "n", "first", "parity"],
+                    [part.column(0), part.column(2), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, longs), pa.array(parities, longs)],
+                    names=["did", "tid", "sid", "n", "first", "parity"],
                 )
 
-    return with_did(docs).mapInArrow(run, SETS)
+    return with_did(docs).withColumn("tid", F.xxhash64("text")).mapInArrow(run, SETS)
 
 
 def with_did(docs: DataFrame) -> DataFrame:
@@ -231,10 +231,28 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_ids count as the largest, so a component of theirs alone has a null id. Sets are told apart by
     64-bit hashes of their elements. Other columns are not read. No rows in, no rows out.
     """
+    found = grouped(docs, width, percent)
+    return found.select(_public("did").alias("doc_id"), F.col("n").alias("n_shingles"), _public("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, without near duplicates: of each component the smallest doc_id stays.
+
+    Documents without words all stay. Of rows that repeat doc_id and text one stays, if it has words.
+    """
+    kept = settle(grouped(docs, width, percent).filter("chosen").select("did", "tid", "n").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("text").alias("tid"))
+    place = F.row_number().over(Window.partitionBy("did", "tid").orderBy("tid"))
+    return rows.join(kept, ["did", "tid"]).withColumn("place", place).filter("place = 1 OR n = 0").select("row.*")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(did, tid, n, component, chosen) per document; ``chosen`` marks the smallest (did, tid) of a component."""
     found = settle(summarise(docs, width, percent))
     sets = settle(
         found.filter("n > 0").groupBy("sid")
-        .agg(F.min("did").alias("did"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity"))
+        .agg(F.min(F.struct("did", "tid")).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity"))
+        .select("sid", "least", "least.did", "n", "first", "parity")
     )
     members = settle(
         prefixes(docs, sets, width, percent).withColumn("gid", F.min("sid").over(Window.partitionBy("n", "prefix")))
@@ -289,18 +307,14 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(bridges).select(F.col("node").alias("comp"), "component")
     final = settle(comps.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp")))
-    least = final.join(sets.select("sid", "did"), "sid").groupBy("comp").agg(F.min("did").alias("component_id"))
-    ids = final.join(least, "comp").select("sid", "component_id")
-    return (
-        found.select("did", "sid", "n").join(ids, "sid", "left")
-        .select(
-            _public("did").alias("doc_id"), F.col("n").alias("n_shingles"),
-            _public("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("did"))).alias("component_id"),
-        )
+    least = final.join(sets.select("sid", "least"), "sid").groupBy("comp").agg(F.min("least").alias("least"))
+    ids = final.join(least, "comp").select("sid", "least")
+    own = F.struct("did", "tid")
+    return found.select("did", "tid", "sid", "n").join(ids, "sid", "left").select(
+        "did", "tid", "n", F.coalesce("least.did", "did").alias("component"), (F.col("least").isNull() | (F.col("least") == own)).alias("chosen")
     )
 
 
-def _public(name: str, value: Column | None = None) -> Column:
+def _public(name: str) -> Column:
     """Back from the largest number to null."""
-    value = F.col(name) if value is None else value
-    return F.when(value != LAST, value)
+    return F.when(F.col(name) != LAST, F.col(name))

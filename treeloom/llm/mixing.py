@@ -110,6 +110,32 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int
     )
 
 
+def _as_text(docs: DataFrame) -> Column:
+    kind = dict(docs.dtypes)["doc_id"]
+    return F.to_json("doc_id") if kind.startswith("struct") else F.col("doc_id").cast("string")
+
+
+def draw(docs: DataFrame, **settings) -> DataFrame:
+    """The documents, all columns, as the mix takes them: each as many times as its words are taken, rounded.
+
+    ``settings`` go to ``mix_sources``. Rows that repeat doc_id, text and source draw together, as copies of one of them.
+    """
+    keys = lambda d: d.select(
+        F.struct(*d.columns).alias("row"), "doc_id", "source", F.col("doc_id").isNull().alias("bare"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"),
+        F.xxhash64("text", "source").alias("tid"), "text",
+    )
+    named = keys(docs)
+    # The mix sees the key instead of the id, so that its rows find back.
+    taken = mix_sources(named.select(F.struct("bare", "did", "tid").alias("doc_id"), "source", "text"), **settings)
+    copies = (
+        taken.filter("size > 0").groupBy("doc_id").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies"))
+        .filter("copies > 0").select("doc_id.*", "copies")
+    )
+    place = F.row_number().over(Window.partitionBy("bare", "did", "tid").orderBy("tid"))
+    rows = named.drop("doc_id", "source", "text").join(settle(copies), ["bare", "did", "tid"]).withColumn("place", place).filter("place = 1")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = 3, block_words: int = 16, shard_docs: int = 256, seed: int = 7
 ) -> DataFrame:
@@ -121,7 +147,7 @@ def mix_sources(
     choices come from MD5 of seed and doc_id, so reruns agree. Other columns are not read. No rows in,
     no rows out.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_as_text(docs), F.lit(""))))
     digits = lambda first: F.conv(F.substring("_key", first, 7), 16, 10).cast("long")
     sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     sources = targets(

@@ -254,6 +254,20 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, with a score of at least ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keep = model.scores(part.column(1).to_pylist()) >= threshold
+                yield part.select([0]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted per document. Only the text is scored.
 

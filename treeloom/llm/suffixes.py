@@ -24,9 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from treeloom.llm.common import mix, settle
 
@@ -240,8 +240,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, holder = strings[-1], int(least[-1])
 
 
-def with_keys(docs: DataFrame, *more: str) -> DataFrame:
-    """The text (null as empty) with did, the doc_id with null as the largest, and tid, a hash of the text."""
+def with_keys(docs: DataFrame, *more: Column) -> DataFrame:
+    """body, the text (null as empty), with did, the doc_id with null as the largest, and tid, a hash of the text."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), text.alias("body")).withColumn("tid", F.xxhash64("body"))
 
@@ -309,13 +309,14 @@ def _firsts(keyed: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, columns: list[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``columns`` of the documents with n_bytes, n_removed, n_spans and kept (the bytes that stay).
+    """row (a struct of ``columns``), n_bytes, n_removed, n_spans, kept (the bytes that stay), text (kept, decoded).
 
     A null text counts as empty; texts under ``SPAN`` bytes keep all. Rows that repeat a doc_id do not
     count as smaller than each other; a null doc_id is larger than any other. A text that a smaller doc_id
-    holds as a whole goes as a whole. No rows in, no rows out.
+    holds as a whole goes as a whole. A cut may fall into a character; decoding drops its rest. No rows in,
+    no rows out.
     """
-    keyed = with_keys(docs, *columns)
+    keyed = with_keys(docs, F.struct(*columns).alias("row"))
     narrow = with_keys(docs)
     firsts = _firsts(narrow).select("tid", F.col("did").alias("first"))
     spans = repeated_spans(docs, shard_rows).groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -323,27 +324,22 @@ def dedup(docs: DataFrame, columns: list[str], shard_rows: int = SHARD_ROWS) ->
         narrow.select("did", "tid").distinct().join(firsts, "tid").join(spans, ["did", "tid"], "left")
         .select("did", "tid", (F.col("did") > F.col("first")).alias("copy"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     )
-    joined = keyed.join(plan, ["did", "tid"], "left").select(*columns, "body", "copy", "lo", "hi")
-    kinds = docs.select(*columns).schema.fields
-    out = StructType([*kinds, StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
-    width = len(columns)
+    joined = keyed.join(plan, ["did", "tid"], "left").select("row", "body", "copy", "lo", "hi")
+    counts = [StructField(name, LongType()) for name in ("n_bytes", "n_removed", "n_spans")]
+    out = StructType([joined.schema["row"], *counts, StructField("kept", BinaryType()), StructField("text", StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sizes, removed, counts, kept = [], [], [], []
-                for body, copy, lo, hi in zip(*(part.column(width + i).to_pylist() for i in range(4))):
+                rows = []
+                for body, copy, lo, hi in zip(*(c.to_pylist() for c in part.columns[1:])):
                     data = body.encode("utf-8", "surrogatepass")
-                    sizes.append(len(data))
-                    rest, gone, n = remaining(data, [(0, len(data))] if copy and len(data) >= SPAN else list(zip(lo or [], hi or [])))
-                    removed.append(gone)
-                    counts.append(n)
-                    kept.append(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:width], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())],
-                    names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"],
-                )
+                    spans = [(0, len(data))] if copy and len(data) >= SPAN else list(zip(lo or [], hi or []))
+                    kept, gone, n = remaining(data, spans)
+                    rows.append((len(data), gone, n, kept, kept.decode("utf-8", "ignore")))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=out.names)
 
     return joined.mapInArrow(cut, out)
 
