@@ -41,33 +41,34 @@ FRAME = re.compile(
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CONTAINER = {"article", "main"}
+PART = CONTAINER | set("body div section center td".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, holder, outside) per block while the page streams by.
+    """Collects (text, tags, holder, outside, parent) per block while the page streams by.
 
     ``holder`` numbers the innermost article or main element, 0 for none; ``outside`` marks blocks in
-    elements that are never main text.
+    elements that are never main text; ``parent`` numbers the innermost part of the page.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, hidden, outside, holder
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, hidden, outside, holder, parent
         self.text: list[str] = []
         self.tags = 0
-        self.holders = 0
+        self.holders = self.parts = 0
 
     @property
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> tuple[bool, bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0, 0)
 
     def cut(self) -> None:
         """End the current block."""
         text = " ".join("".join(self.text).split())
         if text:
-            _, outside, holder = self.state
-            self.lines.append((text, self.tags, holder, outside))
+            _, outside, holder, parent = self.state
+            self.lines.append((text, self.tags, holder, outside, parent))
         if text or self.tags:
             self.text, self.tags = [], 0
 
@@ -76,7 +77,7 @@ class Lines(HTMLParser):
             self.cut()
             while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
                 self.open.pop()
-        hidden, outside, holder = self.state
+        hidden, outside, holder, parent = self.state
         self.tags += 1
         if tag in VOID:
             return
@@ -88,7 +89,10 @@ class Lines(HTMLParser):
         if tag in CONTAINER:
             self.holders += 1
             holder = self.holders
-        self.open.append((tag, hidden, outside, holder))
+        if tag in PART:
+            self.parts += 1
+            parent = self.parts
+        self.open.append((tag, hidden, outside, holder, parent))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -114,7 +118,7 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(page: str | None) -> list[tuple[str, int, int, bool]]:
+def lines_of(page: str | None) -> list[tuple[str, int, int, bool, int]]:
     """The blocks of a page in order."""
     parser = Lines()
     parser.feed(page or "")
@@ -140,21 +144,24 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page)
     if not lines:
         return ""
-    ratios = np.array([0.0 if outside else len(text) / max(1, tags) for text, tags, _, outside in lines])
+    ratios = np.array([0.0 if outside else len(text) / max(1, tags) for text, tags, _, outside, _ in lines])
     soft = smooth(ratios)
-    usable = np.array([not outside for *_, outside in lines])
+    usable = np.array([not outside for *_, outside, _ in lines])
     if not usable.any():
         return ""
     # Ratios spread by their standard deviation; a line over it, or over the mean of a flat page, is content.
     content = usable & (soft >= min(soft.std(), soft[usable].mean()))
-    holder = np.array([h for _, _, h, _ in lines])
+    holder = np.array([h for _, _, h, _, _ in lines])
     held = {h: sum(len(lines[i][0]) for i in np.flatnonzero(content & (holder == h))) for h in set(holder[content].tolist())}
     if any(held.get(h) for h in held if h):
         # The regions are the articles that hold content; all their blocks belong to them.
         kept = usable & (holder > 0)
     else:
+        # The region runs from the first to the last content line, and has all lines of the parts that hold one.
         found = np.flatnonzero(content)
-        kept = usable & (np.arange(len(lines)) >= found[0]) & (np.arange(len(lines)) <= found[-1]) if len(found) else content
+        parent = np.array([p for *_, p in lines])
+        between = (np.arange(len(lines)) >= found[0]) & (np.arange(len(lines)) <= found[-1]) if len(found) else content
+        kept = usable & (between | np.isin(parent, parent[found]))
     return "\n".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
