@@ -55,12 +55,12 @@ def check(spark, con, sf_dir, name, fn, sql):
     want_cols, want = rows_of([d[0] for d in res.description], res.fetchall())
     if got_cols != want_cols:
         return took, len(got), f"columns {got_cols} != {want_cols}"
-    if not got:
-        return took, 0, "no rows"
     if got != want:
         extra = [r for r in got if r not in set(want)][:3]
         lack = [r for r in want if r not in set(got)][:3]
         return took, len(got), f"rows {len(got)} != {len(want)}; only spark {extra}; only sql {lack}"
+    if not got:
+        return took, 0, "no rows"
     types = {repr({type(v).__name__ for v in col}) for col in zip(*got)}
     wtypes = {repr({type(v).__name__ for v in col}) for col in zip(*want)}
     return took, len(got), None if types == wtypes else f"types {types} != {wtypes}"

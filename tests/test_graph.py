@@ -109,9 +109,8 @@ def brute_cycles(pairs):
     return found
 
 
-@pytest.mark.parametrize("seed,few_paths", [(1, 1), (2, 10_000_000)])
-def test_cycles_match_brute_force(spark, monkeypatch, seed, few_paths):
-    monkeypatch.setattr(reach, "FEW_PATHS", few_paths)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_match_brute_force(spark, seed):
     rng = random.Random(seed)
     nodes = [f"n{i}" for i in range(7)]
     pairs = sorted({(a, b) for a in nodes for b in nodes if a != b and rng.random() < 0.3})
@@ -147,18 +146,18 @@ def test_long_chain_is_compacted(spark):
 def test_hierarchy_ends_at_repeats_and_lists_flat_without_entries(spark):
     nodes = files_of(spark, [(p, "") for p in ("a", "b", "c")])
     edges = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "b")])
-    rows = reach.hierarchy(graph.nodes(nodes, edges), edges).collect()
+    tree, cut = reach.hierarchy(graph.nodes(nodes, edges), edges)
+    rows = tree.collect()
+    assert not cut and reach.hierarchy(graph.nodes(nodes, edges), edges, max_depth=1)[1]
     assert {(tuple(r["path"]), r["repeated"]) for r in rows} == {
         (("a",), False), (("a", "b"), False), (("a", "b", "c"), False), (("a", "b", "c", "b"), True),
     }
     ring = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a")])
-    flat = reach.hierarchy(graph.nodes(nodes, ring), ring).collect()
+    flat = reach.hierarchy(graph.nodes(nodes, ring), ring)[0].collect()
     assert {tuple(r["path"]) for r in flat} == {("a",), ("b",), ("c",)}
 
 
-@pytest.mark.parametrize("many", [0, 1000])
-def test_contains_pairs_match_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(matching, "MANY_NEEDLES", many)
+def test_contains_pairs_match_brute_force(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab/") for _ in range(rng.randint(0, 14))) for _ in range(80)]
     needles = sorted({"".join(rng.choice("ab/") for _ in range(rng.randint(1, 8))) for _ in range(60)})

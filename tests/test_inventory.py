@@ -121,7 +121,7 @@ def test_nested_listing(spark):
         [("r", ([("f1",)], [([("f2",), ("f3",)],)]))],
         "repo string, tree struct<files array<struct<file_id string>>, children array<struct<files array<struct<file_id string>>>>>",
     )
-    assert {r["file_id"] for r in inventory.flatten_nested(rows, 2).collect()} == {"f1", "f2", "f3"}
+    assert {r["file_id"] for r in inventory.flatten_nested(rows).collect()} == {"f1", "f2", "f3"}
 
 
 # Sources and saved tables ------------------------------------------------------------------------
@@ -291,3 +291,27 @@ def test_balance_messages(spark):
     df = spark.createDataFrame([("{}()[]",), ("{(",), ("(]",)], "c string")
     got = {r["c"]: r["message"] for r in quality.bracket_balance(df, "c").collect()}
     assert got == {"{}()[]": "Syntax appears valid", "{(": "Mismatched braces: 1 vs 0", "(]": "Mismatched parentheses: 1 vs 0"}
+
+
+def test_roots_with_one_folder_name_stay_apart(spark, tmp_path):
+    for top in ("a", "b"):
+        (tmp_path / top / "src").mkdir(parents=True)
+        (tmp_path / top / "src" / "x.py").write_text("x = 1")
+    assert tree.repo_names(["/a/src", "/b/src", "/c"]) == {"/a/src": "a/src", "/b/src": "b/src", "/c": "c"}
+    spark.dataSource.register(tree.TreeSource)
+    rows = spark.read.format("source_tree").option("path", f"{tmp_path}/a/src\n{tmp_path}/b/src").load()
+    assert sorted((r["repo"], r["relative_path"]) for r in tree.files(rows).collect()) == [("a/src", "x.py"), ("b/src", "x.py")]
+
+
+def test_decoding_replaces_broken_bytes(spark):
+    from treeloom.sources import encoding
+
+    rows = [("é".encode("utf-16"), "é"), (b"\xff\xfea\x00\x00\xd8", "a\ufffd"), (b"\xff\xfea", "\ufffd"), (b"\xef\xbb\xbfok", "ok"), (b"a\xff", "a\ufffd"), ("z".encode("utf-32"), "z"), (None, None)]
+    df = spark.createDataFrame([(c,) for c, _ in rows], "content binary")
+    assert [r["content"] for r in tree.decoded(df).collect()] == [t for _, t in rows]
+    assert df.select(encoding.decode(F.col("content"))).count() == len(rows)
+
+
+def test_highlight_folds_all_letters(spark):
+    df = spark.createDataFrame([("\u00c9t\u00e9",)], "t string")
+    assert df.select(text.highlight(F.col("t"), "\u00e9").alias("h")).first()["h"] == "<mark>\u00c9</mark>t<mark>\u00e9</mark>"

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import check, connect
+from treeloom.plans import catalog, oracle
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -15,10 +16,17 @@ def con(sf_dir):
 
 
 def test_each_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) <= set(QUERIES)
+    assert set(catalog.QUERIES) == set(oracle.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_an_emptied_query_fails(spark, con, sf_dir):
+    empty = lambda s, d: QUERIES["extension_stats"](s, d).limit(0)
+    _, _, problem = check(spark, con, sf_dir, "extension_stats", empty, SQL["extension_stats"])
+    assert problem.startswith("rows 0 != ")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, sf_dir, name):
     _, _, problem = check(spark, con, sf_dir, name, QUERIES[name], SQL[name])
     assert problem is None or problem == "no rows"

@@ -1,11 +1,13 @@
 """Structure extraction and diagram rules on literal texts."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from treeloom.operators import diagrams, inventory, scans, structure
+from treeloom.operators import diagrams, imports, inventory, quality, scans, structure
 
 
 def files_of(spark, path, content):
@@ -180,3 +182,32 @@ def test_language_dispatch(spark):
     files = inventory.with_path_columns(files_of(spark, "a.ts", "x\ny"))
     assert structure.js_functions(files).count() == 0
     assert [(r["type"], r["total_lines"], r["size"]) for r in structure.generic(files).collect()] == [("typescript", 2, 3)]
+
+
+@pytest.mark.parametrize("word", ["import x ", "import ", "import   \n", "<script ", "<link a ", "/* ", "from '", " "])
+def test_patterns_take_linear_time(spark, word):
+    """One megabyte of a hostile word on one line."""
+    text = word * (1_000_000 // len(word))
+    df = spark.createDataFrame([("r", "a.css", text)], "repo string, relative_path string, content string")
+    start = time.time()
+    df.select(imports.script_imports(F.col("content"))).collect()
+    structure.html_links(df, ["repo"], "content").collect()
+    quality.style_balance(df, "content").collect()
+    assert time.time() - start < 20
+
+
+def test_import_forms(spark):
+    text = (
+        "import a from './a'\nimport { b,\n c } from './no'\nimport\n d from './d'\nimport e\n from './e'\nimport  from './f'\n"
+        "import x from 'x'; import y from \"./y\"\nimport * as z from './import/z'\nimport './side'\nconst q = import('./q')"
+    )
+    df = spark.createDataFrame([(text,)], "content string")
+    got = df.select(imports.script_imports(F.col("content")).alias("i")).first()["i"]
+    assert sorted(got) == ["./a", "./d", "./e", "./f", "./import/z", "./q", "./y"]
+
+
+def test_comments_that_do_not_close(spark):
+    rows = [("/* { */ a {} /* {",), ("a {} /*/ { */ }",), ("/*/ {",), ("a { } */",), ("",)]
+    df = quality.style_balance(spark.createDataFrame(rows, "content string"), "content")
+    want = [len(re.findall(r"{", t)) == len(re.findall(r"}", t)) for t in (re.sub(r"(?s)/\*.*?\*/", "", r[0]) for r in rows)]
+    assert [r["valid"] for r in df.collect()] == want

@@ -71,6 +71,12 @@ def browser_size(size: Column) -> Column:
     return F.coalesce(_scaled(size, ["B", "KB", "MB", "GB"]), F.lit("0 B"))
 
 
+def after(value: Column, pattern: str) -> Column:
+    """The pieces of a text that follow each match of ``pattern``, up to the next match."""
+    pieces = F.split(value, pattern, -1)
+    return F.slice(pieces, F.lit(2), F.size(pieces))
+
+
 def escape_html(text: Column) -> Column:
     """Replace the five HTML-special characters, the ampersand first."""
     # Entity per character.
@@ -83,7 +89,7 @@ def highlight(text: Column, query: str) -> Column:
     """Wrap every case-insensitive literal occurrence of ``query`` in a mark element."""
     if not query:
         return text
-    return F.regexp_replace(text, "(?i)(" + re.escape(query) + ")", "<mark>$1</mark>")
+    return F.regexp_replace(text, "(?iu)(" + re.escape(query) + ")", "<mark>$1</mark>")
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from treeloom.functions import lookups, paths, text
 from treeloom.operators.inventory import KEY
 
-# Patterns. ``d`` keeps the dot from crossing a newline only, ``U`` makes classes Unicode.
+# Patterns. ``U`` makes classes Unicode. What follows the word ``import`` is looked at once, up
+# to the next such word: the names on one line, then ``from`` and the module.
+IMPORT_WORD = r"(?U)import(?=\s)"
+IMPORT_FROM = r"""(?U)^\s(?:\s++|\s*+\S[^\n]*?(?<=\S)\s++)from\s++['"]([^'"]+)['"]"""
 SCRIPT_IMPORTS = (
-    r"""(?dU)import\s+.*?\s+from\s+['"]([^'"]+)['"]""",
     r"""(?dU)require\(['"]([^'"]+)['"]\)""",
     r"""(?dU)import\(['"]([^'"]+)['"]\)""",
 )
@@ -37,7 +39,8 @@ def _all_matches(content: Column, patterns: tuple[str, ...]) -> Column:
 
 def script_imports(content: Column) -> Column:
     """Distinct imports of a script: relative ones, scoped ones and anything with a slash."""
-    found = F.transform(_all_matches(content, SCRIPT_IMPORTS), text.strip)
+    named = F.transform(text.after(content, IMPORT_WORD), lambda t: F.regexp_extract(t, IMPORT_FROM, 1))
+    found = F.transform(F.concat(named, _all_matches(content, SCRIPT_IMPORTS)), text.strip)
     kept = F.filter(found, lambda i: i.startswith(".") | i.startswith("@") | F.contains(i, F.lit("/")))
     return F.array_distinct(kept)
 

@@ -207,19 +207,17 @@ def flat_listing(files: DataFrame) -> DataFrame:
     )
 
 
-def flatten_nested(trees: DataFrame, levels: int) -> DataFrame:
-    """File rows of stored nested folder records ``tree(files, children(files, children ...))``.
-
-    ``levels`` is the nesting of the declared schema, which a table fixes.
-    """
-    out = None
-    nodes = trees.select("repo", F.col("tree").alias("node"))
-    for level in range(levels):
+def flatten_nested(trees: DataFrame) -> DataFrame:
+    """File rows of stored nested folder records ``tree(files, children(files, children ...))``, to the depth of the schema."""
+    node = trees.schema["tree"].dataType
+    nodes, out = trees.select("repo", F.col("tree").alias("node")), None
+    while True:
         rows = nodes.select("repo", F.explode("node.files").alias("f")).select("repo", "f.*")
         out = rows if out is None else out.unionByName(rows)
-        if level < levels - 1:
-            nodes = nodes.select("repo", F.explode("node.children").alias("node"))
-    return out
+        if "children" not in node.names:
+            return out
+        node = node["children"].dataType.elementType
+        nodes = nodes.select("repo", F.explode("node.children").alias("node"))
 
 
 def tree_order(files: DataFrame) -> DataFrame:

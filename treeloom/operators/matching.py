@@ -10,11 +10,8 @@ from treeloom.operators.inventory import KEY
 from treeloom.session import stage, stage_counted
 
 
-# Substring lengths used as join keys. Longer ones tell very many needles apart better, at the
-# price of more keys per text.
-GRAM_SIZES = (1, 2, 3)
-MANY_GRAM_SIZES = (1, 2, 3, 6)
-MANY_NEEDLES = 20_000
+# Substring lengths used as join keys. Longer ones tell needles apart better, at the price of more keys per text.
+GRAM_SIZES = (1, 2, 3, 6)
 
 
 def _grams(value: Column, n: int | Column) -> Column:
@@ -45,15 +42,14 @@ def contains_pairs(
     scope = scope or []
     length = F.length("_needle")
     # Needles per length are counted while they are staged; the last count is for all longer ones.
-    lengths = range(1, max(MANY_GRAM_SIZES) + 2)
+    lengths = range(1, max(GRAM_SIZES) + 2)
     per_length = F.array(*[F.count_if(F.least(length, F.lit(lengths[-1])) == n) for n in lengths])
     needles, counts = stage_counted(
         needles.withColumn("_needle", F.col(needle_col)).filter("_needle <> ''"), per_length
     )
-    gram_sizes = MANY_GRAM_SIZES if sum(counts) > MANY_NEEDLES else GRAM_SIZES
-    size_of = {n: max(g for g in gram_sizes if g <= n) for n, count in zip(lengths, counts) if count}
-    size = F.lit(gram_sizes[0])
-    for n in gram_sizes[1:]:
+    size_of = {n: max(g for g in GRAM_SIZES if g <= n) for n, count in zip(lengths, counts) if count}
+    size = F.lit(GRAM_SIZES[0])
+    for n in GRAM_SIZES[1:]:
         size = F.when(length >= n, n).otherwise(size)
     wanted = needles.select(*scope, "_needle").distinct().withColumn("_size", size)
     exact = wanted.filter(length == F.col("_size")).select(*scope, "_needle", F.col("_needle").alias("_gram"))

@@ -37,7 +37,10 @@ def bracket_balance(df: DataFrame, column: str) -> DataFrame:
 
 def style_balance(df: DataFrame, column: str) -> DataFrame:
     """Style check: equal counts of braces outside comments."""
-    bare = F.regexp_replace(F.col(column), r"(?s)/\*.*?\*/", "")
+    # Behind the last closing mark no comment closes, so the pattern never looks for one in vain.
+    content = F.col(column)
+    head = F.regexp_extract(content, r"(?s)^(.*\*/)", 1)
+    bare = F.concat(F.regexp_replace(head, r"(?s)/\*.*?\*/", ""), F.substring(content, F.length(head) + 1, F.length(content)))
     valid, message = _verdict(bare, BRACKETS[:1])
     return df.withColumns({"valid": valid, "message": message})
 

@@ -1,12 +1,11 @@
 """Iterative graph jobs: reachability, closure, cycles, hierarchy.
 
 Each round is one join whose result is staged, so plans stay short and a lost executor costs one
-round. No round touches more than the current frontier and the edges.
+round.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,9 +15,6 @@ from treeloom.operators.inventory import KEY
 from treeloom.session import Stages, stage, stage_counted
 
 COMPACT_EVERY = 16
-# Below this many possible paths, following the ones that run from one component into another
-# costs less than finding the components.
-FEW_PATHS = 10_000_000
 
 
 def _spread(step: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,9 +140,7 @@ def cycles(edge_rows: DataFrame, max_len: int | None = None) -> tuple[DataFrame,
     longer paths were left.
     """
     core, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
-    # From any edge there are at most as many simple paths as the product of the out-degrees.
-    doublings = core.groupBy("repo", "src").agg(F.log2(F.count("*")).alias("bits")).agg(F.sum("bits")).first()[0]
-    if size and math.log2(size) + doublings > math.log2(FEW_PATHS):
+    if size:
         core = stage(cyclic_core(core))
     hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
     root = F.get("path", F.lit(0))
@@ -190,11 +184,12 @@ def cycle_positions(cycle_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None = None) -> DataFrame:
+def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, bool]:
     """All paths down from the entry points: ``(repo, path, node, depth, repeated)``.
 
     A node that is already on its path ends it. A repository without entry points lists its
-    nodes flat. With ``max_depth`` deeper levels are left out.
+    nodes flat. With ``max_depth`` deeper levels are left out; the second result tells whether
+    there were any.
     """
     entries = node_rows.filter("is_entry_point").select("repo", "relative_path")
     with_entry = entries.select("repo").distinct()
@@ -210,12 +205,15 @@ def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None
     levels = Stages(edge_rows.sparkSession)
     size = levels.write(roots(entries, False).union(roots(flat, True)))
     depth = 0
-    while size and (max_depth is None or depth < max_depth):
+    truncated = False
+    while size:
+        grown = levels.last().filter("NOT repeated AND NOT ends").join(step, ["repo", "node"])
+        if max_depth is not None and depth >= max_depth:
+            truncated = not grown.isEmpty()
+            break
         depth += 1
         size = levels.write(
-            levels.last().filter("NOT repeated AND NOT ends")
-            .join(step, ["repo", "node"])
-            .select(
+            grown.select(
                 "repo",
                 F.array_append("path", F.col("next")).alias("path"),
                 F.col("next").alias("node"),
@@ -224,4 +222,4 @@ def hierarchy(node_rows: DataFrame, edge_rows: DataFrame, max_depth: int | None
                 F.lit(False).alias("ends"),
             )
         )
-    return levels.all().drop("ends")
+    return levels.all().drop("ends"), truncated

@@ -44,8 +44,8 @@ PY_ATTRIBUTE = r"(?U)self\.(\w+)\s*="
 
 # Patterns of the page summary.
 HTML_TAG = r"(?U)<(\w+)"
-HTML_SCRIPT = r"""<script[^>]*src=['"]([^'"]+)['"]"""
-HTML_LINK = r"""<link[^>]*href=['"]([^'"]+)['"]"""
+HTML_SCRIPT = ("<script", r"""^[^>]*src=['"]([^'"]+)['"]""")
+HTML_LINK = ("<link", r"""^[^>]*href=['"]([^'"]+)['"]""")
 
 # Languages per extractor; all others get the generic summary.
 SCRIPT_LANGUAGES = ("javascript", "js", "jsx")
@@ -68,6 +68,13 @@ LOGIC_TAGS = (
 )
 
 
+def targets(content: Column, pattern: tuple[str, str]) -> Column:
+    """The values of an attribute in all tags of a kind; each tag's text is looked at once."""
+    tag, value = pattern
+    found = F.transform(text.after(content, tag), lambda t: F.regexp_extract(t, value, 1))
+    return F.filter(found, lambda v: v != "")
+
+
 def extract(content: Column, pattern: str, group: int = 1) -> Column:
     """All matches of one group, in order."""
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
@@ -408,8 +415,8 @@ def html_links(pages: DataFrame, key: list[str], column: str) -> DataFrame:
     """External scripts and styles of each page."""
     content = F.col(column)
     links = F.concat(
-        F.transform(extract(content, HTML_SCRIPT), lambda u: F.struct(F.lit("script").alias("kind"), u.alias("target"))),
-        F.transform(extract(content, HTML_LINK), lambda u: F.struct(F.lit("style").alias("kind"), u.alias("target"))),
+        F.transform(targets(content, HTML_SCRIPT), lambda u: F.struct(F.lit("script").alias("kind"), u.alias("target"))),
+        F.transform(targets(content, HTML_LINK), lambda u: F.struct(F.lit("style").alias("kind"), u.alias("target"))),
     )
     return pages.select(*key, F.explode(links).alias("l")).select(*key, "l.*")
 
@@ -528,8 +535,8 @@ def summaries(files: DataFrame) -> DataFrame:
         *head,
         F.lit("html").alias("type"),
         tag_counts.alias("structure"),
-        extract(content, HTML_SCRIPT).alias("external_scripts"),
-        extract(content, HTML_LINK).alias("external_styles"),
+        targets(content, HTML_SCRIPT).alias("external_scripts"),
+        targets(content, HTML_LINK).alias("external_styles"),
         lines,
     )
     other = F.struct(

@@ -103,7 +103,7 @@ def flatten_nested(spark, sf_dir):
     none = F.filter(F.array(item), lambda x: F.lit(False))
     leaf = F.struct(F.array(item).alias("files"))
     trees = flat.select("repo", F.struct(none.alias("files"), F.array(leaf).alias("children")).alias("tree"))
-    return inventory.flatten_nested(trees, 2).drop("repo")
+    return inventory.flatten_nested(trees).drop("repo")
 
 
 @query
@@ -442,7 +442,7 @@ def hierarchy(spark, sf_dir):
     """Paths among the selected files."""
     chosen = fx.selection(spark, sf_dir)
     edge_rows = graph.edges(_resolved(spark, sf_dir), chosen)
-    rows = reach.hierarchy(graph.nodes(chosen, edge_rows), edge_rows)
+    rows, _ = reach.hierarchy(graph.nodes(chosen, edge_rows), edge_rows)
     return rows.select(F.array_join("path", " ").alias("path"), "node", "depth", "repeated")
 
 
@@ -813,7 +813,9 @@ def model_routing(spark, sf_dir):
 
 @query
 def stream_model_stats(spark, sf_dir):
-    out = run.run_available(callstream.windowed_statistics(fx.call_stream(spark, sf_dir)), "append")
+    """All windows, the ones still open included: the last update of each."""
+    emitted = run.run_available(callstream.windowed_statistics(fx.call_stream(spark, sf_dir)), "update")
+    out = run.latest_rows(emitted, ["window_start", "model_name"])
     return out.select(
         F.unix_micros("window_start").alias("window_start"), "model_name", "success_count", "failure_count",
         "avg_response_time",

@@ -44,14 +44,15 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     total = docs.agg(F.count("*")).scalar()
     stems = docs.select(F.col("doc_id").alias("target"), _stem().alias("target_stem"))
-    ring = stems.filter("target < 60").select(F.col("target").alias("t2"), F.col("target_stem").alias("s2"))
+    ring = stems.select(F.col("target").alias("t2"), F.col("target_stem").alias("s2"))
     chain = stems.select(F.col("target").alias("t1"), F.col("target_stem").alias("s1"))
     base = docs.withColumns(
         {
             "ext": _ext(),
             "stem": _stem(),
             "t1": (F.col("doc_id") * 7 + 3) % total,
-            "t2": (F.col("doc_id") + 6) % 60,
+            # Rings of ten, in blocks of sixty documents.
+            "t2": (F.col("doc_id") - F.col("doc_id") % 60 + (F.col("doc_id") % 60 + 6) % 60) % total,
             "id": F.col("doc_id").cast("string"),
         }
     )

@@ -20,7 +20,7 @@ b AS (SELECT doc_id, cast(doc_id AS varchar) AS id, source, lang, text,
   FROM documents),
 j AS (SELECT b.*, t1.stem AS s1, t2.stem AS s2 FROM b
   LEFT JOIN b t1 ON t1.doc_id = (b.doc_id * 7 + 3) % (SELECT count(*) FROM documents)
-  LEFT JOIN b t2 ON t2.doc_id = (b.doc_id + 6) % 60),
+  LEFT JOIN b t2 ON t2.doc_id = (b.doc_id - b.doc_id % 60 + (b.doc_id % 60 + 6) % 60) % (SELECT count(*) FROM documents)),
 src AS (SELECT doc_id, source AS top, lang AS sub, concat(stem, ext) AS relative_path, stem, ext AS extension,
   CASE WHEN ext IN ('.js','.ts','.jsx') THEN
     'import { a } from ''../../'||s1||''''||chr(10)||'const z = require(''../../'||s2||''')'||chr(10)||
@@ -515,8 +515,7 @@ SELECT event_id, coalesce(x.model, g.model, 'model_default') AS model FROM (
 LEFT JOIN best x ON x.task = e.task AND x.subtask = e.subtask LEFT JOIN best g ON g.task = e.task AND g.subtask = ''"""
 SQL["stream_model_stats"] = _with(CALLS) + """
 SELECT epoch_us(date_trunc('day', ts)) AS window_start, model_name, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count,
-  coalesce(cast(sum(response_time) FILTER (success) AS double) / count(*) FILTER (success), 0) AS avg_response_time FROM calls
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) - INTERVAL 1 HOUR GROUP BY date_trunc('day', ts), model_name"""
+  coalesce(cast(sum(response_time) FILTER (success) AS double) / count(*) FILTER (success), 0) AS avg_response_time FROM calls GROUP BY date_trunc('day', ts), model_name"""
 SQL["stream_recent_scores"] = SQL["recent_scores"]
 
 # Replies and prompts -----------------------------------------------------------------------------

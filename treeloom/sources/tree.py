@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from treeloom.functions import lookups
+from treeloom.sources.encoding import decode
 
 SCHEMA = (
     "kind string, repo string, path string, relative_path string, name string, size long, "
@@ -81,6 +82,7 @@ class TreeReader(DataSourceReader):
 
     def __init__(self, options):
         self.roots = [os.path.abspath(p) for p in options["path"].split("\n") if p.strip()]
+        self.repos = repo_names(self.roots)
         self.with_content = options.get("content", "false").lower() == "true"
         self.max_size = float(options.get("max_file_mb", lookups.MAX_FILE_MB)) * 1024 * 1024
         self.min_partitions = int(options.get("min_partitions", "64"))
@@ -119,7 +121,7 @@ class TreeReader(DataSourceReader):
 
     def _row(self, kind, root, path, size=None, modified=None, error=None, content=None) -> tuple:
         relative = os.path.relpath(path, root)
-        row = (kind, os.path.basename(root), path, relative, os.path.basename(path), size, modified, error)
+        row = (kind, self.repos[root], path, relative, os.path.basename(path), size, modified, error)
         return row + (content,) if self.with_content else row
 
     def _folder(self, root: str, folder: str, pending: list | None) -> Iterator[tuple]:
@@ -151,6 +153,17 @@ class TreeReader(DataSourceReader):
                 yield self._row("error", root, entry.path, error=str(error))
 
 
+def repo_names(roots: list[str]) -> dict[str, str]:
+    """A name per root folder: its last part, or as many parts as tell it from the other roots."""
+    names = {}
+    for root in roots:
+        parts = root.strip("/").split("/")
+        ends = ["/".join(parts[-n:]) for n in range(1, len(parts) + 1)]
+        others = [f"/{r.strip('/')}" for r in roots if r != root]
+        names[root] = next((e for e in ends if not any(o.endswith(f"/{e}") for o in others)), root)
+    return names
+
+
 def files(tree: DataFrame) -> DataFrame:
     """File rows."""
     return tree.filter("kind = 'file'").drop("kind", "error")
@@ -168,5 +181,4 @@ def scan_errors(tree: DataFrame) -> DataFrame:
 
 def decoded(file_rows: DataFrame) -> DataFrame:
     """Content as text, bad bytes replaced, with line ends made uniform."""
-    as_text = F.make_valid_utf8(F.col("content").cast("string"))
-    return file_rows.withColumn("content", F.regexp_replace(as_text, "\r\n?", "\n"))
+    return file_rows.withColumn("content", F.regexp_replace(decode(F.col("content")), "\r\n?", "\n"))

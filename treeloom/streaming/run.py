@@ -37,3 +37,9 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
 def latest_per_key(emitted: DataFrame, key: str, value: str) -> DataFrame:
     """Last value per key of an update-mode stream."""
     return emitted.groupBy(key).agg(F.max_by(value, "batch_id").alias(value))
+
+
+def latest_rows(emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row per key of an update-mode stream: what it knows when the input ends."""
+    columns = [c for c in emitted.columns if c not in (*keys, "batch_id")]
+    return emitted.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch_id").alias("row")).select(*keys, "row.*")
