@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm import bpe, extract, fingerprints, jaccard, mixing, neighbours, quality, suffixes, tokens, warc
 from treeloom.llm.common import read
+from treeloom.llm.sql import SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -70,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
     )
 }
-
-SQL: dict[str, str] = {}
