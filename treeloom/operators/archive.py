@@ -138,3 +138,13 @@ def retention(manifest: DataFrame, now: Column) -> DataFrame:
     """Mark artefacts older than the retention time."""
     age = now - F.make_dt_interval(hours=F.lit(lookups.RETENTION_HOURS))
     return manifest.withColumn("expired", F.col("last_modified") < age)
+
+
+def kept(manifest: DataFrame, now: Column) -> DataFrame:
+    """What a sweep leaves of a manifest, to be written in its place; an unknown time is kept."""
+    return retention(manifest, now).filter("NOT coalesce(expired, false)").drop("expired")
+
+
+def kept_originals(store: DataFrame, records: DataFrame) -> DataFrame:
+    """Stored texts that some kept record still names."""
+    return store.join(records.select("sha256").distinct(), "sha256", "left_semi")

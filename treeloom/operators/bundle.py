@@ -114,8 +114,9 @@ def semantic_metadata(requests: DataFrame, files: DataFrame, bundle_parts: DataF
     The reduced size is that of the compact JSON array of the summaries.
     """
     chosen = requests.select("bundle_id", *KEY)
+    wanted = files.join(chosen.select(*KEY).distinct(), KEY, "left_semi")
     reduced = (
-        chosen.join(summaries(files), KEY)
+        chosen.join(summaries(wanted), KEY)
         .groupBy("bundle_id")
         .agg((F.sum(F.length("summary")) + F.count("*") + 1).alias("compressed_size"), F.count("*").alias("files_count"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.operators.scans import running_sums
+from treeloom.session import stage
 
 # Thresholds.
 MIN_ATTEMPTS = 5
@@ -137,14 +138,17 @@ def route(
 ) -> DataFrame:
     """Add the model for each request ``(task, subtask)``.
 
-    An unknown subtask uses the task's rows with an empty subtask, an unknown task the default.
+    An unknown subtask uses the task's rows with an empty subtask, an unknown task the default. Without
+    switching the first listed model is taken, however complex the request: where the first one is a capable
+    model, it is also the first capable one. The choices have a row per task, so requests are joined once.
     """
     chosen = best_models(routing, stats) if auto_switch else first_listed(routing)
-    exact = chosen.filter("subtask <> ''").withColumnRenamed("model", "_exact")
-    general = chosen.filter("subtask = ''").select("task", F.col("model").alias("_general"))
+    by_task = stage(
+        chosen.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("subtask", "model"))).alias("_models"))
+    )
+    found = F.coalesce(F.try_element_at("_models", F.col("subtask")), F.try_element_at("_models", F.lit("")))
     return (
-        requests.join(exact, ["task", "subtask"], "left")
-        .join(general, "task", "left")
-        .withColumn("model", F.coalesce("_exact", "_general", F.lit(default_model)))
-        .drop("_exact", "_general")
+        requests.join(by_task, "task", "left")
+        .withColumn("model", F.coalesce(found, F.lit(default_model)))
+        .drop("_models")
     )

@@ -151,7 +151,7 @@ def neighbour_labels(edge_rows: DataFrame, node_rows: DataFrame, k: int = 5) ->
     known = node_rows.select("repo", F.col("relative_path").alias("other"), "label")
     labelled = sides.join(known, ["repo", "other"], "left").withColumn("label", F.coalesce("label", "other"))
     group = ["repo", "node", "side"]
-    totals = labelled.groupBy(*group).agg(F.count("*").alias("n"))
+    totals = sides.groupBy(*group).agg(F.count("*").alias("n"))
     first = Window.partitionBy(*group).orderBy("label", "other")
     shown = (
         labelled.withColumn("r", F.row_number().over(first))

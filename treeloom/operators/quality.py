@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,9 @@ def python_syntax(files: DataFrame) -> DataFrame:
     return python.select(*KEY, python_verdict("content").alias("v")).select(*KEY, "v.*")
 
 
+ELEMENTS_PER_CHUNK = 1000
+
+
 def required_paths(required: DataFrame, files: DataFrame) -> DataFrame:
     """Found flag for each required path ``(repo, relative_path, description)``."""
     present = files.select(*KEY).distinct().withColumn("found", F.lit(True))
@@ -80,14 +83,21 @@ def required_paths(required: DataFrame, files: DataFrame) -> DataFrame:
 def absent_elements(rules: DataFrame, files: DataFrame) -> DataFrame:
     """Rules ``(repo, relative_path, element)`` whose text is absent, one row each.
 
-    Content is reduced to files with a rule before it is joined. A file that does not exist
-    lacks the file itself.
+    A file's distinct elements come in chunks, so content moves once, is copied once per chunk, and only
+    absent elements become rows. A file that does not exist lacks the file itself.
     """
-    checked = files.select(*KEY, "content").join(rules.select(*KEY).distinct(), KEY, "left_semi")
-    joined = rules.join(checked, KEY, "left")
-    return joined.filter(
-        F.col("content").isNull() | ~F.contains(F.col("content"), F.col("element"))
-    ).select(*KEY, F.when(F.col("content").isNull(), "File not found").otherwise(F.col("element")).alias("missing"))
+    order = Window.partitionBy(*KEY).orderBy("element")
+    chunks = (
+        rules.select(*KEY, "element").distinct()
+        .withColumn("chunk", F.floor((F.row_number().over(order) - 1) / ELEMENTS_PER_CHUNK))
+        .groupBy(*KEY, "chunk").agg(F.collect_list("element").alias("elements"))
+    )
+    absent = F.filter("elements", lambda e: F.col("content").isNull() | ~F.contains(F.col("content"), e))
+    return (
+        chunks.join(files.select(*KEY, "content"), KEY, "left")
+        .select(*KEY, F.col("content").isNull().alias("gone"), F.explode(absent).alias("element"))
+        .select(*KEY, F.when(F.col("gone"), "File not found").otherwise(F.col("element")).alias("missing"))
+    )
 
 
 def element_status(rules: DataFrame, files: DataFrame) -> DataFrame:

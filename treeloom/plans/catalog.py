@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ from treeloom.operators import (
 )
 from treeloom.plans import fixtures as fx
 from treeloom.plans import report
-from treeloom.session import stage
-from treeloom.sources import encoding
+from treeloom.session import stage, stage_root
+from treeloom.sources import encoding, tables
 from treeloom.streaming import callstream, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +165,35 @@ def selection_edits(spark, sf_dir):
     return inventory.remove_from_selection(grown, inventory.subtree(files, "src3/en")).drop("repo")
 
 
+@query
+def selection_replace(spark, sf_dir):
+    files = fx.inventory_files(spark, sf_dir)
+    return inventory.combine_selection(fx.selection(spark, sf_dir), inventory.subtree(files, "src3"), "replace").drop("repo")
+
+
+@query
+def snapshot_roundtrip(spark, sf_dir):
+    """The inventory written under an analysis id twice, beside another one, and read back."""
+    files = fx.inventory_files(spark, sf_dir)
+    path = f"{stage_root(spark)}/snapshots/{uuid.uuid4().hex}"
+    for name, rows in (("other", files.limit(1)), ("one", files.limit(1)), ("one", files)):
+        tables.write_snapshot({"files": rows}, path, name)
+    return tables.read_snapshot(spark, path, "files", "one").select("doc_id", "relative_path", "size")
+
+
+@query
+def report_roundtrip(spark, sf_dir):
+    """Edges and missing files of the saved dependency report of the selection."""
+    path = f"{stage_root(spark)}/reports/{uuid.uuid4().hex}"
+    report.save_report(report.dependency_report(fx.src_files(spark, sf_dir), fx.selection(spark, sf_dir)), path, "one")
+    kinds = {"edge": ("edges", "src", "dst"), "missing": ("missing", "required_by", "suggested_file")}
+    parts = [
+        tables.read_snapshot(spark, path, table, "one").select(F.lit(kind).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"))
+        for kind, (table, a, b) in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def language_codes(spark, sf_dir):
     return (
@@ -651,6 +681,12 @@ def retention(spark, sf_dir):
     return archive.retention(files, F.lit("2024-01-01 08:00:00").cast("timestamp")).select("relative_path", "expired")
 
 
+@query
+def retention_kept(spark, sf_dir):
+    files = fx.inventory_files(spark, sf_dir)
+    return archive.kept(files, F.lit("2024-01-01 08:00:00").cast("timestamp")).select("relative_path", "size")
+
+
 @query
 def encoding_audit(spark, sf_dir):
     return encoding.audit(fx.encoded_files(spark, sf_dir)).select("encoding", "n_files")

@@ -46,13 +46,15 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems = docs.select(F.col("doc_id").alias("target"), _stem().alias("target_stem"))
     ring = stems.select(F.col("target").alias("t2"), F.col("target_stem").alias("s2"))
     chain = stems.select(F.col("target").alias("t1"), F.col("target_stem").alias("s1"))
+    first = F.col("doc_id") - F.col("doc_id") % 60
     base = docs.withColumns(
         {
             "ext": _ext(),
             "stem": _stem(),
-            "t1": (F.col("doc_id") * 7 + 3) % total,
+            # Chains run into earlier blocks, so only rings are cycles; the first block imports itself instead.
+            "t1": F.when(first == 0, F.col("doc_id")).otherwise((F.col("doc_id") * 7 + 3) % first),
             # Rings of ten, in blocks of sixty documents.
-            "t2": (F.col("doc_id") - F.col("doc_id") % 60 + (F.col("doc_id") % 60 + 6) % 60) % total,
+            "t2": (first + (F.col("doc_id") % 60 + 6) % 60) % total,
             "id": F.col("doc_id").cast("string"),
         }
     )

@@ -19,7 +19,7 @@ b AS (SELECT doc_id, cast(doc_id AS varchar) AS id, source, lang, text,
     CASE doc_id % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' WHEN 2 THEN '.jsx' WHEN 3 THEN '.py' WHEN 4 THEN '.css' ELSE '.html' END AS ext
   FROM documents),
 j AS (SELECT b.*, t1.stem AS s1, t2.stem AS s2 FROM b
-  LEFT JOIN b t1 ON t1.doc_id = (b.doc_id * 7 + 3) % (SELECT count(*) FROM documents)
+  LEFT JOIN b t1 ON t1.doc_id = CASE WHEN b.doc_id < 60 THEN b.doc_id ELSE (b.doc_id * 7 + 3) % (b.doc_id - b.doc_id % 60) END
   LEFT JOIN b t2 ON t2.doc_id = (b.doc_id - b.doc_id % 60 + (b.doc_id % 60 + 6) % 60) % (SELECT count(*) FROM documents)),
 src AS (SELECT doc_id, source AS top, lang AS sub, concat(stem, ext) AS relative_path, stem, ext AS extension,
   CASE WHEN ext IN ('.js','.ts','.jsx') THEN
@@ -127,6 +127,9 @@ SELECT DISTINCT unnest(['.', top, top||'/'||sub]) AS directory FROM inventory WH
 SQL["selection_edits"] = _with(INVENTORY, SELECTION) + """
 SELECT relative_path FROM (SELECT relative_path FROM selection UNION SELECT relative_path FROM inventory WHERE starts_with(relative_path,'src3/'))
 EXCEPT SELECT relative_path FROM inventory WHERE starts_with(relative_path,'src3/en/')"""
+SQL["selection_replace"] = _with(INVENTORY) + """
+SELECT relative_path FROM inventory WHERE starts_with(relative_path,'src3/')"""
+SQL["snapshot_roundtrip"] = _with(INVENTORY) + "SELECT doc_id, relative_path, size FROM inventory"
 SQL["language_codes"] = """
 SELECT lang, regexp_full_match(lang,'[a-z]{2}(-[A-Z]{2})?') AS valid, count(*) AS n_docs FROM documents GROUP BY ALL"""
 SQL["validate_ids"] = _with(INVENTORY) + """
@@ -248,6 +251,9 @@ SELECT translate(src,'/.-','___') AS source, translate(dst,'/.-','___') AS targe
 SQL["graph_export_nodes"] = _with(*GRAPH, NODES) + """
 SELECT translate(relative_path,'/.-','___') AS id, label, relative_path AS path, file_type AS type, is_entry_point, is_leaf,
   n_dependencies AS dependency_count, n_dependents AS dependent_count FROM nodes"""
+SQL["report_roundtrip"] = _with(*CHOSEN, *GRAPH) + """
+SELECT 'edge' AS kind, src AS source, dst AS target FROM edges WHERE src IN (SELECT relative_path FROM selection) AND dst IN (SELECT relative_path FROM selection)
+UNION ALL SELECT 'missing', relative_path, target FROM resolved WHERE relative_path IN (SELECT relative_path FROM selection) AND target NOT IN (SELECT relative_path FROM selection)"""
 SQL["dependency_report"] = _with(*CHOSEN, *GRAPH) + """
 SELECT relative_path, (SELECT count(*) FROM edges WHERE src = s.relative_path AND dst IN (SELECT relative_path FROM selection)) AS n_dependencies,
   (SELECT count(*) FROM edges WHERE dst = s.relative_path AND src IN (SELECT relative_path FROM selection)) AS n_dependents,
@@ -397,6 +403,8 @@ SELECT lang, o AS original_size, c AS compressed_size, round(c / o * 100, 2) AS
 FROM (SELECT lang, cast(sum(original_size) AS bigint) AS o, cast(sum(compressed_size) AS bigint) AS c FROM h GROUP BY lang)"""
 SQL["retention"] = _with(INVENTORY) + """
 SELECT relative_path, last_modified < timestamp '2024-01-01 06:00:00' AS expired FROM inventory"""
+SQL["retention_kept"] = _with(INVENTORY) + """
+SELECT relative_path, size FROM inventory WHERE last_modified >= timestamp '2024-01-01 06:00:00'"""
 SQL["encoding_audit"] = """
 SELECT CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'unknown' END AS encoding, count(*) AS n_files FROM documents GROUP BY 1"""
 SQL["decoded_content"] = """
