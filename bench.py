@@ -45,6 +45,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+    sizes = QUERIES["semantic_metadata"](spark, sf_dir).selectExpr("sum(original_size) AS whole", "sum(compressed_size) AS part").first()
     print(
         json.dumps(
             {
@@ -52,6 +53,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "semantic_size_percent": round(100 * sizes.part / sizes.whole, 2),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

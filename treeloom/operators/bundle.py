@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
+from treeloom.operators import archive
 from treeloom.operators.inventory import KEY
 from treeloom.operators.structure import summaries
 
@@ -93,11 +94,40 @@ def parts(requests: DataFrame, files: DataFrame, generated_at: str, mode: str =
     )
 
 
+def reduced(requests: DataFrame, files: DataFrame, mode: str) -> DataFrame:
+    """Rows of a bundle that is a JSON array, one record ``text`` per requested file that exists.
+
+    ``semantic`` has the summaries; ``hybrid`` adds to each the hash and name of the stored original and the
+    original itself; ``lossless`` has the packed content.
+    """
+    wanted = files.join(requests.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "content")
+    if check_mode(mode) == "semantic":
+        records = summaries(wanted).select(*KEY, F.col("summary").alias("text"))
+    elif mode == "hybrid":
+        both = archive.hybrid(wanted.join(summaries(wanted).select(*KEY, "summary"), KEY), KEY, "content", "summary")
+        records = both.select(*KEY, F.to_json(F.struct("structure", "hash", "filename", "original_content")).alias("text"))
+    elif mode == "lossless":
+        packed = archive.lossless(wanted, KEY, "content")
+        records = packed.select(*KEY, F.to_json(F.struct("relative_path", "hash", "encoding", "data")).alias("text"))
+    else:
+        raise ValueError("a plain bundle is made of parts")
+    return requests.join(records, KEY).select("bundle_id", F.lit(SECTION).alias("part"), F.col("position").cast("long").alias("position"), *KEY, "text")
+
+
+def generate(requests: DataFrame, files: DataFrame, generated_at: str, mode: str = "none") -> DataFrame:
+    """Rows ``(bundle_id, part, position, text)`` of the bundles in their mode's form."""
+    return parts(requests, files, generated_at) if check_mode(mode) == "none" else reduced(requests, files, mode).drop(*KEY)
+
+
 def manifest(bundle_parts: DataFrame, requests: DataFrame, stamp: str, mode: str = "none") -> DataFrame:
-    """One row per bundle: file name, characters, files asked for, mode."""
+    """One row per bundle: file name, characters as written, files asked for, mode.
+
+    ``bundle_parts`` are the rows of ``generate``: lines of Markdown, or elements of one JSON array.
+    """
     asked = requests.groupBy("bundle_id").agg(F.count("*").alias("file_count"))
-    # The texts are joined by single newlines, so there is one fewer of these than rows.
-    sizes = bundle_parts.groupBy("bundle_id").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("size"))
+    # Joined by single newlines or commas, so one fewer of these than rows; an array has two brackets.
+    ends = -1 if mode == "none" else 1
+    sizes = bundle_parts.groupBy("bundle_id").agg((F.sum(F.length("text")) + F.count("*") + ends).alias("size"))
     suffix = "md" if mode == "none" else "json"
     return sizes.join(asked, "bundle_id").select(
         "bundle_id",

@@ -590,13 +590,40 @@ def bundle_manifest(spark, sf_dir):
     return bundle.manifest(rows, asked, "20240101_000000")
 
 
-@query
-def semantic_metadata(spark, sf_dir):
-    """Every document as a text file, in one bundle per source."""
+def _bundle_per_source(spark, sf_dir):
     files = fx.text_files(spark, sf_dir)
     asked = files.select(
         F.substring_index("relative_path", "/", 1).alias("bundle_id"), F.col("doc_id").alias("position"), "repo", "relative_path"
     )
+    return asked, files
+
+
+@query
+def bundle_semantic(spark, sf_dir):
+    """Every document's summary, in one bundle per source."""
+    rows = bundle.generate(*_bundle_per_source(spark, sf_dir), "2024-01-01 00:00:00", "semantic")
+    return rows.select("bundle_id", "position", "text")
+
+
+@query
+def bundle_hybrid(spark, sf_dir):
+    """The fields of every record of the hybrid bundles."""
+    rows = bundle.generate(*_bundle_per_source(spark, sf_dir), "2024-01-01 00:00:00", "hybrid")
+    fields = F.from_json("text", "structure string, hash string, filename string, original_content string")
+    return rows.select("bundle_id", "position", fields.alias("f")).select("bundle_id", "position", "f.*")
+
+
+@query
+def bundle_manifest_semantic(spark, sf_dir):
+    asked, files = _bundle_per_source(spark, sf_dir)
+    rows = bundle.generate(asked, files, "2024-01-01 00:00:00", "semantic")
+    return bundle.manifest(rows, asked, "20240101_000000", "semantic")
+
+
+@query
+def semantic_metadata(spark, sf_dir):
+    """Every document as a text file, in one bundle per source."""
+    asked, files = _bundle_per_source(spark, sf_dir)
     rows = bundle.parts(asked, files, "2024-01-01 00:00:00", "semantic")
     return bundle.semantic_metadata(asked, files, rows)
 

@@ -377,6 +377,17 @@ docs AS (SELECT bundle_id, doc_id||'. ['||path||'](#'||translate(path,'/.-','___
 g AS (SELECT bundle_id, count(*) AS n, string_agg(toc, chr(10)) AS t, string_agg(section, chr(10)) AS s, 2 + length(string_agg(summary, ',')) AS c FROM docs GROUP BY 1)
 SELECT bundle_id, o AS original_size, c AS compressed_size, n AS files_count, round(c / o * 100, 2) AS compression_ratio, 'semantic_lossy' AS compression_type
 FROM (SELECT *, length(concat({_HEAD.format(mode='semantic')}, chr(10), t, chr(10)||chr(10)||'---'||chr(10), chr(10), s)) AS o FROM g)"""
+SUMMARISED = """
+f AS (SELECT source AS bundle_id, doc_id AS position, concat(source,'/doc_',cast(doc_id AS varchar),'.txt') AS path, text AS content FROM documents),
+summed AS (SELECT bundle_id, position, content,
+  '{"file":"'||path||'","type":"text","total_lines":'||len(string_split(content,chr(10)))||',"size":'||length(content)||',"summary":"Generic text file"}' AS text FROM f)"""
+SQL["bundle_semantic"] = _with(SUMMARISED) + "SELECT bundle_id, position, text FROM summed"
+SQL["bundle_hybrid"] = _with(SUMMARISED) + """
+SELECT bundle_id, position, text AS structure, left(sha256(content), 16) AS hash, concat('original_', left(sha256(content), 16), '.md') AS filename,
+  content AS original_content FROM summed"""
+SQL["bundle_manifest_semantic"] = _with(SUMMARISED) + """
+SELECT bundle_id, 'source_code_semantic_20240101_000000.json' AS filename, cast(sum(length(text)) + count(*) + 1 AS bigint) AS size, count(*) AS file_count,
+  'semantic' AS compression_type FROM summed GROUP BY bundle_id"""
 SQL["bundle_parse"] = """
 SELECT doc_id, 0 AS position, 'a/'||doc_id||'.js' AS file, 'javascript' AS language, 'let x = '||doc_id AS code FROM documents
 UNION ALL SELECT doc_id, 2, 'b '||doc_id||'.md', 'md', text FROM documents"""
