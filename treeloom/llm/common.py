@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, read it back, and let go of the shuffles that made it.
 
     Spark removes the shuffle files of a finished job once the driver has collected the objects that
-    name them, so the collection is asked for here instead of waiting for a full heap.
+    name them, so the collection is asked for here instead of waiting for a full heap. The job's last
+    events still hold these objects for a moment.
     """
     out = stage(df)
+    time.sleep(0.5)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
