@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import settle
 from treeloom.session import stage_root
 
-CACHE = "content string, version string, n_tokens long"
+CACHE = "content binary, version string, n_tokens long"
 
 
 def normalised(text: Column) -> Column:
@@ -82,17 +82,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     """
     spark = docs.sparkSession
     version = version_of(tokenizer)
-    keyed = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("content", F.sha2("text", 256))
+    keyed = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
     narrow = settle(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")))
     known = cached(spark, cache).filter(F.col("version") == version).select("content", "n_tokens").dropDuplicates(["content"])
     missing = narrow.groupBy("content").agg(F.min("doc_id").alias("_id"), F.count("doc_id").alias("_ids")).join(known, "content", "left_anti")
     # The holder is found by its id and checked by its digest; rows of a null id are found by null-safe equality.
-    wanted = missing.select(F.col("_id"), F.col("content").alias("_content"))
+    wanted = settle(missing.select(F.col("_id"), F.col("content").alias("_content")))
     texts = (
         keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left_semi")
         .select("content", "text")
     )
-    counts = settle(texts.mapInArrow(encode_counts(tokenizer), "content string, n_tokens long").dropDuplicates(["content"]))
+    counts = settle(texts.mapInArrow(encode_counts(tokenizer), "content binary, n_tokens long").dropDuplicates(["content"]))
     counts.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = cached(spark, cache).filter(F.col("version") == version).select("content", "n_tokens").dropDuplicates(["content"])
     return (
