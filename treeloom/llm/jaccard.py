@@ -29,6 +29,7 @@ from treeloom.llm.common import mix, settle, word_hashes
 from treeloom.llm.components import components
 
 COMMON = 32
+SHORT_LIST = 64
 LAST = (1 << 63) - 1
 
 
@@ -53,8 +54,12 @@ def prefix_size(n, percent: int):
 
 
 def sketch(found: np.ndarray) -> list[int]:
-    """Parities of the elements over 512 bits, as eight longs."""
-    bits = np.bincount((found.view(np.uint64) >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
+    """Parities of the elements over as many bits as elements at least (a power of two from 512), as longs.
+
+    Its halves combined give the sketch of half the bits.
+    """
+    size = max(512, 1 << (len(found) - 1).bit_length())
+    bits = np.bincount((found.view(np.uint64) >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -151,7 +156,9 @@ def _spread(width: int):
 
 def _fits(percent: int) -> Column:
     """Can two sets of these sizes and sketches be alike enough?"""
-    differ = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(8))
+    # Sets that fit in size have sketches of equal or of double length; the longer one is folded.
+    fold = "CASE WHEN size({0}) > size({1}) THEN transform(sequence(0, size({1}) - 1), i -> {0}[i] ^ {0}[i + size({1})]) ELSE {0} END"
+    differ = f"aggregate(zip_with({fold.format('pa', 'pb')}, {fold.format('pb', 'pa')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     # |intersection| >= t / (1 + t) * (|a| + |b|), so the symmetric difference is at most (1 - t) / (1 + t) of the sum.
     return F.expr(
         f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND (100 + {percent}) * ({differ}) <= (100 - {percent}) * (na + nb)"
@@ -205,20 +212,41 @@ def _crossing(percent: int):
                     [pa.array(x) for x in (fill(gid[i]), fill(comp[i]), gid[js], comp[js])], names=["ga", "ca", "gb", "cb"]
                 )
 
+    def short(token: np.ndarray, gid: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All short lists side by side: rows are compared with those one, two, three ... places on."""
+        for step in range(1, SHORT_LIST):
+            same = token[step:] == token[:-step]
+            if not same.any():
+                return
+            small, large = np.minimum(n[step:], n[:-step]), np.maximum(n[step:], n[:-step])
+            i = np.flatnonzero(same & (comp[step:] != comp[:-step]) & (100 * small >= percent * large))
+            if len(i):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (gid[i], comp[i], gid[i + step], comp[i + step])], names=["ga", "ca", "gb", "cb"]
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+
+        def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token = columns[0]
+            begin = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
+            size = np.diff(np.append(begin, len(token)))
+            is_short = np.repeat(size <= SHORT_LIST, size)
+            yield from short(*(c[is_short] for c in columns))
+            for a, count in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
+                yield from pairs([c[a : a + count] for c in columns[1:]])
+
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
-            token = columns[0]
-            cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
-            edges = [0, *cuts.tolist()]
-            for a, b in zip(edges, edges[1:]):
-                yield from pairs([c[a:b] for c in columns[1:]])
-            held = [c[edges[-1] :] for c in columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            if cut:
+                yield from whole([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
         if held is not None and len(held[0]):
-            yield from pairs(held[1:])
+            yield from whole(held)
 
     return run
 
