@@ -192,27 +192,33 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
 
 
 def _crossing(percent: int):
-    """Sorted (token, gid, component, n) to pairs of groups of different components, list by list.
+    """Sorted (token, sid, component, n, parity) to pairs of sets of different components, list by list.
 
-    Members of a list's largest component are paired with the others only, so the work follows the output.
+    Only pairs that fit in size and sketch leave. Members of a long list's largest component are compared with
+    the others only.
     """
 
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gid, comp, n = rows
+    def close(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Does the sketch, cut to 512 bits, allow the pair?"""
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def long(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, count = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != value[count.argmax()])
-        place = np.full(len(gid), -1)
+        place = np.full(len(sid), -1)
         place[rest] = np.arange(len(rest))
         for i in rest.tolist():
             fit = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (place < place[i])
-            js = np.flatnonzero(fit)
-            if len(js):
-                fill = lambda v: np.full(len(js), v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (fill(gid[i]), fill(comp[i]), gid[js], comp[js])], names=["ga", "ca", "gb", "cb"]
-                )
+            j = np.flatnonzero(fit)
+            j = j[close(n[j], n[i], bits[j], bits[i])]
+            if len(j):
+                yield batch(np.full(len(j), sid[i]), sid[j])
 
-    def short(token: np.ndarray, gid: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def short(token: np.ndarray, sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All short lists side by side: rows are compared with those one, two, three ... places on."""
         for step in range(1, SHORT_LIST):
             same = token[step:] == token[:-step]
@@ -220,28 +226,29 @@ def _crossing(percent: int):
                 return
             small, large = np.minimum(n[step:], n[:-step]), np.maximum(n[step:], n[:-step])
             i = np.flatnonzero(same & (comp[step:] != comp[:-step]) & (100 * small >= percent * large))
+            i = i[close(n[i], n[i + step], bits[i], bits[i + step])]
             if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (gid[i], comp[i], gid[i + step], comp[i + step])], names=["ga", "ca", "gb", "cb"]
-                )
+                yield batch(sid[i], sid[i + step])
+
+    def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token = columns[0]
+        begin = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
+        size = np.diff(np.append(begin, len(token)))
+        is_short = np.repeat(size <= SHORT_LIST, size)
+        yield from short(*(c[is_short] for c in columns))
+        for a, count in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
+            yield from long(*(c[a : a + count] for c in columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-
-        def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token = columns[0]
-            begin = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
-            size = np.diff(np.append(begin, len(token)))
-            is_short = np.repeat(size <= SHORT_LIST, size)
-            yield from short(*(c[is_short] for c in columns))
-            for a, count in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
-                yield from pairs([c[a : a + count] for c in columns[1:]])
-
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            bits = np.array(rows.column(4).flatten()).reshape(rows.num_rows, 8)
+            columns = [*(rows.column(i).to_numpy() for i in range(4)), bits]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
             if cut:
                 yield from whole([c[:cut] for c in columns])
             held = [c[cut:] for c in columns]
@@ -312,9 +319,12 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         .withColumn("lo", F.min("comp").over(everyone)).withColumn("hi", F.max("comp").over(everyone))
         .filter("lo <> hi").select("token", "gid", "comp", "n")
     )
+    # Lists that join components are expanded to members, with sketches folded to 512 bits.
+    folded = F.expr("transform(sequence(0, 7), i -> aggregate(transform(sequence(0, cast(size(parity) / 8 AS int) - 1), j -> parity[i + 8 * j]), 0L, (s, x) -> s ^ x))")
+    bits = settle(of_set.join(sets.select("sid", folded.alias("bits")), "sid").select("gid", "comp", "sid", "bits"))
     across = (
-        shared.repartition("token").sortWithinPartitions("token")
-        .mapInArrow(_crossing(percent), "ga long, ca long, gb long, cb long").distinct()
+        shared.join(bits, ["gid", "comp"]).select("token", "sid", "comp", "n", "bits")
+        .repartition("token").sortWithinPartitions("token").mapInArrow(_crossing(percent), "a long, b long").distinct()
     )
     # Members of one group may lie in different components, too.
     split = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gid")
@@ -322,12 +332,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     within = parts.select("gid", F.col("sid").alias("a"), F.col("comp").alias("ca")).join(
         parts.select("gid", F.col("sid").alias("b"), F.col("comp").alias("cb")), "gid"
     ).filter("a > b AND ca <> cb").select("a", "b")
-    more = (
-        across.join(of_set.select(F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("sid").alias("a")), ["ga", "ca"])
-        .join(of_set.select(F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("sid").alias("b")), ["gb", "cb"])
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .unionByName(within)
-    )
+    more = across.unionByName(within)
     late = settle(verified(docs, sets, more, width, percent))
     comps = of_set.select(F.col("sid"), F.col("comp"))
     bridges = late.join(comps.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a").join(
