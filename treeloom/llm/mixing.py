@@ -112,7 +112,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int
 
 def _as_text(docs: DataFrame) -> Column:
     kind = dict(docs.dtypes)["doc_id"]
-    return F.to_json("doc_id") if kind.startswith("struct") else F.col("doc_id").cast("string")
+    # A drawn document's key holds its id, so it gets the same places as by its id alone.
+    return F.when(~F.col("doc_id.bare"), F.col("doc_id.did").cast("string")) if kind.startswith("struct") else F.col("doc_id").cast("string")
 
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
