@@ -289,6 +289,34 @@ def test_near_duplicates_odd_rows(spark):
     assert [r["doc_id"] for r in rows_of(kept)].count(7) == 1
 
 
+@pytest.mark.parametrize("common", [32, 2])
+def test_near_duplicates_of_repeated_and_null_ids(spark, common, monkeypatch):
+    """Rows that share an id, or have none, count with their own texts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    line = list(rng.choice(words, 40))
+    rows = []
+    for i in range(40):
+        text = line * (i % 2) + list(rng.choice(words, 60))
+        near = list(text)
+        near[int(rng.integers(len(near)))] = f"e{i}"
+        # The first of each pair has an id that others have too, the second one of its own or none.
+        rows += [([None, 7, 8][i % 3], " ".join(text)), (100 + i if i % 4 else None, " ".join(near))]
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    sets = sets_by_hand(enumerate(t for _, t in rows), 3)
+    got = rows_of(jaccard.join_components(documents(spark, [(i, t, "a") for i, t in rows]), 3, 80))
+    groups = {}
+    for place, (n, top) in components_by_hand(sets, 80).items():
+        groups.setdefault(top, []).append((rows[place][0], n))
+    want = []
+    for group in groups.values():
+        least = min((i for i, _ in group if i is not None), default=None)
+        want += [(i, n, least) for i, n in group]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got)
+    kept = [r["doc_id"] for r in rows_of(jaccard.keep_one(documents(spark, [(i, t, "a") for i, t in rows]), 3, 80))]
+    assert sorted(map(str, kept)) == sorted(str(min((i for i, _ in g if i is not None), default=None)) for g in groups.values())
+
+
 # ---- token counts
 
 

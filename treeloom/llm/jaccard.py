@@ -114,20 +114,19 @@ def prefixes(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
     marked = tokens.join(common, "token", "left_semi").groupBy("sid").agg(F.collect_set("token").alias("common"))
     none = F.array().cast("array<long>")
     split = settle(
-        sets.select("sid", "did", "n", "first").join(marked, "sid", "left")
+        sets.select("sid", "did", "tid", "n", "first").join(marked, "sid", "left")
         .withColumn("common", F.sort_array(F.coalesce("common", none)))
         .withColumn("rare", F.array_except("first", "common"))
         .withColumn("p", _need(percent))
         .select(
-            "sid", "did", "n", "p",
+            "sid", "did", "tid", "n", "p",
             # Whole sets can be ordered here; a longer set needs as many rare elements as its prefix has.
             F.when(F.size("first") >= F.col("n"), F.slice(F.concat("rare", "common"), F.lit(1), F.col("p").cast("int")))
             .when(F.size("rare") >= F.col("p"), F.slice("rare", F.lit(1), F.col("p").cast("int"))).alias("prefix"),
         )
     )
-    deep = split.filter("prefix IS NULL").select("did", "sid", "p")
     whole = (
-        texts_of(docs, deep.select("did", "sid"), width)
+        texts_of(docs, split.filter("prefix IS NULL"))
         .mapInArrow(_spread(width), "sid long, token long")
         .join(common.withColumn("shared", F.lit(True)), "token", "left")
         .groupBy("sid")
@@ -137,9 +136,12 @@ def prefixes(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
     return split.filter("prefix IS NOT NULL").select("sid", "n", "prefix").unionByName(reordered)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, text) of the wanted sets (did, sid): one text of each."""
-    return with_did(docs).join(wanted, "did").select("sid", "text")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the wanted sets (did, tid, sid); rows that repeat did and text repeat here.
+
+    A did alone names no text: rows may repeat it, and all null ids are one.
+    """
+    return with_did(docs).withColumn("tid", F.xxhash64("text")).join(wanted.select("did", "tid", "sid"), ["did", "tid"]).select("sid", "text")
 
 
 def _spread(width: int):
@@ -170,8 +172,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     pairs = settle(pairs.distinct().join(left, "a").join(right, "b").filter(_fits(percent)).select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "did"), "sid")
-    texts = settle(texts_of(docs, wanted.select("did", "sid"), width).groupBy("sid").agg(F.min("text").alias("text")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "did", "tid"), "sid")
+    texts = settle(texts_of(docs, wanted).groupBy("sid").agg(F.min("text").alias("text")))
     rows = (
         pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
@@ -287,7 +289,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = settle(
         found.filter("n > 0").groupBy("sid")
         .agg(F.min(F.struct("did", "tid")).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity"))
-        .select("sid", "least", "least.did", "n", "first", "parity")
+        .select("sid", "least", "least.did", "least.tid", "n", "first", "parity")
     )
     members = settle(
         prefixes(docs, sets, width, percent).withColumn("gid", F.min("sid").over(Window.partitionBy("n", "prefix")))
