@@ -368,6 +368,27 @@ def test_pages_equal_their_articles(spark, sf_dir):
     assert sorted(r["text"] for r in rows_of(extract.extract(odd_pages))) == ["", "", "deep"]
 
 
+def test_region_that_holds_most_of_the_content():
+    story = [f"Paragraph {i} of the story tells a good deal of what has happened in the town." for i in range(8)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    whole, teaser = "\n".join(story), "<article><p>A teaser of one line that passes the threshold, too.</p></article>"
+    more = f"<section class='latest'>{teaser * 3}</section>"
+    assert extract.main_text(f"<body><div>{body}</div>{more}</body>") == whole
+    assert extract.main_text(f"<body>{more}<div>{body}</div></body>") == whole
+    assert extract.main_text(f"<body><main><div>{body}</div>{more}</main></body>") == whole
+    assert extract.main_text(f"<body><article>{body}</article>{more}</body>") == whole
+    assert extract.main_text(f"<body><main><h1>Head</h1><article>{body}</article>{more}</main></body>") == "Head\n" + whole
+    # Many teasers do not hide the story, an article in the midst of it stays, and articles of a kind all stay.
+    assert whole in extract.main_text(f"<body><div>{body}</div>{more * 9}</body>")
+    assert extract.main_text(f"<body><div>{body}{teaser}{body}</div></body>").count("teaser") == 1
+    assert extract.main_text(f"<body>{more}</body>").count("teaser") == 3
+    comments = f"<div>{'<article class=%s><p>I think that this is quite another matter than you say it is.</p></article>' * 9}</div>"
+    for name in ("comment", "'post user-comment'", "sponsored"):
+        assert extract.main_text(f"<body><article>{body}</article>{comments.replace('%s', name)}</body>") == whole
+    assert extract.main_text(f"<body><article class='post tag-social has-comments'>{body}</article></body>") == whole
+    assert extract.main_text("<main>" * 5000 + "<article>" * 5000 + "<p>deep") == "deep"
+
+
 # ---- nearest neighbours
 
 

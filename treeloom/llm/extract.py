@@ -4,8 +4,9 @@ The standard library's parser streams a page's events once; each block (a headin
 and so on) becomes one line with its text and the number of tags in it. The ratio of text to tags per
 line is smoothed by a Gaussian and a threshold clusters lines into content and the rest. What ratios
 cannot tell apart, long adverts or short paragraphs, is told by structure first: lines inside navigation,
-forms, asides and the like never count, and lines inside the element that holds most of the content
-(an article, if there is one) belong to it once the ratios found content there.
+forms, asides and the like never count. Then the content found by ratios is compared: text outside
+articles stands against the articles (in the page, and in a main element), and article against article. The
+one that holds most of it is kept whole, and all articles are kept if none holds most.
 """
 
 from __future__ import annotations
@@ -44,11 +45,16 @@ CONTAINER = {"article", "main"}
 PART = CONTAINER | set("body div section center td".split())
 
 
+# Parts of an article's name that tell its subject or what else the page has, not what it is.
+SUBJECT = re.compile(r"(?:tag|category|topic|has)[_-]", re.I)
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, holder, outside, parent) per block while the page streams by.
 
     ``holder`` numbers the innermost article or main element, 0 for none; ``outside`` marks blocks in
-    elements that are never main text; ``parent`` numbers the innermost part of the page.
+    elements that are never main text; ``parent`` numbers the innermost part of the page. ``holders`` lists
+    tag, surrounding holder and surrounding part of each holder; its first entry is the page.
     """
 
     def __init__(self):
@@ -57,7 +63,8 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, int, int]] = []  # name, hidden, outside, holder, parent
         self.text: list[str] = []
         self.tags = 0
-        self.holders = self.parts = 0
+        self.holders = [("", 0, 0)]
+        self.parts = 0
 
     @property
     def state(self) -> tuple[bool, bool, int, int]:
@@ -84,11 +91,13 @@ class Lines(HTMLParser):
         named = dict(attrs)
         inside = tag not in ("html", "body")
         words = f"{named.get('class') or ''} {named.get('id') or ''}" if inside and tag not in CONTAINER else ""
+        if tag == "article":
+            words = " ".join(x for x in f"{named.get('class') or ''} {named.get('id') or ''}".split() if not SUBJECT.match(x))
         hidden = hidden or tag in HIDDEN or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
-        outside = outside or (tag in ASIDE and not (tag == "header" and holder)) or bool(NOISE.search(words)) or bool(not holder and FRAME.search(words)) or (named.get("role") or "").lower() in ROLES
+        outside = outside or (tag in ASIDE and not (tag == "header" and holder)) or bool(NOISE.search(words)) or bool(not holder and tag != "article" and FRAME.search(words)) or (named.get("role") or "").lower() in ROLES
         if tag in CONTAINER:
-            self.holders += 1
-            holder = self.holders
+            self.holders.append((tag, holder, parent))
+            holder = len(self.holders) - 1
         if tag in PART:
             self.parts += 1
             parent = self.parts
@@ -118,13 +127,13 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(page: str | None) -> list[tuple[str, int, int, bool, int]]:
-    """The blocks of a page in order."""
+def parsed(page: str | None) -> Lines:
+    """The blocks of a page in order, and its holders."""
     parser = Lines()
     parser.feed(page or "")
     parser.close()
     parser.cut()
-    return parser.lines
+    return parser
 
 
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -139,9 +148,62 @@ def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, window, "same") / weight
 
 
+def region(page: Lines, usable: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines lie in the region of the page that holds most of the content?"""
+    holder = np.array([h for _, _, h, _, _ in page.lines])
+    parent = np.array([p for *_, p in page.lines])
+    length = np.where(content, [len(text) for text, *_ in page.lines], 0)
+    at = np.arange(len(holder))
+    # What lies in an article belongs to it, and a main element in another to that one.
+    top, inner = [0], {}
+    for h, (tag, around, _) in enumerate(page.holders[1:], 1):
+        over = top[around]
+        top.append(over if over and (tag == "main" or page.holders[over][0] == "article") else h)
+        if top[h] == h:
+            inner.setdefault(over, []).append(h)
+    home = np.array(top)[holder]
+    own = np.bincount(home, length, len(top)).astype(np.int64)
+    total, first, last = own.copy(), np.full(len(top), len(home)), np.full(len(top), -1)
+    np.minimum.at(first, home, at)
+    np.maximum.at(last, home, at)
+    for h in inner.keys() - {0}:
+        total[h] += total[inner[h]].sum()
+        first[h], last[h] = min(first[h], first[inner[h]].min()), max(last[h], last[inner[h]].max())
+
+    def best(h: int) -> tuple[np.ndarray, list[int]]:
+        """The own lines of a holder that belong to its text, and the holders in it that do."""
+        some = [x for x in inner.get(h, []) if total[x]]
+        bare = [x for x in inner.get(h, []) if not total[x]]
+        held, most = total[some].sum(), max(total[some], default=0)
+        found = np.flatnonzero((home == h) & content)
+        if h:
+            kept = np.isin(home, [h, *bare])
+        elif own[h] >= most and len(found):
+            # The region runs from the first to the last content line, and has all lines of the parts that hold one.
+            kept = (at >= found[0]) & (at <= found[-1]) & np.isin(home, [h, *bare]) | np.isin(parent, parent[found])
+        else:
+            kept = np.zeros(len(home), bool)
+        if own[h] < held:
+            return kept, [x for x in some if 2 * total[x] > held and total[x] > own[h]] or some
+        # Articles that stand in the midst of a part's text belong to it.
+        begin, end = {}, {}
+        for i, p in zip(found.tolist(), parent[found].tolist()):
+            begin.setdefault(p, i)
+            end[p] = i
+        return kept, [x for x in some if begin.get(p := page.holders[x][2], len(home)) < first[x] and end[p] > last[x]]
+
+    kept, chosen = best(0)
+    for h in chosen:
+        if h in inner:
+            lines, articles = best(h)
+            kept = kept | lines | np.isin(home, articles)
+    return kept | np.isin(home, [h for h in chosen if h not in inner])
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page, one block per line; empty if there is none."""
-    lines = lines_of(page)
+    page_lines = parsed(page)
+    lines = page_lines.lines
     if not lines:
         return ""
     ratios = np.array([0.0 if outside else len(text) / max(1, tags) for text, tags, _, outside, _ in lines])
@@ -151,17 +213,7 @@ def main_text(page: str | None) -> str:
         return ""
     # Ratios spread by their standard deviation; a line over it, or over the mean of a flat page, is content.
     content = usable & (soft >= min(soft.std(), soft[usable].mean()))
-    holder = np.array([h for _, _, h, _, _ in lines])
-    held = {h: sum(len(lines[i][0]) for i in np.flatnonzero(content & (holder == h))) for h in set(holder[content].tolist())}
-    if any(held.get(h) for h in held if h):
-        # The regions are the articles that hold content; all their blocks belong to them.
-        kept = usable & (holder > 0)
-    else:
-        # The region runs from the first to the last content line, and has all lines of the parts that hold one.
-        found = np.flatnonzero(content)
-        parent = np.array([p for *_, p in lines])
-        between = (np.arange(len(lines)) >= found[0]) & (np.arange(len(lines)) <= found[-1]) if len(found) else content
-        kept = usable & (between | np.isin(parent, parent[found]))
+    kept = usable & region(page_lines, usable, content)
     return "\n".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
