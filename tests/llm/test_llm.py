@@ -110,6 +110,23 @@ def test_mix_meets_targets(spark, sf_dir, which):
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == words
 
 
+def test_drawn_words_meet_targets_with_one_very_long_document(spark):
+    """Sources whose words lie mostly in one text: below and above half of its words, and at several times."""
+    rows = []
+    for s in range(60):
+        rows.append((1000 * s, "long " * 9000, f"s{s:02}"))
+        rows += [(1000 * s + i, "short " * 20, f"s{s:02}") for i in range(1, 51)]
+    docs = documents(spark, rows)
+    taken = rows_of(mixing.mix_sources(docs, weights=(7, 3, 13)))
+    drawn = rows_of(mixing.draw(docs, weights=(7, 3, 13)).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")))
+    n = {r["source"]: r["n"] for r in drawn}
+    goals = {r["source"]: r["target"] for r in taken}
+    for k in range(3):  # targets of 0.91, 0.39 and 1.7 times the source
+        some = [s for s in goals if int(s[1:]) % 3 == k]
+        assert sum(n.get(s, 0) for s in some) == pytest.approx(sum(goals[s] for s in some), rel=0.3)
+    assert all(abs(n.get(s, 0) - goal) <= 9000 + 200 for s, goal in goals.items())
+
+
 # ---- quality
 
 

@@ -116,9 +116,14 @@ def _as_text(docs: DataFrame) -> Column:
     return F.when(~F.col("doc_id.bare"), F.col("doc_id.did").cast("string")) if kind.startswith("struct") else F.col("doc_id").cast("string")
 
 
-def draw(docs: DataFrame, **settings) -> DataFrame:
+def draw(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     """The documents, all columns, as the mix takes them: each as many times as its words are taken, rounded.
 
+    A document with over half of its shard's words that is longer than the shard's run, or than the rest of
+    its ring, may lie on the same side of its half at every seed. Its fraction is the probability of one more
+    copy instead, by MD5 of seed, doc_id and text, so it meets its share on average over seeds and over
+    shards. All others get the nearest number of copies, also those that are longer than a short run.
+
     ``settings`` go to ``mix_sources``. Rows that repeat doc_id, text and source draw together, as copies of one of them.
     """
     keys = lambda d: d.select(
@@ -127,9 +132,11 @@ def draw(docs: DataFrame, **settings) -> DataFrame:
     )
     named = keys(docs)
     # The mix sees the key instead of the id, so that its rows find back.
-    taken = mix_sources(named.select(F.struct("bare", "did", "tid").alias("doc_id"), "source", "text"), **settings)
+    taken = _mixed(named.select(F.struct("bare", "did", "tid").alias("doc_id"), "source", "text"), seed=seed, **settings)
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"copy {seed}"), "doc_id.bare", "doc_id.did", "doc_id.tid")), 1, 12), 16, 10).cast("double") / (1 << 48)
+    fair = (2 * F.col("size") <= F.col("_words")) | (F.col("size") <= F.least("_run", F.col("_ring") - F.col("_run")))
     copies = (
-        taken.filter("size > 0").groupBy("doc_id").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies"))
+        taken.filter("size > 0").groupBy("doc_id").agg(F.sum(F.floor(F.col("taken") / F.col("size") + F.when(fair, 0.5).otherwise(chance))).alias("copies"))
         .filter("copies > 0").select("doc_id.*", "copies")
     )
     place = F.row_number().over(Window.partitionBy("bare", "did", "tid").orderBy("tid"))
@@ -148,6 +155,13 @@ def mix_sources(
     choices come from MD5 of seed and doc_id, so reruns agree. Other columns are not read. No rows in,
     no rows out.
     """
+    return _mixed(docs, weights, ceiling, block_words, shard_docs, seed).drop("_run", "_ring", "_words")
+
+
+def _mixed(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = 3, block_words: int = 16, shard_docs: int = 256, seed: int = 7
+) -> DataFrame:
+    """The rows of ``mix_sources`` with the words of their shard, of its run and of its ring."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_as_text(docs), F.lit(""))))
     digits = lambda first: F.conv(F.substring("_key", first, 7), 16, 10).cast("long")
     sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
@@ -191,4 +205,5 @@ def mix_sources(
     return rows.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("_full") * F.col("size") + inside(F.col("_from"), last) + inside(F.lit(0), last - F.col("_ring"))).cast("long").alias("taken"),
+        "_run", "_ring", "_words",
     )
