@@ -184,6 +184,16 @@ def test_edited_texts(spark, sf_dir, which):
     assert len(rows_of(fingerprints.edits(odd(spark)))) == 14
 
 
+def test_counts_of_very_long_texts_do_not_wrap():
+    texts = ["same " * 100_000, "same " * 50_000 + "other words come here " * 12_000, "same " * 50_000, "same " * 25_000]
+    own = [fingerprints.of_text(t) for t in texts]
+    assert np.abs(own[0][1]).max() == 99_998
+    assert all(fingerprints.likeness(own[0], x) > 0.8 for x in own[1:])
+    again = fingerprints.unpack(fingerprints.pack(own[0]))
+    assert all(np.array_equal(x, y) for x, y in zip(own[0], again))
+    assert fingerprints.pack(fingerprints.minus(fingerprints.plus(own[0], own[1]), own[1])) == fingerprints.pack(own[0])
+
+
 # ---- WARC
 
 

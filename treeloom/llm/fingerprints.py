@@ -1,8 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph (a line of the text) maps to a wide vector: four 64-bit lanes of its BLAKE2b digest, and 64
-16-bit lanes into which its word triples are counted with a sign, each triple into one lane. A document's
-fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**64 and 2**16. So the order of
+64-bit lanes into which its word triples are counted with a sign, each triple into one lane. A document's
+fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**64, so that no count of a text
+wraps. As text, counts take the fewest bytes of 1, 2, 4 or 8 that hold all of them. So the order of
 paragraphs does not matter, a paragraph can be added or taken away by adding or subtracting its vector
 (``plus``, ``minus``), equal multisets have equal fingerprints, and unequal ones differ in the digest
 lanes unless 256 bits collide. The counted lanes are a sketch that keeps inner products, so two
@@ -25,7 +26,7 @@ from treeloom.llm.common import mix, settle, word_hashes
 
 LANES = 64
 WIDE = 4
-EMPTY = (np.zeros(WIDE, np.uint64), np.zeros(LANES, np.uint16))
+EMPTY = (np.zeros(WIDE, np.uint64), np.zeros(LANES, np.int64))
 
 Vector = tuple[np.ndarray, np.ndarray]
 
@@ -49,11 +50,11 @@ def total(lines: Iterable[str]) -> Vector:
         starts.append(len(found))
     triples = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     if not len(triples):
-        return wide, np.zeros(LANES, np.uint16)
+        return wide, np.zeros(LANES, np.int64)
     triples = mix(triples)
     signs = np.where(triples >> np.uint64(63), 1, -1)
     lanes = np.bincount((triples % np.uint64(LANES)).astype(np.int64), weights=signs, minlength=LANES)
-    return wide, lanes.astype(np.int64).astype(np.uint16)
+    return wide, lanes.astype(np.int64)
 
 
 def plus(a: Vector, b: Vector) -> Vector:
@@ -68,20 +69,22 @@ def minus(a: Vector, b: Vector) -> Vector:
 
 def pack(vector: Vector) -> str:
     """A fingerprint as text."""
-    return base64.b64encode(vector[0].astype("<u8").tobytes() + vector[1].astype("<u2").tobytes()).decode()
+    low, high = int(vector[1].min()), int(vector[1].max())
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    return base64.b64encode(vector[0].astype("<u8").tobytes() + vector[1].astype(f"<i{width}").tobytes()).decode()
 
 
 def unpack(text: str) -> Vector:
     """The fingerprint written as text."""
     data = base64.b64decode(text)
-    return np.frombuffer(data[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(data[8 * WIDE :], "<u2").astype(np.uint16)
+    return np.frombuffer(data[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(data[8 * WIDE :], f"<i{(len(data) - 8 * WIDE) // LANES}").astype(np.int64)
 
 
 def likeness(a: Vector, b: Vector) -> float:
     """Estimated cosine of the word triples of two documents, 0 to 1; 1 for equal fingerprints."""
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    x, y = a[1].astype(np.float64), b[1].astype(np.float64)
     size = np.sqrt(x.dot(x) * y.dot(y))
     return float(min(1.0, max(0.0, x.dot(y) / size))) if size else 0.0
 
