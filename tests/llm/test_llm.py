@@ -8,6 +8,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,23 @@ def components_by_hand(sets, percent):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def test_crossing_keeps_pairs_whose_sketches_differ_in_sign_bits():
+    """Every pair of one short and one long list that differs in few bits, sign bits among them, leaves."""
+    rng = np.random.default_rng(3)
+    for size in (8, jaccard.SHORT_LIST + 40):
+        base = rng.integers(-(1 << 63), (1 << 63) - 1, 8, np.int64)
+        bits = np.tile(base, (size, 1))
+        for row in range(size):
+            bits[row, row % 8] ^= np.int64(-(1 << 63))
+        ids = np.arange(size)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, 7)), pa.array(ids), pa.array(ids), pa.array(np.full(size, 100)), pa.array(list(bits), pa.list_(pa.int64()))],
+            names=["token", "sid", "comp", "n", "bits"],
+        )
+        got = {(a, b) for out in jaccard._crossing(80)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        assert got == {(a, b) for a, b in combinations(range(size), 2) for a, b in [(b, a)]}
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, sf_dir, width, percent, monkeypatch):
     rng = np.random.default_rng(4)

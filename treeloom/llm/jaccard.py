@@ -202,7 +202,7 @@ def _crossing(percent: int):
 
     def close(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Does the sketch, cut to 512 bits, allow the pair?"""
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)  # signed values lose bits
         return (100 + percent) * differ <= (100 - percent) * (n + m)
 
     def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
