@@ -33,4 +33,19 @@ SELECT doc_id, source, size, source_size, target,
   (whole * size + greatest(0, least(till, last) - greatest(till - size, first)) + greatest(0, least(till, last - ring) - (till - size)))::BIGINT AS taken
 FROM ordered JOIN runs USING (src, a, b)"""
 
-SQL: dict[str, str] = {"op1_mix_sources": MIX}
+# Units are listed whole and joined again where they are cut.
+MIDDLE = r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM units),
+cut AS (SELECT doc_id, n, t,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut"""
+
+SQL: dict[str, str] = {"op1_mix_sources": MIX, "op13_fill_in_middle": MIDDLE}
