@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import bpe, extract, fingerprints, jaccard, middle, mixing, neighbours, packing, quality, suffixes, tokens, warc
+from treeloom.llm import bpe, extract, fingerprints, jaccard, middle, mixing, negatives, neighbours, packing, quality, suffixes, tokens, warc
 from treeloom.llm.common import read
 from treeloom.llm.sql import SQL  # noqa: F401
 
@@ -68,6 +68,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every seventh label is wrong on purpose, so that some near rows are negatives.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(read(spark, sf_dir, "documents"))
 
@@ -76,6 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_quality, op3_fingerprints, op4_warc, op5_bpe, op6_jaccard_join, op7_token_counts, op8_html_text, op9_nearest,
-        op10_suffix_dedup, op11_packing, op13_fill_in_middle,
+        op10_suffix_dedup, op11_packing, op12_hard_negatives, op13_fill_in_middle,
     )
 }
