@@ -88,8 +88,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if most < 1 << 53:
         return (a @ b.T).astype(np.int64)
-    exact = a.astype(object) @ b.T.astype(object) if a.shape[1] else np.zeros((len(a), len(b)), object)
-    return np.clip([[int(x) for x in row] for row in exact], -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _stack(column: pd.Series) -> np.ndarray:
