@@ -289,12 +289,16 @@ def test_crossing_keeps_pairs_whose_sketches_differ_in_sign_bits():
         for row in range(size):
             bits[row, row % 8] ^= np.int64(-(1 << 63))
         ids = np.arange(size)
+        zero = pa.array(np.zeros(size, np.int64))
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, 7)), pa.array(ids), pa.array(ids), pa.array(np.full(size, 100)), pa.array(list(bits), pa.list_(pa.int64()))],
-            names=["token", "sid", "comp", "n", "bits"],
+            [pa.array(np.full(size, 7)), zero, zero, zero, pa.array(ids), pa.array(ids), pa.array(np.full(size, 100)), pa.array(list(bits), pa.list_(pa.int64()))],
+            names=["token", "i", "j", "side", "sid", "comp", "n", "bits"],
         )
-        got = {(a, b) for out in jaccard._crossing(80)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))}
-        assert got == {(a, b) for a, b in combinations(range(size), 2) for a, b in [(b, a)]}
+        got = lambda most=None: [(a, b) for out in jaccard._crossing(80, most)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+        every = {(b, a) for a, b in combinations(range(size), 2)}
+        assert set(got()) == every
+        some = got(2)
+        assert (7, None) in some and set(some) - {(7, None)} < every and len(some) <= 2 * size + 1
 
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
@@ -316,6 +320,8 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir, width, percent, monkey
         rows.append((i, line + " " + " ".join(rng.choice(words, rng.integers(1, 60)))))
     rows += [(200, None), (201, ""), (202, "One two"), (203, "one TWO"), (204, "solo")]
     monkeypatch.setattr(jaccard, "COMMON", 8)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 20)  # long lists in blocks
     docs = documents(spark, [(i, t, "a") for i, t in rows])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join_components(docs, width, percent))}
     want = components_by_hand(sets_by_hand(rows, width), percent)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from treeloom.session import stage
+from treeloom.session import Stages
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,18 +15,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle_counted(df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder and read it back; Spark removes the shuffles of that job as it ends."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        stages = Stages(df.sparkSession)
+        size = stages.write(df, measure)
+    finally:
+        conf.set(CLEANUP, before)
+    out = stages.last()
+    out._folder = stages.paths[0]
+    return out, size
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and let go of the shuffles that made it.
+    """``settle_counted`` without the count."""
+    return settle_counted(df)[0]
 
-    Spark removes the shuffle files of a finished job once the driver has collected the objects that
-    name them, so the collection is asked for here instead of waiting for a full heap. The job's last
-    events still hold these objects for a moment.
-    """
-    out = stage(df)
-    time.sleep(0.5)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``settle`` wrote, once all that is read from them has been written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_hashes(data: bytes) -> np.ndarray:

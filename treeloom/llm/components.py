@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.session import stage_counted
+from treeloom.llm.common import release, settle_counted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     adaptive skew join, and nothing is gathered on the driver but a count and a checksum.
     """
     measure = F.concat_ws(":", F.count(F.lit(1)), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)"))
-    now, seen = stage_counted(
+    now, seen = settle_counted(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), measure
     )
     while True:
@@ -25,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now, sign = stage_counted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), measure)
+        last = now
+        now, sign = settle_counted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), measure)
+        release(last)
         if sign == seen:
             break
         seen = sign

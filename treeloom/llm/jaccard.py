@@ -6,13 +6,14 @@ the order is by hash, but elements that many unlike documents share come last. H
 all documents from the first elements of each; to keep groups of near copies from looking common, an
 element counts by the different smallest elements of the sets that hold it.
 
-Equal sets are one set. Sets of equal prefix and size are one group, and only groups are indexed. Pairs are
-found in two rounds, so that large groups of near copies do not make all their pairs. First, along each
-element's list, a group is paired with the one before it by size and with the first; members with their
-group's first. Verified links give components. Then only groups of different components that share an
-element and fit in size are expanded to their members; every link that could still join two components is
-among those, so components are exact. Candidates are filtered by size and by a parity sketch, whose
-differing bits bound the symmetric difference from below, and verified on their whole texts.
+Equal sets are one set. Sets of equal prefix and size are one group, and only groups are indexed. Members
+are linked with their group's first; verified links give components. Then, round by round, groups that share
+an element are expanded to their members, and members of different components that fit in size and by a parity
+sketch, whose differing bits bound the symmetric difference from below, are candidates. A round lets a row
+bring few candidates per list, verifies them on their whole texts and joins components, so that large groups
+of near copies do not make all their pairs; lists that had more come again, the last round without a limit.
+Every link that could still join two components is met, so components are exact. Long lists are compared in
+blocks, pair of blocks by pair of blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import mix, settle, word_hashes
+from treeloom.llm.common import mix, release, settle, word_hashes
 from treeloom.llm.components import components
 
 COMMON = 32
 SHORT_LIST = 64
+BLOCK = 2048  # rows of a list that a task compares with as many others
+ROUNDS = (2, 8, None)  # candidates that a row brings per list and round
 LAST = (1 << 63) - 1
 
 
@@ -103,7 +106,7 @@ def _need(percent: int) -> Column:
 
 
 def prefixes(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sid, n, prefix) for each distinct set, by the common order."""
+    """(sid, gid, n, prefix) for each distinct set, by the common order: its group, and the prefix of the group's first."""
     tokens = sets.select("sid", F.explode("first").alias("token"), F.element_at("first", 1).alias("least"))
     common = settle(
         tokens.groupBy("token")
@@ -133,7 +136,16 @@ def prefixes(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
         .agg(F.sort_array(F.collect_set(F.struct(F.coalesce("shared", F.lit(False)).alias("shared"), "token"))).alias("all"))
     )
     reordered = split.filter("prefix IS NULL").drop("prefix").join(whole, "sid").select("sid", "n", F.slice("all.token", F.lit(1), F.col("p").cast("int")).alias("prefix"))
-    return split.filter("prefix IS NOT NULL").select("sid", "n", "prefix").unionByName(reordered)
+    # A group is named by its least member; prefixes are told apart by 96 bits.
+    key = [F.xxhash64("n", "prefix").alias("k"), F.hash("n", "prefix").alias("h")]
+    made = settle(split.filter("prefix IS NOT NULL").select("sid", "n", "prefix").unionByName(reordered).select("*", *key))
+    release(common, split)
+    groups = made.groupBy("k", "h").agg(F.min("sid").alias("gid"))
+    members = settle(
+        made.join(groups, ["k", "h"]).select("sid", "gid", "n", F.when(F.col("sid") == F.col("gid"), F.col("prefix")).alias("prefix"))
+    )
+    release(made)
+    return members
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,10 +180,12 @@ def _fits(percent: int) -> Column:
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are alike enough."""
+    """The pairs (a, b) of set ids whose sets are alike enough, written."""
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     pairs = settle(pairs.distinct().join(left, "a").join(right, "b").filter(_fits(percent)).select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "did", "tid"), "sid")
     texts = settle(texts_of(docs, wanted).groupBy("sid").agg(F.min("text").alias("text")))
     rows = (
@@ -190,67 +204,94 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = settle(rows.mapInArrow(run, "a long, b long"))
+    release(pairs, texts)
+    return links
 
 
-def _crossing(percent: int):
-    """Sorted (token, sid, component, n, parity) to pairs of sets of different components, list by list.
+def _crossing(percent: int, most: int | None = None):
+    """Sorted (token, i, j, side, sid, component, n, sketch) to pairs (a, b) of sets of different components.
 
-    Only pairs that fit in size and sketch leave. Members of a long list's largest component are compared with
-    the others only.
+    A list comes as blocks ``i`` and ``j`` of it: each is compared with itself, or the rows of side 0 with those
+    of side 1. Only pairs that fit in size and sketch leave, at most ``most`` for a row and its block; lists
+    that had more are named by a row (token, null).
     """
 
+    def batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        if b is None:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
     def close(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Does the sketch, cut to 512 bits, allow the pair?"""
         differ = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)  # signed values lose bits
         return (100 + percent) * differ <= (100 - percent) * (n + m)
 
-    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    def long(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def long(token: int, apart: bool, side: np.ndarray, sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One pair of blocks, row by row; members of the largest component are compared with the others only."""
         value, count = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != value[count.argmax()])
         place = np.full(len(sid), -1)
         place[rest] = np.arange(len(rest))
+        over = False
         for i in rest.tolist():
-            fit = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (place < place[i])
-            j = np.flatnonzero(fit)
+            j = np.flatnonzero((comp != comp[i]) & fits(n, n[i]) & (place < place[i]) & ((side != side[i]) | (not apart)))
             j = j[close(n[j], n[i], bits[j], bits[i])]
+            if most is not None and len(j) > most:
+                over = True
+                j = j[:: len(j) // most][:most]  # from all over the list
             if len(j):
                 yield batch(np.full(len(j), sid[i]), sid[j])
+        if over:
+            yield batch(np.array([token]), None)
 
     def short(token: np.ndarray, sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All short lists side by side: rows are compared with those one, two, three ... places on."""
+        brought, over = np.zeros(len(token), np.int64), []
         for step in range(1, SHORT_LIST):
             same = token[step:] == token[:-step]
             if not same.any():
-                return
-            small, large = np.minimum(n[step:], n[:-step]), np.maximum(n[step:], n[:-step])
-            i = np.flatnonzero(same & (comp[step:] != comp[:-step]) & (100 * small >= percent * large))
+                break
+            i = np.flatnonzero(same & (comp[step:] != comp[:-step]) & fits(n[step:], n[:-step]))
             i = i[close(n[i], n[i + step], bits[i], bits[i + step])]
+            if most is not None:
+                over.append(token[i[brought[i] >= most]])
+                i = i[brought[i] < most]
+                brought[i] += 1
             if len(i):
                 yield batch(sid[i], sid[i + step])
+        if over and len(named := np.unique(np.concatenate(over))):
+            yield batch(named, None)
 
     def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token = columns[0]
-        begin = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
-        size = np.diff(np.append(begin, len(token)))
-        is_short = np.repeat(size <= SHORT_LIST, size)
-        yield from short(*(c[is_short] for c in columns))
-        for a, count in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
-            yield from long(*(c[a : a + count] for c in columns[1:]))
+        key, side, rest = columns[:3], columns[3], columns[4:]
+        begin = np.append(0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1)
+        size = np.diff(np.append(begin, len(side)))
+        is_short = np.repeat((size <= SHORT_LIST) & (key[1][begin] == key[2][begin]), size)
+        short_size = size[is_short[begin]]
+        # Blocks of one list stay apart: a list of several blocks may have a short one.
+        yield from _named(short(np.repeat(np.arange(len(short_size)), short_size), *(c[is_short] for c in rest)), key[0][begin[is_short[begin]]])
+        for a, count in zip(begin[~is_short[begin]].tolist(), size[~is_short[begin]].tolist()):
+            yield from long(int(key[0][a]), bool(key[1][a] != key[2][a]), *(c[a : a + count] for c in (side, *rest)))
+
+    def _named(found: Iterator[pa.RecordBatch], tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for rows in found:
+            yield batch(tokens[rows.column(0).to_numpy()], None) if rows.column(1).null_count else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for rows in batches:
             if not rows.num_rows:
                 continue
-            bits = np.array(rows.column(4).flatten()).reshape(rows.num_rows, 8)
-            columns = [*(rows.column(i).to_numpy() for i in range(4)), bits]
+            bits = np.array(rows.column(7).flatten()).reshape(rows.num_rows, 8)
+            columns = [*(rows.column(i).to_numpy() for i in range(7)), bits]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            cut = int(new[-1]) if len(new) else 0
             if cut:
                 yield from whole([c[:cut] for c in columns])
             held = [c[cut:] for c in columns]
@@ -260,6 +301,42 @@ def _crossing(percent: int):
     return run
 
 
+def candidates(lists: DataFrame, of_set: DataFrame, sketches: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of sets of different components from ``lists`` (token, gid, n), and (token, null) for lists
+    that had more than ``most`` for a row; ``of_set`` has sid, gid and comp, ``sketches`` sid and bits. Written."""
+    inside = of_set.select("gid", "comp").distinct()
+    spread = (
+        lists.join(inside, "gid").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    )
+    rows = settle(
+        lists.join(spread, "token", "left_semi").join(of_set, "gid").join(sketches, "sid").select("token", "sid", "comp", "n", "bits")
+    )
+    blocks = rows.groupBy("token").count().filter(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = (
+        rows.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        .withColumn("own", own).withColumn("other", every)
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "comp", "n", "bits")
+    )
+    keys = ["token", "i", "j"]
+    found = settle(
+        dealt.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("sid")).mapInArrow(_crossing(percent, most), "a long, b long").distinct()
+    )
+    release(rows)
+    return found
+
+
+def merged(of_set: DataFrame, links: DataFrame) -> DataFrame:
+    """``of_set`` with the components that ``links`` (a, b) between sets join. Written."""
+    own = of_set.select("sid", "comp")
+    bridges = links.join(own.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a").join(
+        own.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b"
+    ).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(bridges).select(F.col("node").alias("comp"), "component")
+    return settle(of_set.join(joined, "comp", "left").select("sid", "gid", F.coalesce("component", "comp").alias("comp")))
+
+
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id per document: the smallest doc_id that links lead to.
 
@@ -291,61 +368,45 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         .agg(F.min(F.struct("did", "tid")).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity"))
         .select("sid", "least", "least.did", "least.tid", "n", "first", "parity")
     )
-    members = settle(
-        prefixes(docs, sets, width, percent).withColumn("gid", F.min("sid").over(Window.partitionBy("n", "prefix")))
-        .select("sid", "gid", "n", F.when(F.col("sid") == F.col("gid"), F.col("prefix")).alias("prefix"))
-    )
-    entries = members.filter("sid = gid").select(F.explode("prefix").alias("token"), "gid", "n")
-    everyone = Window.partitionBy("token")
-    by_size = everyone.orderBy("n", "gid")
-    lists = (
-        entries.withColumn("prior", F.lag("gid").over(by_size))
-        .withColumn("head", F.min("gid").over(everyone))
-        .withColumn("size", F.count(F.lit(1)).over(everyone))
-        .filter("size > 1")
-    )
-    lists = settle(lists.select("token", "gid", "n", "prior", "head"))
-    near = lists.select("gid", F.explode(F.array("prior", "head")).alias("b")).filter("b IS NOT NULL AND b <> gid")
-    pairs = near.select(F.greatest("gid", "b").alias("a"), F.least("gid", "b").alias("b")).unionByName(
-        members.filter("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
-    )
-    links = settle(verified(docs, sets, pairs, width, percent))
-    labels = settle(components(links))
-    of_set = members.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", "gid", F.coalesce("component", "sid").alias("comp")
-    )
-    of_set = settle(of_set)
-    inside = of_set.select("gid", "comp").distinct()
-    shared = (
-        lists.select("token", "gid", "n").join(inside, "gid")
-        .withColumn("lo", F.min("comp").over(everyone)).withColumn("hi", F.max("comp").over(everyone))
-        .filter("lo <> hi").select("token", "gid", "comp", "n")
+    rows = settle(found.select("did", "tid", "sid", "n"))
+    release(found)
+    members = prefixes(docs, sets, width, percent)
+    narrow = settle(sets.drop("first"))
+    release(sets)
+    sets = narrow
+    # No two different sets of n elements, or of n and n + 1, can be alike enough where n is this small.
+    entries = members.filter((F.col("sid") == F.col("gid")) & (100 * F.col("n") >= percent * (F.col("n") + 1))).select(F.explode("prefix").alias("token"), "gid", "n")
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    alike = members.filter((F.col("sid") != F.col("gid")) & (100 * (F.col("n") - 1) >= percent * (F.col("n") + 1)))
+    # A group is a list, too: its members may lie in different components.
+    lists = settle(
+        entries.join(several, "token", "left_semi").unionByName(
+            alike.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", "n").distinct()
+        )
     )
-    # Lists that join components are expanded to members, with sketches folded to 512 bits.
+    of_set = settle(members.select("sid", "gid", F.col("sid").alias("comp")))
+    links = verified(docs, sets, alike.select(F.col("sid").alias("a"), F.col("gid").alias("b")), width, percent)
+    of_set = merged(of_set, links)
+    release(members)
+    # Sketches for lists are folded to 512 bits.
     folded = F.expr("transform(sequence(0, 7), i -> aggregate(transform(sequence(0, cast(size(parity) / 8 AS int) - 1), j -> parity[i + 8 * j]), 0L, (s, x) -> s ^ x))")
-    bits = settle(of_set.join(sets.select("sid", folded.alias("bits")), "sid").select("gid", "comp", "sid", "bits"))
-    across = (
-        shared.join(bits, ["gid", "comp"]).select("token", "sid", "comp", "n", "bits")
-        .repartition("token").sortWithinPartitions("token").mapInArrow(_crossing(percent), "a long, b long").distinct()
-    )
-    # Members of one group may lie in different components, too.
-    split = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gid")
-    parts = of_set.join(split, "gid", "left_semi")
-    within = parts.select("gid", F.col("sid").alias("a"), F.col("comp").alias("ca")).join(
-        parts.select("gid", F.col("sid").alias("b"), F.col("comp").alias("cb")), "gid"
-    ).filter("a > b AND ca <> cb").select("a", "b")
-    more = across.unionByName(within)
-    late = settle(verified(docs, sets, more, width, percent))
-    comps = of_set.select(F.col("sid"), F.col("comp"))
-    bridges = late.join(comps.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a").join(
-        comps.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b"
-    ).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = components(bridges).select(F.col("node").alias("comp"), "component")
-    final = settle(comps.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp")))
-    least = final.join(sets.select("sid", "least"), "sid").groupBy("comp").agg(F.min("least").alias("least"))
-    ids = final.join(least, "comp").select("sid", "least")
+    sketches = settle(sets.select("sid", folded.alias("bits")))
+    open_ = lists
+    for most in ROUNDS:
+        pairs = candidates(open_, of_set, sketches, percent, most)
+        links = verified(docs, sets, pairs.filter("b IS NOT NULL"), width, percent)
+        before, of_set = of_set, merged(of_set, links)
+        more = settle(open_.join(pairs.filter("b IS NULL").select(F.col("a").alias("token")), "token", "left_semi"))
+        release(pairs, before, open_)
+        open_ = more
+        if more.isEmpty():
+            break
+    release(open_, sketches)
+    least = of_set.join(sets.select("sid", "least"), "sid").groupBy("comp").agg(F.min("least").alias("least"))
+    ids = settle(of_set.join(least, "comp").select("sid", "least"))
+    release(of_set, sets)
     own = F.struct("did", "tid")
-    return found.select("did", "tid", "sid", "n").join(ids, "sid", "left").select(
+    return rows.join(ids, "sid", "left").select(
         "did", "tid", "n", F.coalesce("least.did", "did").alias("component"), (F.col("least").isNull() | (F.col("least") == own)).alias("chosen")
     )
 
