@@ -1,13 +1,12 @@
-"""Path search with scores."""
+"""Path search with scores over the paths themselves; ``search_index`` searches a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions import lookups, paths, text
 from treeloom.operators.inventory import KEY
-from treeloom.operators.matching import contains_pairs
 
 
 def _spaced(path: Column) -> Column:
@@ -57,48 +56,6 @@ def search(files: DataFrame, query: str, limit: int = lookups.SEARCH_LIMIT) -> D
     )
 
 
-def search_many(files: DataFrame, queries: DataFrame, limit: int = lookups.SEARCH_LIMIT) -> DataFrame:
-    """The same for a table of queries ``(query_id, query)``.
-
-    The rank filter is applied on each map side first, so a query that matches everything does
-    not send its whole result to one task.
-    """
-    asked = (
-        queries.filter("query <> ''")
-        .select("query_id", F.lower("query").alias("asked"))
-        .withColumns(
-            {
-                "asked_words": F.array_distinct(text.words(F.col("asked"))),
-                "tokens": F.array_distinct(_tokens(F.col("asked"))),
-            }
-        )
-    )
-    tokens = asked.select("*", F.posexplode("tokens").alias("at", "token"))
-    # Each path may pair with very many queries, so the short path rows are spread over the full
-    # shuffle width first; a fixed number keeps adaptive execution from merging them again.
-    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = files.select(
-        *KEY, F.lower("relative_path").alias("_path"), _spaced(F.col("relative_path")).alias("_spaced")
-    ).repartition(width, *KEY)
-    # A pair counts at the first of the query's tokens that matches, so no duplicates arise.
-    earlier = F.exists(F.slice("tokens", F.lit(1), F.col("at")), lambda t: F.contains(F.col("_path"), t))
-    scored = (
-        contains_pairs(folded, "_path", tokens, "token")
-        .filter(~earlier)
-        .select(
-            "query_id",
-            *KEY,
-            _score(F.col("_path"), F.col("_spaced"), F.col("asked"), F.col("asked_words")).alias("match_score"),
-        )
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "relative_path", "repo")
-    return (
-        scored.withColumn("position", F.row_number().over(best))
-        .filter(F.col("position") <= limit)
-        .select("query_id", "position", *KEY, "match_score")
-    )
-
-
 def postings(files: DataFrame) -> DataFrame:
     """Inverted index rows ``(term, repo, file_id)``: file-name words and the whole path.
 

@@ -22,6 +22,7 @@ from treeloom.operators import (
     reach,
     replies,
     search,
+    search_index,
     structure,
 )
 from treeloom.plans import fixtures as fx
@@ -272,7 +273,8 @@ def name_list_parse(spark, sf_dir):
 
 @query
 def search_topk(spark, sf_dir):
-    return search.search(fx.inventory_files(spark, sf_dir), "Mod_1.ts js").drop("repo")
+    index = search_index.build_temporary(fx.inventory_files(spark, sf_dir))
+    return search_index.search(index, "Mod_1.ts js").drop("repo")
 
 
 @query
@@ -289,7 +291,8 @@ def search_many(spark, sf_dir):
             )
         ).alias("k", "query"),
     ).select((F.col("item_id") * 4 + F.col("k")).alias("query_id"), "query")
-    return search.search_many(fx.inventory_files(spark, sf_dir), asked).select(
+    index = search_index.build_temporary(fx.inventory_files(spark, sf_dir))
+    return search_index.search_many(index, asked).select(
         "query_id", F.col("position").cast("long").alias("position"), "relative_path", "match_score"
     )
 
