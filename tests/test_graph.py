@@ -178,3 +178,30 @@ def test_suggestions(spark):
         "a/config.js": ("a/config.js", 1.0), "q/config.js": ("a/config.js", 0.8), "q/my_main.ts": ("b/main.ts", 0.5),
         "q/mai": ("b/main.ts", 0.5), "q/zzz": (None, 0.0),
     }
+
+
+def test_reach_reads_the_buckets_of_its_frontier(spark, monkeypatch):
+    """A long chain: a round looks among the visited nodes of a few buckets only, and finds the same nodes."""
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("n020", "n000"), ("n005", "n030")]
+    seeds = spark.createDataFrame([("r", "n010")], "repo string, node string")
+    want = {r["node"] for r in reach.reach(edges_of(spark, pairs), seeds).collect()}
+    read, real = [], reach.Visited.near
+    monkeypatch.setattr(reach, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(reach.Visited, "near", lambda self, found: read.append((self, real(self, found))) or read[-1][1])
+    got = {r["node"] for r in reach.reach(edges_of(spark, pairs), seeds).collect()}
+    assert got == want and len(got) == 41
+    visited, last = read[-2]  # the last round finds nothing
+    assert visited.buckets == 21 and last.count() <= 6 < visited.all().count()
+    assert "PartitionFilters: [isnotnull(bucket" in last._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in last._jdf.queryExecution().toString()
+
+
+def test_paths_that_cannot_close_do_not_grow(spark, monkeypatch):
+    """Layers that lead back to the smallest node only: paths from other nodes could never close, so none begins."""
+    layers = [["b"], *([f"{name}{i}" for i in range(3)] for name in "cde"), ["a"]]
+    pairs = [("a", "b"), ("b", "a")] + [(x, y) for one, other in zip(layers, layers[1:]) for x in one for y in other]
+    want = {("a", "b"), *(("a", "b", f"c{i}", f"d{j}", f"e{k}") for i in range(3) for j in range(3) for k in range(3))}
+    sizes, real = [], reach.Stages.write
+    monkeypatch.setattr(reach.Stages, "write", lambda self, df, measure=None: sizes.append((df.columns, real(self, df, measure))) or sizes[-1][1])
+    got, _ = reach.cycles(edges_of(spark, pairs))
+    assert {tuple(r["cycle"]) for r in got.collect()} == want
+    assert max(size for columns, size in sizes if "path" in columns) <= len(want)

@@ -8,34 +8,70 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.operators.inventory import KEY
 from treeloom.session import Stages, stage, stage_counted
 
 COMPACT_EVERY = 16
+BUCKET_ROWS = 250_000  # edges per bucket of visited nodes
+MOST_BUCKETS = 512
 
 
-def _spread(step: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """Follow ``step(keys, node, next)`` from ``seeds(keys, node)`` until nothing new is found."""
+class Visited:
+    """Visited nodes, written round by round in buckets by node.
+
+    A round asks only for the buckets in which the nodes it has found lie, so what it reads follows the
+    frontier and not everything visited. There is one bucket per ``BUCKET_ROWS`` edges.
+    """
+
+    def __init__(self, keys: list[str], edges: int, spark: SparkSession):
+        self.keys = keys
+        self.buckets = max(1, min(MOST_BUCKETS, -(-edges // BUCKET_ROWS)))
+        self.rounds = Stages(spark, ["bucket"] if self.buckets > 1 else [])
+
+    def add(self, found: DataFrame) -> int:
+        """Write the nodes of a round; return how many."""
+        if self.buckets > 1:
+            found = found.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).repartition("bucket")
+        if len(self.rounds.paths) >= COMPACT_EVERY:
+            self.rounds.compact()
+        return self.rounds.write(found)
+
+    def frontier(self) -> DataFrame:
+        return self.rounds.last().select(*self.keys)
+
+    def near(self, found: DataFrame) -> DataFrame:
+        """Visited nodes of the buckets that ``found`` lies in."""
+        if self.buckets == 1:
+            return self.all()
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        asked = [r.bucket for r in found.select(bucket.alias("bucket")).distinct().collect()]  # at most one row per bucket
+        return self.rounds.all().filter(F.col("bucket").isin(asked)).select(*self.keys)
+
+    def all(self) -> DataFrame:
+        return self.rounds.all().select(*self.keys)
+
+
+def _spread(step: DataFrame, seeds: DataFrame, keys: list[str], edges: int = 0) -> DataFrame:
+    """Follow ``step(keys, node, next)`` of some number of edges from ``seeds(keys, node)`` until nothing new is found."""
     here = [*keys, "node"]
-    seen = Stages(step.sparkSession)
-    size = seen.write(seeds.select(*here).distinct())
+    seen = Visited(here, edges, step.sparkSession)
+    size = seen.add(seeds.select(*here).distinct())
     while size:
-        frontier = seen.last()
-        if len(seen.paths) >= COMPACT_EVERY:
-            seen.compact()
-        found = frontier.join(step, here).select(*keys, F.col("next").alias("node")).distinct()
-        size = seen.write(found.join(seen.all(), here, "left_anti"))
+        found = seen.frontier().join(step, here).select(*keys, F.col("next").alias("node")).distinct()
+        if seen.buckets > 1:
+            found = stage(found)
+        size = seen.add(found.join(seen.near(found), here, "left_anti"))
     return seen.all()
 
 
 def reach(edge_rows: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
     """Nodes ``(repo, node)`` reachable from the seeds, these included."""
     ends = ("dst", "src") if backward else ("src", "dst")
-    step = stage(edge_rows.select("repo", F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct())
-    return _spread(step, seeds, ["repo"])
+    step, size = stage_counted(edge_rows.select("repo", F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct())
+    return _spread(step, seeds, ["repo"], size)
 
 
 def reach_both(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -46,9 +82,9 @@ def reach_both(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
             F.struct(F.lit("backward").alias("direction"), F.col("dst").alias("node"), F.col("src").alias("next")),
         )
     )
-    step = stage(edge_rows.select("repo", "src", "dst").distinct().select("repo", hop.alias("h")).select("repo", "h.*"))
+    step, size = stage_counted(edge_rows.select("repo", "src", "dst").distinct().select("repo", hop.alias("h")).select("repo", "h.*"))
     both = F.explode(F.array(F.lit("forward"), F.lit("backward"))).alias("direction")
-    return _spread(step, seeds.select("repo", both, "node"), ["repo", "direction"])
+    return _spread(step, seeds.select("repo", both, "node"), ["repo", "direction"], size)
 
 
 def connected(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -79,7 +115,9 @@ def _trim(edge_rows: DataFrame) -> tuple[DataFrame, int]:
 def _strongest(current: DataFrame) -> DataFrame:
     """Largest node that reaches each node, ``(repo, node, color)``, by passing labels along edges.
 
-    Only labels that grew in a round are passed on in the next one.
+    Only labels that grew in a round are passed on in the next one. A node also takes the label of the node
+    that its own label names, which reaches it as well; so labels run ahead in strides that double, and a long
+    ring or chain takes few rounds.
     """
     ends = current.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
     colors, size = stage_counted(ends.select("repo", "node", F.col("node").alias("color"), F.lit(True).alias("grew")))
@@ -90,13 +128,11 @@ def _strongest(current: DataFrame) -> DataFrame:
             .groupBy("repo", F.col("dst").alias("node"))
             .agg(F.max("color").alias("offer"))
         )
+        ahead = colors.filter("node <> color").select("repo", F.col("node").alias("color"), F.col("color").alias("ahead"))
+        new = F.greatest("color", "offer", "ahead")
         colors, size = stage_counted(
-            colors.join(offers, ["repo", "node"], "left").select(
-                "repo",
-                "node",
-                F.greatest("color", "offer").alias("color"),
-                F.coalesce(F.col("offer") > F.col("color"), F.lit(False)).alias("grew"),
-            ),
+            colors.join(offers, ["repo", "node"], "left").join(ahead, ["repo", "color"], "left")
+            .select("repo", "node", new.alias("color"), (new > F.col("color")).alias("grew")),
             F.count_if("grew"),
         )
     return colors.select("repo", "node", "color")
@@ -105,9 +141,10 @@ def _strongest(current: DataFrame) -> DataFrame:
 def cyclic_core(edge_rows: DataFrame) -> DataFrame:
     """Edges inside strongly connected components: those that lie on some cycle.
 
-    Each pass trims, labels every node with the largest node that reaches it, and splits off the
-    component of each label's own node, which is what reaches it back inside its label. Edges
-    between labels lie on no cycle and are dropped; the rest goes to the next pass.
+    Each pass trims, labels every node with the largest node that reaches it, and splits off the component of
+    each label's own node. That node is the largest of its label, so what reaches it inside the label is what
+    has it as its label on the reversed edges. Edges between labels lie on no cycle and are dropped; the rest
+    goes to the next pass.
     """
     rest, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
     core = []
@@ -119,7 +156,8 @@ def cyclic_core(edge_rows: DataFrame) -> DataFrame:
             rest.join(of_src, ["repo", "src"]).join(of_dst, ["repo", "dst"]).filter("src_color = dst_color")
             .select("repo", "src", "dst")
         )
-        member = stage(reach(same, colors.filter("node = color"), backward=True))
+        back = _strongest(same.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        member = stage(back.join(colors, ["repo", "node", "color"], "left_semi").select("repo", "node"))
         inside = same.join(member.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi").join(
             member.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"
         )
@@ -131,40 +169,60 @@ def cyclic_core(edge_rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, core) if core else rest
 
 
+def _rooted(core: DataFrame) -> DataFrame:
+    """Edges ``(repo, root, last, next)`` on which a path from ``root`` through larger nodes may run and return.
+
+    A node stays only if it still reaches the root among larger nodes, so a path that cannot close is never
+    grown into such a node. Found by one backward search from all roots at once.
+    """
+    hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
+    homes = Stages(core.sparkSession)
+    size = homes.write(hop.filter("last > next").select("repo", F.col("next").alias("root"), F.col("last").alias("node")).distinct())
+    while size:
+        if len(homes.paths) >= COMPACT_EVERY:
+            homes.compact()
+        found = (
+            homes.last().join(hop.withColumnRenamed("next", "node"), ["repo", "node"]).filter("last > root")
+            .select("repo", "root", F.col("last").alias("node")).distinct()
+        )
+        size = homes.write(found.join(homes.all(), ["repo", "root", "node"], "left_anti"))
+    home = homes.all()
+    onward = hop.join(home.withColumnRenamed("node", "next"), ["repo", "next"])
+    first = onward.filter("last = root")
+    inner = onward.join(home.withColumnRenamed("node", "last"), ["repo", "root", "last"], "left_semi")
+    closing = home.withColumnRenamed("node", "last").join(hop.withColumnRenamed("next", "root"), ["repo", "last", "root"], "left_semi").withColumn("next", F.col("root"))
+    return stage(first.unionByName(inner).unionByName(closing))
+
+
 def cycles(edge_rows: DataFrame, max_len: int | None = None) -> tuple[DataFrame, bool]:
     """Every elementary cycle once, as ``(repo, cycle)`` starting at its smallest node.
 
-    Inside each strongly connected component, paths grow from each node through larger nodes only
-    and close when they return to it. Without ``max_len`` the search is exhaustive, which can
-    take exponentially many paths on dense graphs; with it the second result tells whether
-    longer paths were left.
+    Inside each strongly connected component, paths grow from each node through larger nodes from which there
+    is a way back to it, and close when they return. Without ``max_len`` the search is exhaustive: there may be
+    exponentially many cycles on dense graphs; with it the second result tells whether longer paths were left.
     """
-    core, size = _trim(edge_rows.select("repo", "src", "dst").filter("src <> dst").distinct())
-    if size:
-        core = stage(cyclic_core(core))
-    hop = core.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
-    root = F.get("path", F.lit(0))
+    core = stage(cyclic_core(edge_rows))
+    hop = _rooted(core)
+    start = hop.filter("last = root").select("repo", "root", F.array("root", "next").alias("path"), F.lit(False).alias("closed"))
     paths = Stages(edge_rows.sparkSession)
-    size = paths.write(
-        core.filter("dst > src").select("repo", F.array("src", "dst").alias("path"), F.lit(False).alias("closed"))
-    )
+    size = paths.write(start)
     length = 2
     truncated = False
     while size:
         grown = (
             paths.last().filter("NOT closed")
             .withColumn("last", F.element_at("path", -1))
-            .join(hop, ["repo", "last"])
-            .withColumn("closed", F.col("next") == root)
+            .join(hop, ["repo", "root", "last"])
+            .withColumn("closed", F.col("next") == F.col("root"))
         )
-        longer = (F.col("next") > root) & ~F.array_contains("path", F.col("next"))
+        longer = ~F.col("closed") & ~F.array_contains("path", F.col("next"))
         kept = F.col("closed") | longer
         if max_len is not None and length >= max_len:
             truncated = truncated or not grown.filter(longer).isEmpty()
             kept = F.col("closed")
         size = paths.write(
             grown.filter(kept).select(
-                "repo",
+                "repo", "root",
                 F.when(F.col("closed"), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
                 "closed",
             )

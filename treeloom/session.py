@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +54,10 @@ def stage_root(spark: SparkSession) -> str:
 class Stages:
     """Tables of one schema written round by round and read back together with a single scan."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folders: list[str] | None = None):
+        """``folders`` names columns whose values get a folder each, so that a reader can leave others out."""
         self.spark = spark
+        self.folders = folders or []
         self.paths: list[str] = []
         self.schema = None
 
@@ -66,7 +69,7 @@ class Stages:
         path = f"{stage_root(self.spark)}/treeloom/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         rows = Observation()
         count = F.count(F.lit(1)) if measure is None else measure
-        df.observe(rows, count.alias("n")).write.parquet(path)
+        df.observe(rows, count.alias("n")).write.partitionBy(*self.folders).parquet(path)
         self.paths.append(path)
         self.schema = df.schema
         return rows.get["n"]
@@ -77,11 +80,13 @@ class Stages:
 
     def all(self) -> DataFrame:
         """All rounds."""
+        if self.folders:  # each round is a table of its own with these folders
+            return reduce(DataFrame.unionByName, (self.spark.read.schema(self.schema).parquet(p) for p in self.paths))
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
     def compact(self) -> None:
         """Rewrite all rounds as one, so that a long loop does not read ever more folders."""
-        whole = Stages(self.spark)
+        whole = Stages(self.spark, self.folders)
         whole.write(self.all())
         self.paths = whole.paths
 
