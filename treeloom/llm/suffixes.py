@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from treeloom.llm.common import mix, settle
+from treeloom.llm.common import mix, release, settle
 
 SPAN = 50
 GRAM = 18
@@ -280,27 +280,28 @@ def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def repeated_spans(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(did, tid, first, lo, hi): spans of bytes to remove, per document whose text no smaller doc_id has.
+    """(did, tid, lo, hi): spans of bytes to remove, per document whose text no smaller doc_id has. Written.
 
     Spans may overlap. ``first`` and whole copies are in ``plan``.
     """
     keyed = with_keys(docs)
     firsts = _firsts(keyed)
-    found = keyed.select("tid", "body").mapInArrow(_emit_anchors, "anchor long, tid long")
-    by_anchor = Window.partitionBy("anchor")
-    shared = (
-        found.withColumn("lo", F.min("tid").over(by_anchor))
-        .withColumn("hi", F.max("tid").over(by_anchor))
-        .withColumn("n", F.count("tid").over(by_anchor))
-        .filter("lo <> hi")
-        .select("tid", "anchor", F.ceil(F.col("n") / shard_rows).cast("int").alias("salts"))
+    found = settle(keyed.select("tid", "body").mapInArrow(_emit_anchors, "anchor long, tid long"))
+    # Counts combine before the shuffle, and a join splits a hot key, so a line of all documents is no one task's.
+    often = (
+        found.groupBy("anchor").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .filter("lo <> hi").select("anchor", F.ceil(F.col("n") / shard_rows).cast("int").alias("salts"))
     )
+    shared = found.join(often, "anchor").select("tid", "anchor", "salts")
     lists = shared.groupBy("tid").agg(F.collect_set(F.struct("anchor", "salts")).alias("shared"))
     lists = settle(lists.join(firsts.select("tid", "did").distinct(), "tid").select("did", "tid", F.col("shared.anchor").alias("shared"), F.col("shared.salts").alias("salts")))
+    release(found)
     stretches = keyed.join(lists, ["did", "tid"]).select("did", "tid", "body", "shared", "salts").mapInArrow(_emit_stretches, STRETCH)
     spans = settle(stretches.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(_shard, FOUND))
     merged = spans.filter("mark IS NOT NULL").repartition("mark").sortWithinPartitions("mark", "did").mapInArrow(_merge, FOUND)
-    return spans.filter("mark IS NULL").unionByName(merged).select("did", "tid", "lo", "hi")
+    done = settle(spans.filter("mark IS NULL").unionByName(merged).select("did", "tid", "lo", "hi"))
+    release(lists, spans)
+    return done
 
 
 def _firsts(keyed: DataFrame) -> DataFrame:
@@ -319,11 +320,13 @@ def dedup(docs: DataFrame, columns: list[str], shard_rows: int = SHARD_ROWS) ->
     keyed = with_keys(docs, F.struct(*columns).alias("row"))
     narrow = with_keys(docs)
     firsts = _firsts(narrow).select("tid", F.col("did").alias("first"))
-    spans = repeated_spans(docs, shard_rows).groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = repeated_spans(docs, shard_rows)
+    spans = found.groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     plan = settle(
         narrow.select("did", "tid").distinct().join(firsts, "tid").join(spans, ["did", "tid"], "left")
         .select("did", "tid", (F.col("did") > F.col("first")).alias("copy"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     )
+    release(found)
     joined = keyed.join(plan, ["did", "tid"], "left").select("row", "body", "copy", "lo", "hi")
     counts = [StructField(name, LongType()) for name in ("n_bytes", "n_removed", "n_spans")]
     out = StructType([joined.schema["row"], *counts, StructField("kept", BinaryType()), StructField("text", StringType())])
