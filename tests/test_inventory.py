@@ -1,12 +1,14 @@
 """Hand-worked cases for paths, sizes, selection, search, sources and saved tables."""
 
+import itertools
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
-from treeloom.operators import archive, bundle, callstats, inventory, matching, quality, replies, search
+from treeloom.operators import archive, bundle, callstats, inventory, matching, quality, replies, scans, search
 from treeloom.sources import tables, tree
 
 
@@ -269,6 +271,23 @@ def test_running_mean_across_slices(spark):
     assert [r["avg_response_time"] for r in got] == [(i + 1) / 2 for i in range(1, 8)]
 
 
+def test_running_mean_of_a_burst_and_of_nulls(spark, monkeypatch):
+    """Calls at one time spread evenly over slices; a model without a name is a model."""
+    rows = [("m" if i % 3 else None, True, float(i), 5) for i in range(300)]
+    staged = []
+    real = scans.stage
+    monkeypatch.setattr(scans, "stage", lambda df: staged.append(real(df)) or staged[-1])
+    got = callstats.running_mean(calls_of(spark, rows), rows_per_slice=30).collect()
+    per_slice = [r["count"] for r in staged[-1].groupBy("_slice").count().collect()]
+    assert len(per_slice) == 10 and max(per_slice) <= 60
+    sums = {}
+    for r in sorted(got, key=lambda r: r["event_id"]):
+        sums.setdefault(r["model_name"], []).append(r["response_time"])
+        assert r["success_count"] == len(sums[r["model_name"]])
+        assert r["avg_response_time"] == pytest.approx(sum(sums[r["model_name"]]) / r["success_count"])
+    assert len(got) == 300
+
+
 def test_replies(spark):
     fence = "```"
     texts = ["not json", f"{fence}json\n{{\"files\":[{{\"file_id\":\"a\"}}]}}\n{fence}", '{"a":1} {"b":2}', "[]", "null", "{'files':[]}", f"{fence}\n{{}}{fence}"]
@@ -279,6 +298,96 @@ def test_replies(spark):
     assert got[1] == (1, "", 0.0) and got[6] == (0, "", 0.0)
 
 
+def bundles_of(spark):
+    files = spark.createDataFrame(
+        [("r", "a.py", "x = 'é'", 8, 0), ("r", "b/c.txt", 'say "hi"\n\U0001f600', 13, 60), ("r", "d.txt", "", 0, 60)],
+        "repo string, relative_path string, content string, size long, at long",
+    ).withColumn("last_modified", F.timestamp_seconds("at")).drop("at")
+    asked = [("k", 1, "r", "b/c.txt"), ("k", 2, "r", "gone"), ("k", 3, "r", "a.py"), ("none", 1, "r", "gone")]
+    asked += [("k", 3, "r", "d.txt")] + [("long", i, "r", "a.py") for i in range(500)]  # two at one position, one file often
+    return files, spark.createDataFrame(asked, "bundle_id string, position long, repo string, relative_path string")
+
+
+@pytest.mark.parametrize("mode", bundle.MODES)
+def test_bundle_files_hold_the_rows_in_order(spark, tmp_path, mode):
+    files, asked = bundles_of(spark)
+    folder = str(tmp_path / "out")
+    bundle.write(asked, files, folder, "2024-01-01 00:00:00", mode)
+    rows = bundle.generate(asked, files, "2024-01-01 00:00:00", mode).collect()
+    suffix = "md" if mode == "none" else "json"
+    assert sorted(os.listdir(folder)) == [f"{n}.{suffix}" for n in ("k", "long", "none")]
+    for name in ("k", "long", "none"):
+        with open(f"{folder}/{name}.{suffix}", encoding="utf-8", newline="") as handle:
+            got = handle.read()
+        want = sorted((r["part"], r["position"], r["text"]) for r in rows if r["bundle_id"] == name)
+        if mode == "none":
+            tied = {(p, at): sorted(t for q, a, t in want if (q, a) == (p, at)) for p, at, _ in want}
+            assert len(got) == sum(len(t) + 1 for *_, t in want) - 1
+            place = 0
+            for texts in tied.values():  # texts at one position may come in any order
+                size = sum(len(t) + 1 for t in texts) - 1
+                assert got[place : place + size] in {"\n".join(p) for p in itertools.permutations(texts)}
+                place += size + 1
+        else:
+            found = json.loads(got)
+            assert sorted(map(json.dumps, found)) == sorted(json.dumps(json.loads(t)) for *_, t in want)
+            if name == "k":
+                first = next(json.loads(t) for _, at, t in want if at == 1)
+                assert found[0] == first
+    sizes = {r["bundle_id"]: r["size"] for r in bundle.manifest(
+        bundle.generate(asked, files, "2024-01-01 00:00:00", mode), asked, "s", mode).collect()}
+    for name, size in sizes.items():
+        with open(f"{folder}/{name}.{suffix}", encoding="utf-8", newline="") as handle:
+            assert len(handle.read()) == size
+
+
+def test_bundle_files_are_refused_replaced_and_aborted(spark, tmp_path):
+    files, asked = bundles_of(spark)
+    folder = str(tmp_path / "out")
+    bundle.write(asked, files, folder, "t")
+    with pytest.raises(Exception, match="Path exists"):
+        bundle.write(asked, files, folder, "t")
+    bundle.write(asked.filter("bundle_id = 'k'"), files, folder, "t", "semantic", overwrite=True)
+    assert os.listdir(folder) == ["k.json"]
+    bad = spark.createDataFrame([("x", 0, b"ab"), ("../y", 0, b"c")], "filename string, position long, data binary")
+    with pytest.raises(Exception, match="not a file name"):
+        bad.write.format("placed_files").option("path", folder).mode("overwrite").save()
+    gap = spark.createDataFrame([("x", 0, b"ab"), ("x", 5, b"c")], "filename string, position long, data binary")
+    with pytest.raises(Exception, match="overlap or leave gaps"):
+        gap.write.format("placed_files").option("path", str(tmp_path / "gap")).mode("append").save()
+    assert sorted(os.listdir(tmp_path)) == ["out"] and os.listdir(folder) == ["k.json"]
+    none = asked.limit(0)
+    bundle.write(none, files, str(tmp_path / "empty"), "t", "hybrid")
+    assert os.listdir(tmp_path / "empty") == []
+
+
+def test_section_of_an_unreadable_file(spark):
+    files, asked = bundles_of(spark)
+    error = F.when(F.col("relative_path") == "a.py", "Permission denied")
+    rows = bundle.sections(asked.filter("bundle_id = 'k'"), files.withColumn("error", error)).collect()
+    got = {r["relative_path"]: r["text"] for r in rows}
+    assert got["a.py"].endswith("\n\n**Error reading file:** Permission denied\n\n---") and "x = " not in got["a.py"]
+    assert "**Error" not in got["b/c.txt"]
+
+
+def test_generations_survive_a_failure_between_the_steps(spark, tmp_path):
+    store = tables.Generations(spark, str(tmp_path / "store"))
+    assert store.current() is None and store.sweep() == []
+    with pytest.raises(ValueError, match="no generation"):
+        store.read()
+    texts = spark.createDataFrame([("x",), ("y",), ("z",)], "text string")
+    first = store.replace(archive.originals(texts))
+    lost = store.write(archive.originals(texts.limit(1)))  # the job ends before the switch
+    assert store.current() == first and store.read().count() == 3
+    reader = store.read()
+    named = archive.originals(spark.createDataFrame([("y",), ("q",)], "text string"))
+    assert archive.sweep_store(store, named) == [lost]
+    assert [r["content"] for r in store.read().collect()] == ["y"]
+    assert reader.count() == 3  # one that began before the switch still finishes
+    assert archive.sweep_store(store, named.limit(0)) == [first]
+    assert store.read().collect() == []
+
+
 def test_archive_properties(spark):
     df = spark.createDataFrame([(0, ""), (1, "é\n" * 500)], "id int, text string")
     records = archive.lossless(df, ["id"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.functions import lookups, text
+from treeloom.sources.tables import Generations
 
 # Archive kinds and packing level.
 LOSSLESS = "gzip_lossless"
@@ -148,3 +149,12 @@ def kept(manifest: DataFrame, now: Column) -> DataFrame:
 def kept_originals(store: DataFrame, records: DataFrame) -> DataFrame:
     """Stored texts that some kept record still names."""
     return store.join(records.select("sha256").distinct(), "sha256", "left_semi")
+
+
+def sweep_store(store: Generations, records: DataFrame, keep: int = 2) -> list[str]:
+    """Rewrite a store without the texts that no kept record names; return the generations dropped.
+
+    The kept part becomes a new generation, readers are switched to it, and only then older ones go.
+    """
+    store.replace(kept_originals(store.read(), records))
+    return store.sweep(keep)

@@ -6,13 +6,16 @@ text)`` whose order gives the document and whose texts are joined by newlines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
 from treeloom.operators import archive
 from treeloom.operators.inventory import KEY
+from treeloom.operators.scans import running_sums
 from treeloom.operators.structure import summaries
+from treeloom.session import stage
+from treeloom.sources import bundle_files
 
 # Bundle modes.
 MODES = ("none", "semantic", "lossless", "hybrid")
@@ -65,8 +68,9 @@ def contents(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sections(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """One section per requested file that exists."""
-    return requests.join(files, KEY).select("bundle_id", "position", *KEY, section().alias("text"))
+    """One section per requested file that exists; a file with an ``error`` states it in place of its content."""
+    error = F.col("error") if "error" in files.columns else None
+    return requests.join(files, KEY).select("bundle_id", "position", *KEY, section(error=error).alias("text"))
 
 
 def parts(requests: DataFrame, files: DataFrame, generated_at: str, mode: str = "none") -> DataFrame:
@@ -159,8 +163,70 @@ def semantic_metadata(requests: DataFrame, files: DataFrame, bundle_parts: DataF
     )
 
 
+def placed(requests: DataFrame, files: DataFrame, generated_at: str, mode: str = "none", rows_per_slice: int = 100_000) -> DataFrame:
+    """Bundles as rows ``(bundle_id, position, data)``: bytes, and the byte of the bundle's file they start at.
+
+    A plain bundle is its parts joined by newlines. The others are one JSON array; without elements it
+    is ``[]``. Places are running sums over narrow rows; texts are
+    staged once and meet their place by row number.
+    """
+    check_mode(mode)
+    missing = F.lit("" if mode == "none" else "null")
+    numbered = generate(requests, files, generated_at, mode).withColumns(
+        {"text": F.coalesce("text", missing), "_row": F.monotonically_increasing_id()}
+    )
+    texts = stage(numbered)
+    sizes = texts.select("bundle_id", "part", F.col("position").alias("at"), "_row", F.octet_length("text").cast("long").alias("n"))
+    order = ["part", "at", "_row"]
+    summed = running_sums(sizes, ["bundle_id"], order, {"rank": F.lit(1).cast("long"), "end": F.col("n") + 1}, rows_per_slice)
+    # Every piece but the first of a plain bundle begins with one byte that sets it apart.
+    lead = F.when(F.col("rank") > 1, "\n" if mode == "none" else ",").otherwise("" if mode == "none" else "[")
+    start = F.col("end") - F.col("n") - 1
+    if mode == "none":
+        start = start - F.when(F.col("rank") > 1, 1).otherwise(0)
+    places = summed.select("_row", lead.alias("lead"), start.alias("position"))
+    pieces = texts.drop("position").join(places, "_row").select(
+        "bundle_id", "position", F.encode(F.concat("lead", "text"), "UTF-8").alias("data")
+    )
+    if mode == "none":
+        return pieces
+    lengths = sizes.groupBy("bundle_id").agg(F.sum(F.col("n") + 1).alias("length"))
+    last = requests.select("bundle_id").distinct().join(lengths, "bundle_id", "left").select(
+        "bundle_id",
+        F.coalesce("length", F.lit(0)).cast("long").alias("position"),
+        F.encode(F.when(F.col("length").isNull(), "[]").otherwise("]"), "UTF-8").alias("data"),
+    )
+    return pieces.unionByName(last)
+
+
+def write(requests: DataFrame, files: DataFrame, folder: str, generated_at: str, mode: str = "none", overwrite: bool = False) -> None:
+    """Write each bundle as one file of ``folder``, named by its id: ``.md``, or ``.json`` for the reduced modes.
+
+    Many tasks write a large bundle side by side; the folder appears when all bundles are whole.
+    """
+    suffix = ".md" if check_mode(mode) == "none" else ".json"
+    rows = placed(requests, files, generated_at, mode).select(
+        F.concat("bundle_id", F.lit(suffix)).alias("filename"), "position", "data"
+    )
+    requests.sparkSession.dataSource.register(bundle_files.PlacedFiles)
+    sink = rows.sortWithinPartitions("filename", "position").write.format("placed_files").option("path", folder)
+    sink.mode("overwrite" if overwrite else "append").save()
+
+
+def read_json(spark: SparkSession, folder: str, record: str) -> DataFrame:
+    """Elements ``(bundle_id, ...record)`` of the JSON bundles of a folder; ``record`` is their schema."""
+    rows = spark.read.schema(record).option("multiLine", True).json(f"{folder}/*.json")
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("bundle_id"), "*")
+
+
+def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown bundles ``(bundle_id, text)`` of a folder, a row each."""
+    rows = spark.read.text(f"{folder}/*.md", wholetext=True)
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("bundle_id"), F.col("value").alias("text"))
+
+
 def write_markdown(bundle_parts: DataFrame, path: str) -> None:
-    """Write the bundles as text, one folder per bundle, files in document order.
+    """Write plain bundles as text, one folder per bundle, files in document order.
 
     Rows are range-partitioned by position, so a large bundle is spread over many tasks.
     """

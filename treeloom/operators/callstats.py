@@ -84,25 +84,16 @@ def recent_scores(calls: DataFrame, k: int = RECENT_SCORES) -> DataFrame:
 def running_mean(calls: DataFrame, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Mean response time of each model after every success.
 
-    Sums are carried between time slices, so one busy model is spread over many tasks. The slice
-    length follows from the busiest model's calls and time span.
+    Sums are carried between slices of about ``rows_per_slice`` calls each, so a busy model or a
+    burst of calls at one time is spread over many tasks.
     """
     good = calls.filter(_timed()).select("event_id", "model_name", "ts", "response_time")
-    micros = F.unix_micros("ts")
-    busiest = (
-        good.groupBy("model_name")
-        .agg(F.count("*").alias("n"), (F.max(micros) - F.min(micros)).alias("span"))
-        .agg(F.max("n").alias("n"), F.max("span").alias("span"))
-        .first()
-    )
-    slices = -(-(busiest["n"] or 1) // rows_per_slice)
-    length = max(1, (busiest["span"] or 0) // slices)
     out = running_sums(
         good,
         ["model_name"],
-        F.floor(micros / length),
-        [F.col("ts"), F.col("event_id")],
+        ["ts", "event_id"],
         {"success_count": F.lit(1).cast("long"), "total_response_time": F.col("response_time")},
+        rows_per_slice,
     )
     return out.withColumn("avg_response_time", F.col("total_response_time").cast("double") / F.col("success_count"))
 

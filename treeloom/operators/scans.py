@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.session import stage, stage_counted
+
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, 0)
 
 
 def running_sums(
-    df: DataFrame, group: list[str], slice_by: Column, order: list[Column], sums: dict[str, Column]
+    df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], rows_per_slice: int = 1_000_000
 ) -> DataFrame:
-    """Add running sums per group in order.
+    """Add running sums per group in the order of the columns ``order``, which tell all rows apart.
 
-    ``slice_by`` must not decrease with the order. Rows are summed inside their slice; slice
-    totals, one row each, are carried forward. Both use the same key, so rows are shuffled once.
+    Slices hold about equally many rows whatever the values are: Spark samples the range bounds of
+    group and order, so neither a large group nor a burst of equal times becomes one task. The slices
+    are staged, as bounds drawn anew after a lost task could differ. Rows are summed inside their
+    slice; slice totals, a row for each group in a slice, are carried forward. Nulls come first.
     """
+    known, n_rows = stage_counted(df.withColumns({f"_v_{n}": c for n, c in sums.items()}))
+    n_slices = max(1, -(-n_rows // rows_per_slice))
+    sliced = stage(known.repartitionByRange(n_slices, *group, *order).withColumn("_slice", F.spark_partition_id()))
     keys = [*group, "_slice"]
-    sliced = df.withColumns({"_slice": slice_by, **{f"_v_{n}": c for n, c in sums.items()}})
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*UP_TO)
     local = sliced.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
     totals = sliced.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(*BEFORE)
     carried = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
     )
-    out = local.join(carried, keys)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    out = local.join(carried, same)
     return out.withColumns({n: F.col(f"_c_{n}") + F.col(f"_l_{n}") for n in sums}).drop(
-        "_slice", *[f"{p}{n}" for n in sums for p in ("_v_", "_l_", "_c_")]
+        "_slice", *[f"_k_{k}" for k in keys], *[f"{p}{n}" for n in sums for p in ("_v_", "_l_", "_c_")]
     )
 
 

@@ -623,6 +623,38 @@ def bundle_manifest_semantic(spark, sf_dir):
     return bundle.manifest(rows, asked, "20240101_000000", "semantic")
 
 
+def _bundle_per_block(spark, sf_dir):
+    """Every document asked for, in bundles of a source's documents by thousands of ids."""
+    files = fx.text_files(spark, sf_dir)
+    block = F.concat(F.substring_index("relative_path", "/", 1), F.lit("_"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    asked = files.select(block.alias("bundle_id"), F.col("doc_id").alias("position"), "repo", "relative_path")
+    return asked, files, f"{stage_root(spark)}/bundles/{uuid.uuid4().hex}"
+
+
+@query
+def bundle_files_markdown(spark, sf_dir):
+    """Size and digest of the plain bundles as written to files."""
+    asked, files, folder = _bundle_per_block(spark, sf_dir)
+    bundle.write(asked, files, folder, "2024-01-01 00:00:00")
+    return bundle.read_markdown(spark, folder).select("bundle_id", F.length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def bundle_files_json(spark, sf_dir):
+    """The records of the hybrid bundles as written to files, each one JSON array."""
+    asked, files, folder = _bundle_per_block(spark, sf_dir)
+    bundle.write(asked, files, folder, "2024-01-01 00:00:00", "hybrid")
+    return bundle.read_json(spark, folder, "structure string, hash string, filename string, original_content string")
+
+
+@query
+def bundle_manifest_hybrid(spark, sf_dir):
+    """Manifest of the hybrid bundles; their sizes are those of the files as written."""
+    asked, files = _bundle_per_source(spark, sf_dir)
+    rows = bundle.generate(asked, files, "2024-01-01 00:00:00", "hybrid")
+    return bundle.manifest(rows, asked, "20240101_000000", "hybrid").drop("size")
+
+
 @query
 def semantic_metadata(spark, sf_dir):
     """Every document as a text file, in one bundle per source."""
@@ -717,6 +749,18 @@ def retention_kept(spark, sf_dir):
     return archive.kept(files, F.lit("2024-01-01 08:00:00").cast("timestamp")).select("relative_path", "size")
 
 
+@query
+def store_retention(spark, sf_dir):
+    """The store of all documents' texts after a sweep that keeps those some document young enough still names."""
+    docs = fx.table(spark, sf_dir, "documents")
+    store = tables.Generations(spark, f"{stage_root(spark)}/stores/{uuid.uuid4().hex}")
+    store.replace(archive.originals(docs))
+    files = fx.text_files(spark, sf_dir).withColumn("sha256", F.sha2("content", 256))
+    left = archive.kept(files, F.lit("2024-01-01 08:00:00").cast("timestamp"))
+    archive.sweep_store(store, left)
+    return store.read().select("hash", "filename", F.length("content").alias("n_chars"))
+
+
 @query
 def encoding_audit(spark, sf_dir):
     return encoding.audit(fx.encoded_files(spark, sf_dir)).select("encoding", "n_files")

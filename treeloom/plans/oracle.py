@@ -388,6 +388,20 @@ SELECT bundle_id, position, text AS structure, left(sha256(content), 16) AS hash
 SQL["bundle_manifest_semantic"] = _with(SUMMARISED) + """
 SELECT bundle_id, 'source_code_semantic_20240101_000000.json' AS filename, cast(sum(length(text)) + count(*) + 1 AS bigint) AS size, count(*) AS file_count,
   'semantic' AS compression_type FROM summed GROUP BY bundle_id"""
+SQL["bundle_files_markdown"] = f"""
+WITH docs AS (SELECT source||'_'||doc_id // 1000 AS bundle_id, doc_id, concat(source,'/doc_',cast(doc_id AS varchar),'.txt') AS path, text FROM documents),
+parts AS (SELECT bundle_id, doc_id, doc_id||'. ['||path||'](#'||translate(path,'/.-','___')||')' AS toc, concat(chr(10), '## ', path, chr(10), chr(10), '**File Size:** ',
+    CASE WHEN strlen(text) < 1024 THEN format('{{:.2f}} B', cast(strlen(text) AS double)) ELSE format('{{:.2f}} KB', strlen(text)/1024) END, '  ', chr(10),
+    '**Last Modified:** ', strftime(timestamp '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S'), '  ', chr(10), chr(10),
+    repeat(chr(96),3), 'text', chr(10), text, chr(10), repeat(chr(96),3), chr(10), chr(10), '---') AS section FROM docs),
+g AS (SELECT bundle_id, count(*) AS n, string_agg(toc, chr(10) ORDER BY doc_id) AS t, string_agg(section, chr(10) ORDER BY doc_id) AS s FROM parts GROUP BY 1),
+whole AS (SELECT bundle_id, concat({_HEAD.format(mode='none')}, chr(10), t, chr(10)||chr(10)||'---'||chr(10), chr(10), s) AS md FROM g)
+SELECT bundle_id, length(md) AS size, sha256(md) AS sha256 FROM whole"""
+SQL["bundle_files_json"] = _with(SUMMARISED) + """
+SELECT bundle_id||'_'||position // 1000 AS bundle_id, text AS structure, left(sha256(content), 16) AS hash,
+  concat('original_', left(sha256(content), 16), '.md') AS filename, content AS original_content FROM summed"""
+SQL["bundle_manifest_hybrid"] = """
+SELECT source AS bundle_id, 'source_code_hybrid_20240101_000000.json' AS filename, count(*) AS file_count, 'hybrid' AS compression_type FROM documents GROUP BY 1"""
 SQL["bundle_parse"] = """
 SELECT doc_id, 0 AS position, 'a/'||doc_id||'.js' AS file, 'javascript' AS language, 'let x = '||doc_id AS code FROM documents
 UNION ALL SELECT doc_id, 2, 'b '||doc_id||'.md', 'md', text FROM documents"""
@@ -416,6 +430,9 @@ SQL["retention"] = _with(INVENTORY) + """
 SELECT relative_path, last_modified < timestamp '2024-01-01 06:00:00' AS expired FROM inventory"""
 SQL["retention_kept"] = _with(INVENTORY) + """
 SELECT relative_path, size FROM inventory WHERE last_modified >= timestamp '2024-01-01 06:00:00'"""
+SQL["store_retention"] = """
+SELECT DISTINCT left(sha256(text), 16) AS hash, concat('original_', left(sha256(text), 16), '.md') AS filename, length(text) AS n_chars
+FROM documents WHERE timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) >= timestamp '2024-01-01 06:00:00'"""
 SQL["encoding_audit"] = """
 SELECT CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'unknown' END AS encoding, count(*) AS n_files FROM documents GROUP BY 1"""
 SQL["decoded_content"] = """
