@@ -969,3 +969,22 @@ def prompt_chunks(spark, sf_dir):
     chunks = replies.file_fact_chunks(fx.inventory_files(spark, sf_dir), per_chunk=5)
     facts = F.from_json("files_json", "array<struct<id string, relative_path string, extension string, size long>>")
     return chunks.select("folder", F.explode(facts).alias("f")).select("folder", "f.*")
+
+
+def _packs(spark, sf_dir):
+    return replies.packed_facts(fx.inventory_files(spark, sf_dir), budget=2000)
+
+
+@query
+def prompt_packs(spark, sf_dir):
+    """File facts in chunks of at most 2,000 characters."""
+    return _packs(spark, sf_dir).drop("repo")
+
+
+@query
+def prompts(spark, sf_dir):
+    """The opening of every user turn's prompts, and how many chunks follow."""
+    asked = fx.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit("corpus").alias("repo"), F.col("text").alias("query")
+    )
+    return replies.prompts(asked, _packs(spark, sf_dir)).select("query_id", "opening", "n_chunks", "n_files")

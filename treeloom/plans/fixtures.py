@@ -40,7 +40,8 @@ def inventory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files with content: imports that form chains and rings, classes, routes, rules, prose."""
+    """Source files with content: imports that form chains and rings, classes, routes, rules; each holds its document's
+    whole text, as a comment at the end or, in pages, as the content."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     total = docs.agg(F.count("*")).scalar()
     stems = docs.select(F.col("doc_id").alias("target"), _stem().alias("target_stem"))
@@ -74,6 +75,7 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "function go", F.col("id"), "(q) { /* walk ", F.col("source"), " */\n  const el = document.querySelector('#n", mod(3),
         "')\n  q.map(p => { return p }) }\n",
         "const h", F.col("id"), " = (e) => e + 1\nel.addEventListener('click', go", F.col("id"), ")\n",
+        "/*\n", F.col("text"), "\n*/\n",
     )
     python = lines(
         "import os\nfrom pkg.m", mod(11), " import g\nclass C", F.col("id"), "(Base):\n    \"\"\"Doc ", F.col("lang"), " ",
@@ -81,11 +83,13 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "        self.n = 1\n        return self.n\n@app.route('/r/", mod(20), "', methods=['POST'])\n",
         "def handler():\n    return jsonify({})\n",
         F.when(F.col("doc_id") % 4 == 3, F.lit("def broken(:\n")).otherwise(F.lit("")),
+        "# ", F.replace("text", F.lit("\n"), F.lit("\n# ")), "\n",
     )
     style = lines(
         ".card-", mod(13), " { display: flex; padding: ", mod(4), ".5rem; color: #a", mod(10), "b; }\n",
         ".card-", mod(13), " { background-color: rgb(", mod(9), ", 0, 1); font-family: Font", mod(3), ", serif; }\n",
         ".x", F.col("id"), " { left: 10rem; }\n@media (max-width: 600px) { }",
+        "\n/*\n", F.col("text"), "\n*/\n",
     )
     content = (
         F.when(F.col("ext").isin(".js", ".ts", ".jsx"), script)
@@ -217,17 +221,19 @@ def diagram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies to selection prompts: plain JSON, fenced JSON, text, JSON followed by text."""
+    """Replies to selection prompts: plain JSON, fenced JSON, text, JSON followed by text; all hold the turn's whole text."""
     c = F.col("conv_id")
+    whole = F.coalesce("text", F.lit(""))
+    quoted = F.regexp_extract(F.to_json(F.struct(whole.alias("t"))), r'(?s)\A\{"t":(.*)\}\z', 1)
     num = c.cast("string")
     fence = "```"
     shapes = [
         F.concat(F.lit('{"files":[{"file_id":"src0_en_mod_'), num, F.lit('_js","reason":"r","confidence":0.'), (c % 10).cast("string"),
-                 F.lit('},{"file_id":"nope"}],"reasoning":"x'), num, F.lit('","confidence":0.8}')),
-        F.concat(F.lit(f"{fence}json\n"), F.lit('{"files":[],"reasoning":"y","confidence":0.5}'), F.lit(f"\n{fence}\n")),
-        F.lit("not json"),
-        F.lit('{"files":[],"reasoning":"z","confidence":0.4} and more'),
-        F.lit('{"confidence":0.25}'),
+                 F.lit('},{"file_id":"nope"}],"reasoning":'), quoted, F.lit(',"confidence":0.8}')),
+        F.concat(F.lit(f"{fence}json\n"), F.lit('{"files":[],"reasoning":'), quoted, F.lit(',"confidence":0.5}'), F.lit(f"\n{fence}\n")),
+        whole,
+        F.concat(F.lit('{"files":[],"reasoning":"z","confidence":0.4} '), whole, F.lit(".")),
+        F.concat(F.lit('{"confidence":0.25,"more":'), quoted, F.lit("}")),
     ]
     return table(spark, sf_dir, "conversations").select(
         (c * 100 + F.col("turn")).alias("reply_id"), F.element_at(F.array(*shapes), (c % 5 + 1).cast("int")).alias("reply")

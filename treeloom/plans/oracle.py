@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from treeloom.operators import replies
+
 # Derived views, the SQL form of treeloom.plans.fixtures.
 INVENTORY = """
 inventory AS (
@@ -29,17 +31,17 @@ src AS (SELECT doc_id, source AS top, lang AS sub, concat(stem, ext) AS relative
     'async function load'||(doc_id%7)||'({a}, b) { // load '||lang||chr(10)||'  try { await z(a) } finally { b() } }'||chr(10)||
     'function go'||id||'(q) { /* walk '||source||' */'||chr(10)||'  const el = document.querySelector(''#n'||(doc_id%3)||''')'||chr(10)||
     '  q.map(p => { return p }) }'||chr(10)||
-    'const h'||id||' = (e) => e + 1'||chr(10)||'el.addEventListener(''click'', go'||id||')'||chr(10)
+    'const h'||id||' = (e) => e + 1'||chr(10)||'el.addEventListener(''click'', go'||id||')'||chr(10)||'/*'||chr(10)||text||chr(10)||'*/'||chr(10)
   WHEN ext = '.py' THEN
     'import os'||chr(10)||'from pkg.m'||(doc_id%11)||' import g'||chr(10)||'class C'||id||'(Base):'||chr(10)||
     '    \"\"\"Doc '||lang||' '||id||'\"\"\"'||chr(10)||'    def run(self):'||chr(10)||'        # step '||(doc_id%4)||chr(10)||
     '        for i in self.items: pass'||chr(10)||'        self.n = 1'||chr(10)||'        return self.n'||chr(10)||
     '@app.route(''/r/'||(doc_id%20)||''', methods=[''POST''])'||chr(10)||'def handler():'||chr(10)||'    return jsonify({})'||chr(10)||
-    CASE WHEN doc_id % 4 = 3 THEN 'def broken(:'||chr(10) ELSE '' END
+    CASE WHEN doc_id % 4 = 3 THEN 'def broken(:'||chr(10) ELSE '' END||'# '||replace(text, chr(10), chr(10)||'# ')||chr(10)
   WHEN ext = '.css' THEN
     '.card-'||(doc_id%13)||' { display: flex; padding: '||(doc_id%4)||'.5rem; color: #a'||(doc_id%10)||'b; }'||chr(10)||
     '.card-'||(doc_id%13)||' { background-color: rgb('||(doc_id%9)||', 0, 1); font-family: Font'||(doc_id%3)||', serif; }'||chr(10)||
-    '.x'||id||' { left: 10rem; }'||chr(10)||'@media (max-width: 600px) { }'
+    '.x'||id||' { left: 10rem; }'||chr(10)||'@media (max-width: 600px) { }'||chr(10)||'/*'||chr(10)||text||chr(10)||'*/'||chr(10)
   ELSE text END AS content FROM j)""".replace('\\"', '"')
 
 SELECTION = """
@@ -557,7 +559,7 @@ SQL["stream_recent_scores"] = SQL["recent_scores"]
 # Replies and prompts -----------------------------------------------------------------------------
 SQL["reply_parse"] = """
 SELECT conv_id*100+turn AS reply_id, CASE conv_id % 5 WHEN 0 THEN 2 ELSE 0 END AS n_files,
-  CASE conv_id % 5 WHEN 0 THEN 'x'||conv_id WHEN 1 THEN 'y' WHEN 4 THEN '' ELSE 'Failed to parse AI response' END AS reasoning,
+  CASE conv_id % 5 WHEN 0 THEN text WHEN 1 THEN text WHEN 4 THEN '' ELSE 'Failed to parse AI response' END AS reasoning,
   cast(CASE conv_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 WHEN 4 THEN 0.25 ELSE 0.0 END AS double) AS confidence FROM conversations"""
 SQL["reply_validate"] = _with(INVENTORY) + """
 SELECT conv_id*100+turn AS request_id, 0 AS position, 'src0_en_mod_'||conv_id||'_js' AS file_id FROM conversations
@@ -567,3 +569,19 @@ SELECT conv_id*100+turn AS reply_id, 0 AS position, CASE WHEN conv_id % 10 > 8 T
 UNION ALL SELECT conv_id*100+turn, 1, 'low' FROM conversations WHERE conv_id % 5 = 0"""
 SQL["prompt_chunks"] = _with(INVENTORY) + """
 SELECT top||'/'||sub AS folder, translate(relative_path,'/.-','___') AS id, relative_path, extension, size FROM inventory"""
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+PACKED = """
+facts AS (SELECT relative_path, concat('{"id":"', translate(relative_path,'/.-','___'), '","relative_path":"', relative_path, '","extension":"', extension, '","size":', size, '}') AS fact FROM inventory),
+starts AS (SELECT *, sum(length(fact) + 1) OVER (ORDER BY relative_path ROWS UNBOUNDED PRECEDING) - length(fact) - 1 AS s,
+  greatest(2000 - 2 - max(length(fact) + 1) OVER (), 1) AS w FROM facts),
+chunks AS (SELECT dense_rank() OVER (ORDER BY stretch) - 1 AS chunk, n_files, files_json FROM
+  (SELECT s // w AS stretch, count(*) AS n_files, '['||string_agg(fact, ',' ORDER BY relative_path)||']' AS files_json FROM starts GROUP BY 1))"""
+SQL["prompt_packs"] = _with(INVENTORY, PACKED) + "SELECT chunk, n_files, length(files_json) AS n_chars, files_json FROM chunks"
+SQL["prompts"] = _with(INVENTORY, PACKED) + f"""
+SELECT conv_id*100+turn AS query_id, concat({_quoted(replies.OPENING)}, text, {_quoted(replies.STRUCTURE)}) AS opening,
+  (SELECT count(*) FROM chunks) AS n_chunks, (SELECT sum(n_files)::bigint FROM chunks) AS n_files FROM conversations WHERE role = 'user'"""
