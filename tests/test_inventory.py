@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
@@ -163,6 +164,39 @@ def test_tree_source(spark, real_tree, parts):
     assert facts["big.bin"] == 3000 and "content" not in reader().load().columns
 
 
+def test_flat_folder_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"f{i}.txt").write_text(str(i))
+    rows = tree.read_tree(spark, [str(tmp_path)], content=True, split_files="100")
+    per_task = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 30 and max(r["count"] for r in per_task) < 200
+    got = {r["name"]: bytes(r["content"]) for r in tree.files(rows).collect()}
+    assert got == {f"f{i}.txt": str(i).encode() for i in range(3000)}
+    assert tree.directories(rows).count() == 1 and rows.count() == 3001
+
+
+def test_filters_reach_the_tree_source(spark, real_tree):
+    rows = tree.read_tree(spark, [str(real_tree)], content=True)
+    files = tree.files(rows)
+    tests = [
+        F.col("name").endswith(".py"), F.col("size") > 2, ~F.col("name").contains("a"), F.col("relative_path").startswith("pkg/"),
+        F.col("name").isin("a.py", "z.js"), F.col("size").isNull(), ~(F.col("size") >= 5), F.col("repo") == "nope",
+        F.col("name").isNotNull() & F.col("last_modified").isNotNull(), ~F.col("size").isin(0, 1), F.col("size").eqNullSafe(0),
+    ]
+    everything = files.collect()
+    plain = spark.createDataFrame(everything, files.schema)
+    for test in tests:
+        assert sorted(files.filter(test).collect()) == sorted(plain.filter(test).collect())
+    plan = files.filter(tests[0])._jdf.queryExecution().executedPlan().toString()
+    assert "EndsWith" not in plan.split("BatchScan")[0]  # the source decides, no filter is left
+    assert tree.holds(ds.Not(ds.EqualTo(("size",), 1)), {"size": None}) is None
+    assert tree.holds(ds.In(("size",), (1, None)), {"size": 2}) is None
+    reader = tree.FilteredTreeReader({"path": str(real_tree), "content": "true"})
+    late = ds.GreaterThan(("last_modified",), 0)
+    assert list(reader.pushFilters([ds.EqualTo(("kind",), "file"), late])) == [late]
+    assert all(r[0] == "file" for p in reader.partitions() for r in reader.read(p))
+
+
 def test_tree_source_reports_errors(spark, real_tree):
     (real_tree / "pkg" / "loop").symlink_to(real_tree / "pkg" / "loop")
     spark.dataSource.register(tree.TreeSource)
@@ -388,6 +422,25 @@ def test_generations_survive_a_failure_between_the_steps(spark, tmp_path):
     assert store.read().collect() == []
 
 
+def test_prompt_packs_hold_every_file_once_within_the_budget(spark):
+    rows = [("a", f"{'x' * (i % 90)}/{i}.py", i) for i in range(400)] + [("b", "only.js", None), (None, "p.js", 1), ("a", "0.py", 7), ("a", "0.py", 7)]
+    files = spark.createDataFrame(rows, "repo string, relative_path string, size long")
+    packs = replies.packed_facts(files, budget=700, rows_per_slice=50)
+    got = packs.orderBy("repo", "chunk").collect()
+    assert max(r["n_chars"] for r in got) <= 700 and all(len(r["files_json"]) == r["n_chars"] for r in got)
+    assert [r["chunk"] for r in got if r["repo"] == "a"] == list(range(sum(r["repo"] == "a" for r in got)))
+    held = [(r["repo"], f["relative_path"]) for r in got for f in json.loads(r["files_json"])]
+    assert held == sorted(((r, p) for r, p, _ in rows), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    asked = spark.createDataFrame([(i, r, "q") for i, r in enumerate(["a", "b", "c", None])], "query_id long, repo string, query string")
+    prompts = {r["query_id"]: r for r in replies.prompts(asked, packs).collect()}
+    assert prompts[1]["n_chunks"] == 1 and prompts[2]["n_chunks"] == 0 and prompts[0]["n_files"] == 402 and prompts[3]["n_files"] == 1
+    text_of = one(spark, replies.rendered(F.lit(prompts[1]["opening"]), F.lit("[1]")))
+    assert "**User Query (in Korean):** q\n\n**Project Structure:**\n[1]\n\n**Task:**" in text_of
+    tight = replies.packed_facts(files, budget=10).collect()  # no fact fits: one file each, longer than the budget
+    assert sum(r["n_files"] for r in tight) == 404
+    assert replies.packed_facts(files.limit(0)).collect() == []
+
+
 def test_archive_properties(spark):
     df = spark.createDataFrame([(0, ""), (1, "é\n" * 500)], "id int, text string")
     records = archive.lossless(df, ["id"])

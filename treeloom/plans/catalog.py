@@ -28,7 +28,7 @@ from treeloom.operators import (
 from treeloom.plans import fixtures as fx
 from treeloom.plans import report
 from treeloom.session import stage, stage_root
-from treeloom.sources import encoding, tables
+from treeloom.sources import bundle_files, encoding, tables, tree
 from treeloom.streaming import callstream, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,6 +761,40 @@ def store_retention(spark, sf_dir):
     return store.read().select("hash", "filename", F.length("content").alias("n_chars"))
 
 
+def _written_tree(spark, sf_dir):
+    """Every document written as a file with its whole text; the folder it is the tree of."""
+    folder = f"{stage_root(spark)}/trees/{uuid.uuid4().hex}/corpus"
+    rows = fx.inventory_files(spark, sf_dir).join(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    placed = rows.select(F.col("relative_path").alias("filename"), F.lit(0).cast("long").alias("position"), data.alias("data"))
+    spark.dataSource.register(bundle_files.PlacedFiles)
+    placed.write.format("placed_files").option("path", folder).mode("append").save()
+    return folder
+
+
+@query
+def source_tree(spark, sf_dir):
+    """Files of a tree on disk, one per document, with their decoded content."""
+    rows = tree.read_tree(spark, [_written_tree(spark, sf_dir)], content=True)
+    return tree.decoded(tree.files(rows)).select("repo", "relative_path", "name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def source_tree_filtered(spark, sf_dir):
+    """Scripts and style sheets of over 500 bytes of the tree on disk; other files are not opened."""
+    rows = tree.files(tree.read_tree(spark, [_written_tree(spark, sf_dir)], content=True))
+    return rows.filter(~F.col("name").endswith(".py")).filter(F.col("size") > 500).filter(~F.col("name").endswith(".html")).select(
+        "relative_path", "size", F.octet_length("content").cast("long").alias("n_bytes")
+    )
+
+
+@query
+def source_tree_folders(spark, sf_dir):
+    """Folders of the tree on disk."""
+    rows = tree.read_tree(spark, [_written_tree(spark, sf_dir)])
+    return tree.directories(rows).select("directory", "name")
+
+
 @query
 def encoding_audit(spark, sf_dir):
     return encoding.audit(fx.encoded_files(spark, sf_dir)).select("encoding", "n_files")

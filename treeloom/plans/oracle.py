@@ -435,6 +435,14 @@ SELECT relative_path, size FROM inventory WHERE last_modified >= timestamp '2024
 SQL["store_retention"] = """
 SELECT DISTINCT left(sha256(text), 16) AS hash, concat('original_', left(sha256(text), 16), '.md') AS filename, length(text) AS n_chars
 FROM documents WHERE timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) >= timestamp '2024-01-01 06:00:00'"""
+SQL["source_tree"] = _with(INVENTORY) + r"""
+SELECT 'corpus' AS repo, relative_path, string_split(relative_path, '/')[-1] AS name, strlen(text) AS size,
+  sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS sha256 FROM inventory JOIN documents USING (doc_id)"""
+SQL["source_tree_filtered"] = _with(INVENTORY) + """
+SELECT relative_path, strlen(text) AS size, strlen(text) AS n_bytes FROM inventory JOIN documents USING (doc_id)
+WHERE extension NOT IN ('.py', '.html') AND strlen(text) > 500"""
+SQL["source_tree_folders"] = """
+SELECT '.' AS directory, 'corpus' AS name UNION SELECT source, source FROM documents UNION SELECT concat(source,'/',lang), lang FROM documents"""
 SQL["encoding_audit"] = """
 SELECT CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'unknown' END AS encoding, count(*) AS n_files FROM documents GROUP BY 1"""
 SQL["decoded_content"] = """

@@ -19,6 +19,8 @@ SETTINGS = {
     # Arrow batches carry whole files, so keep them short in rows and bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Lets filters reach the walk of the tree source.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 _local_roots: dict[str, str] = {}

@@ -33,7 +33,7 @@ class Written(WriterCommitMessage):
 
 
 class PlacedFiles(DataSource):
-    """Sink of rows ``(filename string, position long, data binary)``."""
+    """Sink of rows ``(filename string, position long, data binary)``; a file name may have folders before it."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,10 +61,11 @@ class PlacedWriter(DataSourceWriter):
         try:
             for name, position, data in rows:
                 if name != open_name:  # rows come sorted by file, so each is opened once
-                    if os.path.basename(name) != name or name in ("", ".", ".."):
+                    if not name or os.path.isabs(name) or os.path.normpath(name) != name or name.split("/")[0] in (".", ".."):
                         raise ValueError(f"not a file name: {name}")
                     if handle is not None:
                         os.close(handle)
+                    os.makedirs(os.path.dirname(f"{self.pending}/{name}"), exist_ok=True)
                     handle = os.open(f"{self.pending}/{name}", os.O_CREAT | os.O_WRONLY, 0o644)
                     open_name = name
                 view = memoryview(data)
@@ -79,8 +80,7 @@ class PlacedWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         os.makedirs(self.pending, exist_ok=True)
         want = sum(m.n_bytes for m in messages if m)
-        with os.scandir(self.pending) as files:
-            got = sum(f.stat().st_size for f in files)
+        got = sum(os.path.getsize(f"{folder}/{name}") for folder, _, names in os.walk(self.pending) for name in names)
         if got != want:
             raise RuntimeError(f"{want} bytes written, files hold {got}: places overlap or leave gaps")
         if os.path.exists(self.path):

@@ -7,17 +7,21 @@ tree. Usage::
     spark.read.format("source_tree").option("path", "/repos/a").load()
 
 Options: ``path`` (several with newlines), ``content`` (``true`` adds the bytes), ``max_file_mb``,
-``min_partitions``. One row per file, folder and error, told apart by ``kind``.
+``min_partitions``, ``split_files`` (files of one folder that a task takes, if the planner lists the folder),
+``pushdown`` (``true`` lets filters reach the walk; needs ``spark.sql.python.filterPushdown.enabled``).
+One row per file, folder and error, told apart by ``kind``. ``read_tree`` sets the options that the session allows.
 """
 
 from __future__ import annotations
 
 import os
 import stat as st
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -54,10 +58,50 @@ def _is_file(entry: os.DirEntry) -> bool:
         return False
 
 
+COMPARED = {
+    ds.EqualTo: lambda a, b: a == b, ds.GreaterThan: lambda a, b: a > b, ds.GreaterThanOrEqual: lambda a, b: a >= b,
+    ds.LessThan: lambda a, b: a < b, ds.LessThanOrEqual: lambda a, b: a <= b,
+    ds.StringStartsWith: str.startswith, ds.StringEndsWith: str.endswith, ds.StringContains: lambda a, b: b in a,
+}
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+PUSHED = {"kind", "repo", "path", "relative_path", "name", "size"}
+
+
+def holds(condition: ds.Filter, facts: dict) -> bool | None:
+    """A filter on the facts of a row, as SQL has it: nothing if an operand is null."""
+    if isinstance(condition, ds.Not):
+        inner = holds(condition.child, facts)
+        return None if inner is None else not inner
+    value = facts[condition.attribute[0]]
+    if isinstance(condition, ds.IsNull):
+        return value is None
+    if isinstance(condition, ds.IsNotNull):
+        return value is not None
+    if isinstance(condition, ds.EqualNullSafe):
+        return value == condition.value
+    operand = condition.value
+    if isinstance(condition, ds.In):
+        if value is None:
+            return None
+        return True if value in operand else (None if None in operand else False)
+    return None if value is None or operand is None else COMPARED[type(condition)](value, operand)
+
+
+def pushable(condition: ds.Filter) -> bool:
+    """Can the walk decide this filter before it reads a file?"""
+    if isinstance(condition, ds.Not):
+        return pushable(condition.child)
+    known = type(condition) in COMPARED or isinstance(condition, (ds.In, ds.IsNull, ds.IsNotNull, ds.EqualNullSafe))
+    return known and len(condition.attribute) == 1 and condition.attribute[0] in PUSHED
+
+
 class Subtree(InputPartition):
-    """Folders one task reads: ``(root, folder, whether to descend)``."""
+    """Folders one task reads: ``(root, folder, whether to descend, share, shares)``.
+
+    A folder dealt to several tasks is listed by each, which takes the files of its share.
+    """
 
-    def __init__(self, folders: list[tuple[str, str, bool]]):
+    def __init__(self, folders: list[tuple[str, str, bool, int, int]]):
         super().__init__(None)
         self.folders = folders
 
@@ -74,7 +118,8 @@ class TreeSource(DataSource):
         return SCHEMA + (", content binary" if with_content else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TreeReader(self.options)
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return FilteredTreeReader(self.options) if pushes else TreeReader(self.options)
 
 
 class TreeReader(DataSourceReader):
@@ -86,6 +131,8 @@ class TreeReader(DataSourceReader):
         self.with_content = options.get("content", "false").lower() == "true"
         self.max_size = float(options.get("max_file_mb", lookups.MAX_FILE_MB)) * 1024 * 1024
         self.min_partitions = int(options.get("min_partitions", "64"))
+        self.split_files = max(1, int(options.get("split_files", "1000")))
+        self.filters: list[ds.Filter] = []
         for root in self.roots:
             if not os.path.exists(root):
                 raise ValueError(f"Directory does not exist: {root}")
@@ -95,54 +142,80 @@ class TreeReader(DataSourceReader):
                 raise ValueError(f"Permission denied: {root}")
 
     def partitions(self) -> list[InputPartition]:
-        """Widen the frontier level by level until there are enough subtrees; only folders are listed."""
+        """Widen the frontier level by level until there are enough subtrees.
+
+        A folder listed on the way that holds many files is dealt to several tasks, at most
+        ``min_partitions``, so that listing it again stays cheap beside reading it.
+        """
         frontier = [(root, root) for root in self.roots]
-        shallow: list[tuple[str, str, bool]] = []
+        shallow: list[tuple[str, str, bool, int, int]] = []
         while frontier and len(frontier) < self.min_partitions:
             deeper = []
             for root, folder in frontier:
-                shallow.append((root, folder, False))
+                n_others = 0
                 try:
                     with os.scandir(folder) as entries:
-                        deeper += [(root, e.path) for e in entries if _is_dir(e) and not _skips_dir(e.name)]
+                        for e in entries:
+                            if not _is_dir(e):
+                                n_others += 1
+                            elif not _skips_dir(e.name):
+                                deeper.append((root, e.path))
                 except OSError:
-                    continue  # the task that reads this folder reports it
+                    pass  # the task that reads this folder reports it
+                shares = max(1, min(self.min_partitions, -(-n_others // self.split_files)))
+                shallow += [(root, folder, False, i, shares) for i in range(shares)]
             frontier = sorted(deeper)
-        whole = [(root, folder, True) for root, folder in frontier]
+        whole = [(root, folder, True, 0, 1) for root, folder in frontier]
         work = whole + shallow
         n = max(1, min(len(work), max(self.min_partitions, len(whole))))
         return [Subtree(work[i::n]) for i in range(n)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        for root, folder, descend in partition.folders:
+        for root, folder, descend, share, shares in partition.folders:
             pending = [folder]
             while pending:
-                yield from self._folder(root, pending.pop(), pending if descend else None)
+                yield from self._folder(root, pending.pop(), pending if descend else None, share, shares)
+
+    def _kept(self, kind, root, path, size=None) -> bool:
+        """Do the filters pushed down keep a row of these facts?"""
+        if not self.filters:
+            return True
+        facts = {
+            "kind": kind, "repo": self.repos[root], "path": path, "relative_path": os.path.relpath(path, root),
+            "name": os.path.basename(path), "size": size,
+        }
+        return all(holds(f, facts) for f in self.filters)
 
     def _row(self, kind, root, path, size=None, modified=None, error=None, content=None) -> tuple:
         relative = os.path.relpath(path, root)
         row = (kind, self.repos[root], path, relative, os.path.basename(path), size, modified, error)
         return row + (content,) if self.with_content else row
 
-    def _folder(self, root: str, folder: str, pending: list | None) -> Iterator[tuple]:
-        yield self._row("dir", root, folder)
+    def _folder(self, root: str, folder: str, pending: list | None, share: int = 0, shares: int = 1) -> Iterator[tuple]:
+        if share == 0 and self._kept("dir", root, folder):
+            yield self._row("dir", root, folder)
         try:
             with os.scandir(folder) as listing:
                 entries = list(listing)
         except OSError as error:
-            yield self._row("error", root, folder, error=f"Permission denied: {error}")
+            if share == 0 and self._kept("error", root, folder):
+                yield self._row("error", root, folder, error=f"Permission denied: {error}")
             return
         for entry in entries:
             if _is_dir(entry):
                 if pending is not None and not _skips_dir(entry.name):
                     pending.append(entry.path)
                 continue
+            if zlib.crc32(os.fsencode(entry.name)) % shares != share:
+                continue
             if not _is_file(entry) or _skips_file(entry.name):
                 continue
             try:
                 facts = entry.stat()
                 if not st.S_ISREG(facts.st_mode) or facts.st_size > self.max_size:
                     continue
+                if not self._kept("file", root, entry.path, facts.st_size):
+                    continue
                 content = None
                 if self.with_content:
                     with open(entry.path, "rb") as handle:
@@ -150,7 +223,27 @@ class TreeReader(DataSourceReader):
                 modified = datetime.fromtimestamp(facts.st_mtime, tz=timezone.utc)
                 yield self._row("file", root, entry.path, facts.st_size, modified, content=content)
             except OSError as error:
-                yield self._row("error", root, entry.path, error=str(error))
+                if self._kept("error", root, entry.path):
+                    yield self._row("error", root, entry.path, error=str(error))
+
+
+class FilteredTreeReader(TreeReader):
+    """Takes the filters it can decide from a row's facts; files they drop are not opened."""
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        for condition in filters:
+            if pushable(condition):
+                self.filters.append(condition)
+            else:
+                yield condition
+
+
+def read_tree(spark: SparkSession, roots: list[str], content: bool = False, **options) -> DataFrame:
+    """Rows of the trees; filters are pushed down if the session's settings allow it."""
+    spark.dataSource.register(TreeSource)
+    pushes = spark.conf.get(PUSHDOWN, "false")
+    reader = spark.read.format("source_tree").option("path", "\n".join(roots)).option("content", str(content).lower())
+    return reader.option("pushdown", pushes).options(**options).load()
 
 
 def repo_names(roots: list[str]) -> dict[str, str]:
