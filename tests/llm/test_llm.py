@@ -440,6 +440,38 @@ def test_region_that_holds_most_of_the_content():
     assert extract.main_text("<main>" * 5000 + "<article>" * 5000 + "<p>deep") == "deep"
 
 
+HEAD = "<h1>Head line</h1>"
+STORY = "".join(f"<p>{'story words go on here ' * 12}{i}</p>" for i in range(6))
+MENU, FOOT = "<nav><a>Home</a><a>About us</a></nav>", "<footer>Copyright all rights</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "%m<div class='single has-comments'>%s</div>%f", "%m<div class='comments-open'>%s</div>%f",
+        "%m<div class='layout with-sidebar'>%s</div>%f", "%m<div class='layout with-sidebar'><article>%s</article></div>%f",
+        "%m<div id='sidebar-wrapper'>%s</div>%f", "<form>%m<div>%s</div>%f</form>", "<form>%m<article>%s</article>%f</form>",
+        "<nav><a>Home</a><a>About</a><article>%s</article>%f", "%m<div class='article-header'>%h</div><div>%p</div>%f",
+        "%m<div>%s</div><aside><article><p>teaser of another story</p></article></aside>%f",
+        "%m<div>%s</div><div id='comments'><article><p>%r</p></article></div>%f",
+        "%m<div>%p</div><div id='comments'><article><p>%r</p></article></div>%f",
+        "%m<article>%s</article><div class='comments'><article><p>%r</p></article></div>%f",
+    ],
+)
+@pytest.mark.parametrize("body", ["<body>", "<body aria-hidden='true'>"])
+def test_wrappers_do_not_hide_the_story(page, body):
+    """A name, a form or a menu around the whole text is no frame; comments, however long, stay out."""
+    parts = {"%s": HEAD + STORY, "%p": STORY, "%h": HEAD, "%m": MENU, "%f": FOOT, "%r": "a reader says a lot " * 300}
+    for mark, part in parts.items():
+        page = page.replace(mark, part)
+    story = "\n".join(f"{'story words go on here ' * 12}{i}" for i in range(6))
+    assert extract.main_text(body + page + "</body>") == ("Head line\n" if HEAD in page else "") + story
+
+
+def test_frames_in_frames_take_linear_time():
+    assert extract.main_text("<form>" * 20000 + "<h1>" * 20000 + "deep") == "deep"
+
+
 # ---- nearest neighbours
 
 

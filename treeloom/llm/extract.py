@@ -4,9 +4,10 @@ The standard library's parser streams a page's events once; each block (a headin
 and so on) becomes one line with its text and the number of tags in it. The ratio of text to tags per
 line is smoothed by a Gaussian and a threshold clusters lines into content and the rest. What ratios
 cannot tell apart, long adverts or short paragraphs, is told by structure first: lines inside navigation,
-forms, asides and the like never count. Then the content found by ratios is compared: text outside
-articles stands against the articles (in the page, and in a main element), and article against article. The
-one that holds most of it is kept whole, and all articles are kept if none holds most.
+forms, asides and the like never count, unless such an element wraps the page's text. Then the content
+found by ratios is compared: text outside articles stands against the articles (in the page, and in a main
+element), and article against article. The one that holds most of it is kept whole, and all articles are kept
+if none holds most.
 """
 
 from __future__ import annotations
@@ -45,37 +46,47 @@ CONTAINER = {"article", "main"}
 PART = CONTAINER | set("body div section center td".split())
 
 
-# Parts of an article's name that tell its subject or what else the page has, not what it is.
+# Names that tell an article's subject, or a state or a part of the page's text, not what an element is.
 SUBJECT = re.compile(r"(?:tag|category|topic|has)[_-]", re.I)
+STATE = re.compile(
+    r"(?:has|with|without|no|not|is)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|active|allowed|on|off)$|"
+    r"(?:article|post|entry|story|content)[_-]+(?:header|head|headline|title)$", re.I
+)
+# Elements that begin a page's text.
+LANDMARK = CONTAINER | {"h1"}
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, holder, outside, parent) per block while the page streams by.
+    """Collects (text, tags, holder, frame, parent) per block while the page streams by.
 
-    ``holder`` numbers the innermost article or main element, 0 for none; ``outside`` marks blocks in
-    elements that are never main text; ``parent`` numbers the innermost part of the page. ``holders`` lists
-    tag, surrounding holder and surrounding part of each holder; its first entry is the page.
+    ``holder`` numbers the innermost article or main element, 0 for none; ``frame`` the innermost element
+    that by tag, name or role is none of the main text, 0 for none; ``parent`` the innermost part of the
+    page. ``holders`` lists tag, surrounding holder and surrounding part of each holder; its first entry is
+    the page. ``frames`` lists the surrounding frame of each and whether its name tells noise;
+    ``landmarks`` tag and frame of the elements that begin a text.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, hidden, outside, holder, parent
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int, int]] = []  # name, hidden, frame, holder, parent
         self.text: list[str] = []
         self.tags = 0
         self.holders = [("", 0, 0)]
+        self.frames = [(0, False)]
+        self.landmarks: list[tuple[str, int]] = []
         self.parts = 0
 
     @property
-    def state(self) -> tuple[bool, bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0, 0)
+    def state(self) -> tuple[bool, int, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, 0)
 
     def cut(self) -> None:
         """End the current block."""
         text = " ".join("".join(self.text).split())
         if text:
-            _, outside, holder, parent = self.state
-            self.lines.append((text, self.tags, holder, outside, parent))
+            _, frame, holder, parent = self.state
+            self.lines.append((text, self.tags, holder, frame, parent))
         if text or self.tags:
             self.text, self.tags = [], 0
 
@@ -84,24 +95,32 @@ class Lines(HTMLParser):
             self.cut()
             while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
                 self.open.pop()
-        hidden, outside, holder, parent = self.state
+        hidden, frame, holder, parent = self.state
         self.tags += 1
         if tag in VOID:
             return
         named = dict(attrs)
         inside = tag not in ("html", "body")
-        words = f"{named.get('class') or ''} {named.get('id') or ''}" if inside and tag not in CONTAINER else ""
-        if tag == "article":
-            words = " ".join(x for x in f"{named.get('class') or ''} {named.get('id') or ''}".split() if not SUBJECT.match(x))
-        hidden = hidden or tag in HIDDEN or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
-        outside = outside or (tag in ASIDE and not (tag == "header" and holder)) or bool(NOISE.search(words)) or bool(not holder and tag != "article" and FRAME.search(words)) or (named.get("role") or "").lower() in ROLES
+        words = ""
+        if inside and tag != "main":
+            names = f"{named.get('class') or ''} {named.get('id') or ''}".split()
+            words = " ".join(x for x in names if not (SUBJECT if tag == "article" else STATE).match(x))
+        covered = "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
+        hidden = hidden or tag in HIDDEN or (inside and covered)
+        noise = bool(NOISE.search(words))
+        role = (named.get("role") or "").lower() in ROLES
+        if noise or role or (tag in ASIDE and not (tag == "header" and holder)) or (not holder and tag != "article" and FRAME.search(words)):
+            self.frames.append((frame, noise))
+            frame = len(self.frames) - 1
+        if tag in LANDMARK and not hidden and not noise and not role:
+            self.landmarks.append((tag, frame))
         if tag in CONTAINER:
             self.holders.append((tag, holder, parent))
             holder = len(self.holders) - 1
         if tag in PART:
             self.parts += 1
             parent = self.parts
-        self.open.append((tag, hidden, outside, holder, parent))
+        self.open.append((tag, hidden, frame, holder, parent))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -148,6 +167,30 @@ def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, window, "same") / weight
 
 
+def wrapping(page: Lines) -> np.ndarray:
+    """Which frames are main text all the same, as they stand around it?
+
+    If every article, main element and first heading lies in frames, and more text lies in these than
+    outside all frames, then they wrap the page: a form around all of it, a menu never closed. A frame
+    that is noise by name is opened by a main element or a first heading only, as readers' comments may be
+    articles.
+    """
+    free = np.zeros(len(page.frames), bool)
+    free[0] = True
+    if not page.landmarks or any(not frame for _, frame in page.landmarks):
+        return free
+    noisy, opened = [False], [False] * len(free)
+    for around, noise in page.frames[1:]:  # a surrounding frame has a smaller number
+        noisy.append(noise or noisy[around])
+    for tag, frame in page.landmarks:
+        opened[frame] |= tag != "article" or not noisy[frame]
+    for f in range(len(free) - 1, 0, -1):
+        opened[page.frames[f][0]] |= opened[f]
+    held = np.bincount([frame for *_, frame, _ in page.lines], [len(text) for text, *_ in page.lines], len(free))
+    opened = np.array(opened) | free
+    return opened if held[opened].sum() > 2 * held[0] else free
+
+
 def region(page: Lines, usable: np.ndarray, content: np.ndarray) -> np.ndarray:
     """Which lines lie in the region of the page that holds most of the content?"""
     holder = np.array([h for _, _, h, _, _ in page.lines])
@@ -206,9 +249,9 @@ def main_text(page: str | None) -> str:
     lines = page_lines.lines
     if not lines:
         return ""
-    ratios = np.array([0.0 if outside else len(text) / max(1, tags) for text, tags, _, outside, _ in lines])
+    usable = wrapping(page_lines)[[frame for *_, frame, _ in lines]]
+    ratios = np.where(usable, [len(text) / max(1, tags) for text, tags, *_ in lines], 0.0)
     soft = smooth(ratios)
-    usable = np.array([not outside for *_, outside, _ in lines])
     if not usable.any():
         return ""
     # Ratios spread by their standard deviation; a line over it, or over the mean of a flat page, is content.
