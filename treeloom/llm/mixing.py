@@ -151,8 +151,9 @@ def mix_sources(
 
     ``taken`` is the number of words the mix takes from the document, repeats counted: at most
     ``ceiling`` times its size. Null and empty texts have no words and are never taken. The null source
-    is a source. Rows that repeat a doc_id are documents of their own, side by side in one shard. All
-    choices come from MD5 of seed and doc_id, so reruns agree. Other columns are not read. No rows in,
+    is a source. Rows that repeat a doc_id are documents of their own, side by side in one shard; those
+    without a doc_id are dealt by their text. All choices come from MD5 of seed and doc_id or text, so
+    reruns agree. Other columns are not read. No rows in,
     no rows out.
     """
     return _mixed(docs, weights, ceiling, block_words, shard_docs, seed).drop("_run", "_ring", "_words")
@@ -162,9 +163,11 @@ def _mixed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = 3, block_words: int = 16, shard_docs: int = 256, seed: int = 7
 ) -> DataFrame:
     """The rows of ``mix_sources`` with the words of their shard, of its run and of its ring."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_as_text(docs), F.lit(""))))
+    # Without an id the text decides, so that rows without one are not all in one shard.
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_as_text(docs), F.concat(F.lit("-"), "_salt"), F.lit(""))))
     digits = lambda first: F.conv(F.substring("_key", first, 7), 16, 10).cast("long")
-    sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    salt = F.when(_as_text(docs).isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size"), salt.alias("_salt")))
     sources = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights, ceiling
     )

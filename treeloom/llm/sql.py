@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # Seats are listed one by one here, where the operator lists only the open ones.
 MIX = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS salt FROM documents),
 tot AS (SELECT sum(size)::BIGINT AS total, ceil(sum(size) / 16)::BIGINT AS seats FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sized GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][src % 3 + 1]::BIGINT AS w, 3 * source_size AS most FROM sources),
@@ -16,7 +16,7 @@ goal AS (SELECT e.source, e.source_size, e.src, e.seats, ceil(sqrt(ceil(e.docs /
   FROM early e LEFT JOIN opened o ON TRUE),
 blocks AS (SELECT src, count(*) AS seats FROM (SELECT src, seats, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src) AS place
     FROM (SELECT src, target, seats, unnest(range(1, seats + 1)) AS k FROM goal WHERE target > 0)) WHERE place <= seats GROUP BY src),
-placed AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.src, g.target, md5('7:' || coalesce(d.doc_id::VARCHAR, '')) AS key,
+placed AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.src, g.target, md5('7:' || coalesce(d.doc_id::VARCHAR, '-' || d.salt)) AS key,
     ('0x' || substr(key, 1, 7))::BIGINT % side AS a, ('0x' || substr(key, 8, 7))::BIGINT % side AS b
   FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
 shards AS (SELECT src, a, b, sum(size)::BIGINT AS words FROM placed GROUP BY src, a, b),
