@@ -28,6 +28,7 @@ from treeloom.llm.common import settle
 DIM = 48
 NONZERO = 6
 AROUND = 2
+PIECE = 1 << 15
 SAMPLE = 8192  # labelled documents to fit on
 VOCABULARY = 8192  # most frequent terms of the sample
 HIDDEN = 24
@@ -152,12 +153,16 @@ def word_vectors(texts: DataFrame, vocabulary: int = VOCABULARY, dim: int = DIM)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = np.array([rows.get(t, 0) for t in terms(text or "")], np.int64)
-                vectors = index[ids]
-                near = np.zeros_like(vectors)
-                for step in range(1, AROUND + 1):
-                    near[step:] += vectors[:-step]
-                    near[:-step] += vectors[step:]
-                np.add.at(sums, ids, near)
+                # In pieces with the neighbours of their ends, so a long text needs no more than a piece.
+                for begin in range(0, len(ids), PIECE):
+                    low = max(0, begin - AROUND)
+                    vectors = index[ids[low : begin + PIECE + AROUND]]
+                    near = np.zeros_like(vectors)
+                    for step in range(1, AROUND + 1):
+                        near[step:] += vectors[:-step]
+                        near[:-step] += vectors[step:]
+                    own = ids[begin : begin + PIECE]
+                    np.add.at(sums, own, near[begin - low : begin - low + len(own)])
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     total = np.zeros((len(rows) + 1, dim), np.int64)
