@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 import zlib
@@ -111,6 +112,18 @@ def test_mix_meets_targets(spark, sf_dir, which):
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == words
 
 
+def test_rows_without_an_id_are_dealt_over_shards(spark):
+    """Runs begin at a place per shard, so rows in many shards are taken all over the source."""
+    docs = documents(spark, [(None, f"{'word ' * 20}{i}", "a") for i in range(600)] + [(1, "w " * 30000, "b")])
+    got = rows_of(mixing.mix_sources(docs, shard_docs=4))
+    mine = [r["taken"] for r in got if r["source"] == "a"]
+    # Shards of four short rows: the last block of a shard is short, which takes some words off each.
+    assert sum(mine) == pytest.approx(next(r["target"] for r in got if r["source"] == "a"), rel=0.1)
+    assert sorted(map(str, got)) == sorted(map(str, rows_of(mixing.mix_sources(docs.repartition(5), shard_docs=4))))
+    shards = mixing._mixed(docs, shard_docs=4).filter("source = 'a'")
+    assert shards.agg(F.max("_words")).first()[0] < 600  # of 12,600 words
+
+
 def test_drawn_words_meet_targets_with_one_very_long_document(spark):
     """Sources whose words lie mostly in one text: below and above half of its words, and at several times."""
     rows = []
@@ -146,6 +159,43 @@ def test_quality_learns_held_out_labels(spark, sf_dir):
     assert all(again[i]["score"] == pytest.approx(r["score"], abs=1e-6) for i, r in got.items())
 
 
+def test_word_vectors_equal_brute_force(spark, monkeypatch):
+    """Sums of the neighbours' index vectors, by plain loops; a text longer than a piece included."""
+    monkeypatch.setattr(quality, "PIECE", 7)
+    texts = ["a b a c", "", None, "B b, b! x-1 x-1", "one two three " * 40, LONG[:3000]]
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    rows, got = quality.word_vectors(docs, vocabulary=20, dim=32)
+    sequences = [quality.terms(t or "") for t in texts]
+    counts = collections.Counter(t for s in sequences for t in s)
+    assert list(rows) == sorted(counts, key=lambda t: (-counts[t], t))[:20]
+    want = {t: np.zeros(32) for t in rows}
+    for s in sequences:
+        for i, term in enumerate(s):
+            for j in range(max(0, i - quality.AROUND), min(len(s), i + quality.AROUND + 1)):
+                if term in rows and j != i and s[j] in rows:
+                    want[term] += quality.index_vector(s[j], 32)
+    for term, row in rows.items():
+        size = np.linalg.norm(want[term])
+        assert np.allclose(got[row], want[term] / size if size else 0)
+
+
+def test_score_equals_brute_force(spark):
+    """Scores from the network's formula on mean vectors made term by term."""
+    docs = documents(spark, [(i, f"good words {i} here" if i % 3 else "BAD !! BAD !!" * (i + 1), "a") for i in range(90)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    text_of = dict(texts_of(docs))
+    for r in rows_of(quality.score(docs, model, ["doc_id"])):
+        tokens = quality.TOKEN.findall(text_of[r["doc_id"]])
+        row = lambda t: model.vectors[model.rows.get(t, 0)]
+        x = np.concatenate([
+            np.mean([row(t.lower()) for t in tokens], axis=0), np.mean([row(quality.form(t)) for t in tokens], axis=0),
+            [sum(a == b for a, b in zip(tokens, tokens[1:])) / len(tokens)],
+        ])
+        logit = np.tanh((x - model.mean) / model.scale @ model.first + model.bias) @ model.second + model.offset
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=1e-9)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.filter("quality = 1"), labels.limit(0)):
