@@ -756,7 +756,7 @@ def store_retention(spark, sf_dir):
     store = tables.Generations(spark, f"{stage_root(spark)}/stores/{uuid.uuid4().hex}")
     store.replace(archive.originals(docs))
     files = fx.text_files(spark, sf_dir).withColumn("sha256", F.sha2("content", 256))
-    left = archive.kept(files, F.lit("2024-01-01 08:00:00").cast("timestamp"))
+    left = archive.kept(files, F.lit("2024-01-01 03:00:00").cast("timestamp"))
     archive.sweep_store(store, left)
     return store.read().select("hash", "filename", F.length("content").alias("n_chars"))
 

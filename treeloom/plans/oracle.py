@@ -434,7 +434,7 @@ SQL["retention_kept"] = _with(INVENTORY) + """
 SELECT relative_path, size FROM inventory WHERE last_modified >= timestamp '2024-01-01 06:00:00'"""
 SQL["store_retention"] = """
 SELECT DISTINCT left(sha256(text), 16) AS hash, concat('original_', left(sha256(text), 16), '.md') AS filename, length(text) AS n_chars
-FROM documents WHERE timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) >= timestamp '2024-01-01 06:00:00'"""
+FROM documents WHERE timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) >= timestamp '2024-01-01 01:00:00'"""
 SQL["source_tree"] = _with(INVENTORY) + r"""
 SELECT 'corpus' AS repo, relative_path, string_split(relative_path, '/')[-1] AS name, strlen(text) AS size,
   sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS sha256 FROM inventory JOIN documents USING (doc_id)"""
