@@ -176,18 +176,19 @@ def test_flat_folder_is_read_by_many_tasks(spark, tmp_path):
 
 
 def test_filters_reach_the_tree_source(spark, real_tree):
-    rows = tree.read_tree(spark, [str(real_tree)], content=True)
-    files = tree.files(rows)
+    def fresh(pushdown=True):
+        return tree.files(tree.read_tree(spark, [str(real_tree)], content=True, pushdown=pushdown))
+
     tests = [
         F.col("name").endswith(".py"), F.col("size") > 2, ~F.col("name").contains("a"), F.col("relative_path").startswith("pkg/"),
         F.col("name").isin("a.py", "z.js"), F.col("size").isNull(), ~(F.col("size") >= 5), F.col("repo") == "nope",
         F.col("name").isNotNull() & F.col("last_modified").isNotNull(), ~F.col("size").isin(0, 1), F.col("size").eqNullSafe(0),
     ]
-    everything = files.collect()
-    plain = spark.createDataFrame(everything, files.schema)
+    everything = fresh(False).collect()
+    plain = spark.createDataFrame(everything, fresh(False).schema)
     for test in tests:
-        assert sorted(files.filter(test).collect()) == sorted(plain.filter(test).collect())
-    plan = files.filter(tests[0])._jdf.queryExecution().executedPlan().toString()
+        assert sorted(fresh().filter(test).collect()) == sorted(plain.filter(test).collect())
+    plan = fresh().filter(tests[0])._jdf.queryExecution().executedPlan().toString()
     assert "EndsWith" not in plan.split("BatchScan")[0]  # the source decides, no filter is left
     assert tree.holds(ds.Not(ds.EqualTo(("size",), 1)), {"size": None}) is None
     assert tree.holds(ds.In(("size",), (1, None)), {"size": 2}) is None

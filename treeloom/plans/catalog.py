@@ -782,7 +782,7 @@ def source_tree(spark, sf_dir):
 @query
 def source_tree_filtered(spark, sf_dir):
     """Scripts and style sheets of over 500 bytes of the tree on disk; other files are not opened."""
-    rows = tree.files(tree.read_tree(spark, [_written_tree(spark, sf_dir)], content=True))
+    rows = tree.files(tree.read_tree(spark, [_written_tree(spark, sf_dir)], content=True, pushdown=True))
     return rows.filter(~F.col("name").endswith(".py")).filter(F.col("size") > 500).filter(~F.col("name").endswith(".html")).select(
         "relative_path", "size", F.octet_length("content").cast("long").alias("n_bytes")
     )

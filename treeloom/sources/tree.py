@@ -238,10 +238,13 @@ class FilteredTreeReader(TreeReader):
                 yield condition
 
 
-def read_tree(spark: SparkSession, roots: list[str], content: bool = False, **options) -> DataFrame:
-    """Rows of the trees; filters are pushed down if the session's settings allow it."""
+def read_tree(spark: SparkSession, roots: list[str], content: bool = False, pushdown: bool = False, **options) -> DataFrame:
+    """Rows of the trees; with ``pushdown``, if the session's settings allow it, filters reach the walk.
+
+    Spark keeps the reader that took the filters with the DataFrame, so one read so may serve one query only.
+    """
     spark.dataSource.register(TreeSource)
-    pushes = spark.conf.get(PUSHDOWN, "false")
+    pushes = str(pushdown and spark.conf.get(PUSHDOWN, "false") == "true").lower()
     reader = spark.read.format("source_tree").option("path", "\n".join(roots)).option("content", str(content).lower())
     return reader.option("pushdown", pushes).options(**options).load()
 
