@@ -7,7 +7,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -120,3 +122,18 @@ def test_sequences_hold_the_ids(spark):
 
 def test_empty_table(spark):
     assert rows_of(packing.pack(documents(spark, []), PATH)) == []
+
+
+def test_new_words_of_many_texts_go_side_by_side(monkeypatch):
+    """Texts are encoded in parts of so many bytes, not of so many rows; a part's words of one length are merged together."""
+    texts = [f"wort{i} {'x' * (i % 5)} <|endoftext|> É{i}" if i % 7 else None for i in range(900)]
+    batch = pa.record_batch([pa.array(range(900)), pa.array(texts)], names=["doc_id", "text"])
+    encoder, scans = packing.Ids(PATH), []
+    monkeypatch.setattr(encoder.bpe, "_scan", lambda ids, rows, out, f=encoder.bpe._scan: (scans.append(ids.shape[1]), f(ids, rows, out))[1])
+    parts = list(packing.slices(batch))
+    got = [data for part in parts for data in encoder.encode(part.column(1).to_pylist())]
+    library = tokenizers.Tokenizer.from_file(PATH)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(parts) == 1 and len(scans) == len(set(scans))
+    assert [p.column(0).to_pylist() for p in packing.slices(pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["a" * 9, "b", None, "c" * 4])], names=["doc_id", "text"]), 5)] == [[1], [2, 3, 4]]
+    assert list(packing.slices(batch.slice(0, 0))) == []

@@ -58,6 +58,7 @@ class WordBpe:
         self.made_ids = np.array([*self.made, -1], np.int32)
         self.inner = [self.vocab[x] for x in self.letters]
         self.final = [self.vocab[x + self.end] for x in self.letters]
+        self.inner_ids, self.final_ids = np.array(self.inner, np.int32), np.array(self.final, np.int32)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split["pattern"]["Regex"]
         self.latin = re.compile(_latin(self.pattern))
@@ -95,25 +96,28 @@ class WordBpe:
         for w in self.pieces(self.normalise(text[at:])):
             yield False, w
 
-    def symbols(self, word: str) -> list[int]:
+    def symbols(self, data: bytes) -> list[int]:
         """Ids of the bytes of a word, the last one with the word's end."""
-        data = word.encode("utf-8", "surrogatepass")
         return [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each piece. Short pieces of one length are merged side by side, a row of arrays each."""
-        parts = [self.symbols(w) for w in words]
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        parts: list[list[int]] = [[]] * len(words)
         by_size: dict[int, list[int]] = {}
-        for i, p in enumerate(parts):
-            by_size.setdefault(len(p), []).append(i)
+        for i, d in enumerate(data):
+            by_size.setdefault(len(d), []).append(i)
         for size, rows in by_size.items():
             if size > SHORT:
                 for i in rows:
-                    parts[i] = self._linked(parts[i])
-            elif size > 1:
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    self._scan(np.array([parts[i] for i in some], np.int32), np.array(some), parts)
+                    parts[i] = self._linked(self.symbols(data[i]))
+                continue
+            for at in range(0, len(rows), 4096):
+                some = rows[at : at + 4096]
+                raw = np.frombuffer(b"".join([data[i] for i in some]), np.uint8).reshape(len(some), size)
+                ids = self.inner_ids[raw]
+                ids[:, -1] = self.final_ids[raw[:, -1]]
+                self._scan(ids, np.array(some), parts)
         return parts
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ CAPACITY = 4096
 TRIES = ((2, 64), (3, 64), (6, 64))  # (pieces are long if fewer than this many fill a sequence, groups of them)
 ROUNDS = 2000  # columns that the linear program may try; it is feasible at any time
 TINY = 1e-9
+SLICE = 1 << 22  # bytes of text encoded at once: many new words go side by side, and long texts do not add up
 
 
 # ---- configurations
@@ -233,23 +235,38 @@ class Ids:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """As the vocabulary's library gives them, special strings as their tokens; null counts as empty."""
-        bpe, split = self.bpe, []
-        for t in texts:
+        bpe, split, odd = self.bpe, [], {}
+        for i, t in enumerate(texts):
             t = t or ""
-            split.append(list(bpe.words(t)) if bpe.specials.search(t) else bpe.pieces(bpe.normalise(t)))
-        plain = lambda words: (w if isinstance(w, str) else w[1] for w in words if isinstance(w, str) or not w[0])
-        new = {w for words in split for w in plain(words) if w not in self.known}
+            if any(w in t for w in self.special):
+                odd[i] = list(bpe.words(t))
+                split.append([w for special, w in odd[i] if not special])
+            else:
+                split.append(bpe.pieces(bpe.normalise(t)))
+        every = set().union(*split)
+        new = list(every.difference(self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = {w for words in split for w in plain(words)}
-        new = list(new)
-        for word, ids in zip(new, bpe.encode_words(new)):
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            new = list(every)
+        ids = bpe.encode_words(new)
+        data, ends = np.array([x for part in ids for x in part], "<u4").tobytes(), np.cumsum([0, *(4 * len(part) for part in ids)]).tolist()
+        self.known.update(zip(new, (data[a:b] for a, b in zip(ends, ends[1:]))))
         find = self.known.__getitem__
-        return [
-            b"".join(map(find, words)) if not words or isinstance(words[0], str) else b"".join(self.special[w] if s else find(w) for s, w in words)
-            for words in split
-        ]
+        out = [b"".join(map(find, words)) for words in split]
+        for i, words in odd.items():
+            out[i] = b"".join(self.special[w] if special else find(w) for special, w in words)
+        return out
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts, in its second column, have at most ``most`` bytes together; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1, ids: bool = False) -> DataFrame:
@@ -263,8 +280,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1, i
         encoder, seen, part = Ids(path), Counter(), TaskContext.get().partitionId()
         last = end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch):
                 rows, of = [], []
                 for i, data in enumerate(encoder.encode(some.column(1).to_pylist())):
                     data += last
