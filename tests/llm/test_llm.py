@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 from itertools import combinations
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from treeloom.llm import components as components_module
 from treeloom.llm import bpe, extract, fingerprints, jaccard, mixing, neighbours, quality, queries, suffixes, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -667,3 +669,23 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     got = [i for i, _ in texts_of(mixed)]
     assert all(abs(got.count(i) - r["taken"] / r["size"]) <= 0.5 for i, r in taken.items() if r["size"])
     assert mixed.count() == stages[4](spark, mixed, sf_dir).count()
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_by_either_way(spark, monkeypatch, few):
+    """Few edges take one job and one task, more take rounds; both give each node's smallest reachable one."""
+    rng = random.Random(few)
+    edges = [(rng.randint(-9, 300), rng.randint(-9, 300)) for _ in range(170)] + [(2**62, -(2**62)), (5, 5)] + [(i, i + 1) for i in range(400, 500)]
+    above = {}
+    top = lambda x: x if above.setdefault(x, x) == x else top(above[x])
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            above[high] = low
+    written = []
+    monkeypatch.setattr(components_module, "FEW", few)
+    monkeypatch.setattr(components_module, "settle_counted", lambda *a, f=components_module.settle_counted: (written.append(1), f(*a))[1])
+    got = components_module.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in above)
+    assert len(written) == 1 if few else len(written) > 2
+    assert components_module.components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -395,9 +395,11 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     for most in ROUNDS:
         pairs = candidates(open_, of_set, sketches, percent, most)
         links = verified(docs, sets, pairs.filter("b IS NOT NULL"), width, percent)
-        before, of_set = of_set, merged(of_set, links)
+        if not links.isEmpty():
+            before, of_set = of_set, merged(of_set, links)
+            release(before)
         more = settle(open_.join(pairs.filter("b IS NULL").select(F.col("a").alias("token")), "token", "left_semi"))
-        release(pairs, before, open_)
+        release(pairs, open_)
         open_ = more
         if more.isEmpty():
             break
