@@ -7,6 +7,7 @@ import pytest
 
 from treeloom.operators import graph, imports, inventory, matching, reach
 from treeloom.plans import report
+from treeloom.session import Stages
 
 
 def files_of(spark, rows):
@@ -205,3 +206,23 @@ def test_paths_that_cannot_close_do_not_grow(spark, monkeypatch):
     got, _ = reach.cycles(edges_of(spark, pairs))
     assert {tuple(r["cycle"]) for r in got.collect()} == want
     assert max(size for columns, size in sizes if "path" in columns) <= len(want)
+
+
+def test_rounds_on_larger_graphs_send_no_side_through_the_driver(spark, monkeypatch):
+    """Beyond the bound every join of a round is a shuffle; cycles are the same either way."""
+    rings = [(10 * r + i, 10 * r + (i + 1) % 10) for r in range(6) for i in range(10)] + [(3, 14), (0, 5), (61, 62)]
+    edge_rows = spark.createDataFrame([("r", f"n{a:03}", f"n{b:03}") for a, b in rings], "repo string, src string, dst string")
+    plans = []
+    write = Stages.write
+
+    def seen(self, df, measure=None):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(self, df, measure)
+
+    monkeypatch.setattr(Stages, "write", seen)
+    few = sorted(tuple(r.cycle) for r in reach.cycles(edge_rows)[0].collect())
+    assert any("BroadcastHashJoin" in p for p in plans) and len(few) == 7
+    plans.clear()
+    monkeypatch.setattr(reach, "SENT_ROWS", 0)
+    assert sorted(tuple(r.cycle) for r in reach.cycles(edge_rows)[0].collect()) == few
+    assert plans and not any("Broadcast" in p for p in plans)
