@@ -20,8 +20,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
@@ -46,7 +46,7 @@ class PlacedFiles(DataSource):
         return PlacedWriter(os.path.abspath(self.options["path"]), overwrite)
 
 
-class PlacedWriter(DataSourceWriter):
+class PlacedWriter(DataSourceArrowWriter):
     """Writes bytes at their places; the folder appears when all are there."""
 
     def __init__(self, path: str, overwrite: bool):
@@ -55,11 +55,13 @@ class PlacedWriter(DataSourceWriter):
         self.path = path
         self.pending = f"{path}._writing-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.pending, exist_ok=True)
         handle, open_name, n_bytes = None, None, 0
         try:
-            for name, position, data in rows:
+            # Values one by one: a batch of texts is not held again as Python objects.
+            for name, position, data in (row for batch in batches for row in zip(*batch.columns)):
+                name, position = name.as_py(), position.as_py()
                 if name != open_name:  # rows come sorted by file, so each is opened once
                     if not name or os.path.isabs(name) or os.path.normpath(name) != name or name.split("/")[0] in (".", ".."):
                         raise ValueError(f"not a file name: {name}")
@@ -68,7 +70,7 @@ class PlacedWriter(DataSourceWriter):
                     os.makedirs(os.path.dirname(f"{self.pending}/{name}"), exist_ok=True)
                     handle = os.open(f"{self.pending}/{name}", os.O_CREAT | os.O_WRONLY, 0o644)
                     open_name = name
-                view = memoryview(data)
+                view = memoryview(data.as_buffer())
                 while view:  # a call may write less than it is given
                     done = os.pwrite(handle, view, position)
                     view, position, n_bytes = view[done:], position + done, n_bytes + done
