@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -478,3 +479,20 @@ def test_decoding_replaces_broken_bytes(spark):
 def test_highlight_folds_all_letters(spark):
     df = spark.createDataFrame([("\u00c9t\u00e9",)], "t string")
     assert df.select(text.highlight(F.col("t"), "\u00e9").alias("h")).first()["h"] == "<mark>\u00c9</mark>t<mark>\u00e9</mark>"
+
+
+def test_archives_and_tree_reads_hold_parts_not_whole_batches(tmp_path):
+    """What a task's Python holds of results is bounded in bytes, however many rows Spark sends or asks for at once."""
+    big = [("x" * 1_000_000 + str(i)) if i % 5 else None for i in range(20)]
+    packed = [a for a in archive._by_parts(iter([pa.array(big)]), lambda data: bytes(data), pa.binary())]
+    assert [v.as_py() for a in packed for v in a] == [t and t.encode() for t in big]
+    assert len(packed) > 4 and all(a.nbytes <= archive.PART + 2_000_000 for a in packed)
+    assert [len(a) for a in archive._by_parts(iter([pa.array([], pa.string())]), lambda data: bytes(data), pa.binary())] == [0]
+    for i in range(12):
+        (tmp_path / f"f{i}.txt").write_bytes(b"y" * 500_000)
+    for options in ({}, {"pushdown": "true"}):
+        reader = tree.TreeSource({"path": str(tmp_path), "content": "true", **options}).reader(None)
+        batches = [b for p in reader.partitions() for b in reader.read(p)]
+        assert all(isinstance(b, pa.RecordBatch) and b.nbytes <= tree.PART + 1_000_000 for b in batches) and len(batches) > 2
+        rows = [r for b in batches for r in b.to_pylist() if r["kind"] == "file"]
+        assert sorted(r["name"] for r in rows) == sorted(f"f{i}.txt" for i in range(12)) and all(len(r["content"]) == r["size"] == 500_000 for r in rows)

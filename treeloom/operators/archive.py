@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,18 +19,33 @@ HYBRID = "hybrid"
 GZIP_LEVEL = 9
 
 
-@F.pandas_udf(T.BinaryType())
-def gzip_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Packed UTF-8 bytes; without a time stamp, so equal texts give equal bytes."""
+PART = 1 << 21  # bytes of results that a task's Python holds before it hands them on
+
+
+def _by_parts(batches: Iterator[pa.Array], change: Callable[[memoryview], bytes | str], kind: pa.DataType) -> Iterator[pa.Array]:
+    """``change`` of each value's bytes, handed on in parts of about ``PART`` bytes, so that a batch is not held again as results."""
     for batch in batches:
-        yield batch.map(lambda s: gzip.compress(s.encode(), GZIP_LEVEL, mtime=0), na_action="ignore")
+        part, size = [], 0
+        for value in batch:
+            part.append(change(memoryview(value.as_buffer())) if value.is_valid else None)
+            size += len(part[-1] or "")
+            if size >= PART:
+                yield pa.array(part, kind)
+                part, size = [], 0
+        if part or not len(batch):
+            yield pa.array(part, kind)
+
+
+@F.arrow_udf(T.BinaryType())
+def gzip_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Packed UTF-8 bytes; without a time stamp, so equal texts give equal bytes."""
+    yield from _by_parts(batches, lambda data: gzip.compress(data, GZIP_LEVEL, mtime=0), pa.binary())
 
 
-@F.pandas_udf(T.StringType())
-def gunzip_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def gunzip_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Text of packed bytes."""
-    for batch in batches:
-        yield batch.map(lambda b: gzip.decompress(b).decode(), na_action="ignore")
+    yield from _by_parts(batches, lambda data: gzip.decompress(data).decode(), pa.string())
 
 
 def _sha(content: Column) -> dict[str, Column]:
