@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import pytest
 
 from treeloom.operators import graph, imports, inventory, matching, reach
-from treeloom.plans import report
+from treeloom.plans import fixtures, report
 from treeloom.session import Stages
 
 
@@ -226,3 +228,44 @@ def test_rounds_on_larger_graphs_send_no_side_through_the_driver(spark, monkeypa
     monkeypatch.setattr(reach, "SENT_ROWS", 0)
     assert sorted(tuple(r.cycle) for r in reach.cycles(edge_rows)[0].collect()) == few
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_text_of_source_files_is_shuffled_once(spark, tmp_path, capsys):
+    """Targets are looked up without the text; repeated numbers still multiply, and a missing one finds nothing."""
+    ids = [*range(130), 7, 7, 66, None, None]
+    rows = [(i, f"s{n % 3}", "en", f"text {n}", 6) for n, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    at = {}
+    for i, source, lang, *_ in rows:
+        at.setdefault(i, []).append(f"{source}/{lang}/mod_{i}")
+    want = Counter()
+    for i, source, lang, *_ in rows:
+        if i is not None and i % 6 < 3:
+            first = i - i % 60
+            chain = at.get(i if first == 0 else (i * 7 + 3) % first, [])
+            ring = at.get((first + (i % 60 + 6) % 60) % len(rows), [])
+            path = f"{source}/{lang}/mod_{i}" + [".js", ".ts", ".jsx"][i % 6]
+            want.update((path, f"'../../{a}'", f"'../../{b}'") for a in chain for b in ring)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = fixtures.src_files(spark, str(tmp_path))
+        files.explain("formatted")
+        shuffled = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+        assert sum("text#" in columns for columns in shuffled) == 1 < len(shuffled)
+        got = Counter()
+        for r in files.collect():
+            if r.extension in (".js", ".ts", ".jsx") and r.content is not None:
+                got[(r.relative_path, *re.findall(r"'\.\./\.\./[^']*'", r.content))] += 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == want and max(want.values()) > 1
+
+
+def test_an_import_path_is_resolved_once(spark):
+    """The fold over a path's parts stands once in the plan, not also in a filter and in the columns made from it."""
+    found = spark.createDataFrame([("r", "x/a.js", "./b"), ("r", "x/a.js", "../../out")], "repo string, relative_path string, import string")
+    files = spark.createDataFrame([("r", "x/a.js"), ("r", "x/b.ts"), ("r", "out.js")], "repo string, relative_path string")
+    out = imports.resolve(found, files)
+    assert [(r["import"], r["target"]) for r in out.collect()] == [("./b", "x/b.ts")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

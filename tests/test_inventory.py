@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -39,6 +40,24 @@ def test_normalise(spark, folder, relative, want):
     assert one(spark, paths.normalise(F.lit(folder), F.lit(relative))) == want
 
 
+def test_normalise_is_a_walk_from_left_to_right(spark):
+    """Folding from the right gives what walking from the left gives, also for paths that come back after leaving."""
+    chance = random.Random(5)
+    pairs = [tuple("/".join(chance.choices(["a", "b.js", "..", "..", ".", ""], k=chance.randint(1, n))) for n in (4, 7)) for _ in range(400)]
+
+    def walk(folder, relative):
+        held = []
+        for part in f"{folder}/{relative}".split("/"):
+            if part == ".." and not held:
+                return None
+            held = held[:-1] if part == ".." else held + [part] * (part not in ("", "."))
+        return "/".join(held)
+
+    df = spark.createDataFrame([*pairs, ("a", None), (None, "a")], "folder string, relative string")
+    got = [r.x for r in df.select(paths.normalise(F.col("folder"), F.col("relative")).alias("x")).collect()]
+    assert got == [*(walk(*p) for p in pairs), None, None] and 50 < got.count(None) < 350
+
+
 def test_skip_rules(spark):
     rows = [
         ("package-lock.json", 1), ("Lock.YAML", 1), ("yarn.lock", 1), ("big.js", 10 * 1024 * 1024 + 1), ("edge.js", 10 * 1024 * 1024),
