@@ -269,3 +269,9 @@ def test_an_import_path_is_resolved_once(spark):
     out = imports.resolve(found, files)
     assert [(r["import"], r["target"]) for r in out.collect()] == [("./b", "x/b.ts")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_files_without_content_import_nothing(spark):
+    rows = [("x/a.py", None), ("x/b.js", None), ("x/c.py", "import os")]
+    out = imports.imports(files_of(spark, rows)).collect()
+    assert [(r["relative_path"], r["import"]) for r in out] == [("x/c.py", "os")]
